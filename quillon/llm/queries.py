@@ -17,8 +17,53 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.source_mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+#: u and key as in mix_sources, with DuckDB's functions.
+OP2_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest,
+         coalesce(length(text) - length(translate(text, '#*$%&|<>{}[]=_~^\\', '')), 0) AS marks
+  FROM documents),
+keyed AS (
+  SELECT doc_id, source, size,
+         -ln((CAST('0x' || substr(digest, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+           / (1::DOUBLE / (1::DOUBLE + marks::DOUBLE / greatest(size, 1)::DOUBLE)) AS key
+  FROM sized),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
+weighted AS (
+  SELECT *, [1, 2, 3][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS BIGINT) + 1] AS weight, source_size * 3 AS most
+  FROM totals),
+ranked AS (SELECT *, row_number() OVER (ORDER BY most::DOUBLE / weight, source ASC NULLS LAST) AS r FROM weighted),
+levels AS (
+  SELECT a.*, ((SELECT sum(source_size) FROM totals) - coalesce((SELECT sum(b.most) FROM ranked b WHERE b.r < a.r), 0))::DOUBLE
+              / (SELECT sum(b.weight) FROM ranked b WHERE b.r >= a.r)::DOUBLE AS level
+  FROM ranked a),
+chosen AS (SELECT coalesce(arg_min(level, r), 'inf'::DOUBLE) AS level FROM levels WHERE level * weight < most),
+targets AS (SELECT source, source_size, least(chosen.level * weight, most::DOUBLE) AS target FROM ranked, chosen),
+planned AS (
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS BIGINT) AS epochs
+  FROM targets),
+drawn AS (
+  SELECT k.doc_id, k.size, k.source, p.source_size, p.target, p.epochs,
+         CAST(round(p.target) AS BIGINT) - p.epochs * p.source_size
+           - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget
+  FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source, source_size, target, CAST(epochs * size + greatest(0, least(size, budget)) AS BIGINT) AS taken, epochs
+FROM drawn
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
+}
