@@ -59,8 +59,16 @@ FROM drawn
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (doc_id, item_id) pairs of contaminated documents; clean documents have no row."""
+    from quillon.llm.decontamination import contaminated_pairs
+
+    return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op5_decontamination": op5_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
