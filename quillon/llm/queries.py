@@ -66,9 +66,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.language_id import identify_languages
+
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
