@@ -72,10 +72,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
