@@ -78,12 +78,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
