@@ -36,8 +36,11 @@ _FOLD[65:91] += 32
 _FOLD[[*range(0x21), 0x21, 0x22, 0x27, 0x28, 0x29, 0x2A, 0x2C, 0x2E, 0x3A, 0x3B, 0x3F]] = 0x20  # white space and punctuation end words alike
 
 
-def present_ngrams(folded: np.ndarray) -> np.ndarray:
-    """Distinct hashes, below 2 ** BITS, of the n-grams of one text's folded bytes, the ends being blanks."""
+def present_ngrams(folded: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashes, below 2 ** BITS, of the n-grams of one text's folded bytes, the ends being blanks.
+
+    kept: true for the hashes that are wanted; all are without it.
+    """
     found = []
     for lo in range(0, len(folded), SLICE):
         piece = folded[lo : lo + SLICE + max(LENGTHS) - 1].astype(np.uint32)
@@ -51,15 +54,16 @@ def present_ngrams(folded: np.ndarray) -> np.ndarray:
             h = (h[:n] ^ piece[i : i + n]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
             if i + 1 in LENGTHS:
-                found.append((h * np.uint32(0x9E3779B1) + np.uint32(i)) >> np.uint32(32 - BITS))
+                g = (h * np.uint32(0x9E3779B1) + np.uint32(i)) >> np.uint32(32 - BITS)
+                found.append(g if kept is None else g[kept[g]])
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint32)
 
 
-def texts_ngrams(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+def texts_ngrams(column: pa.Array | pa.ChunkedArray, kept: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The distinct n-grams of each text; none for a null or empty text."""
     data, at = textkit.text_bytes(column)
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield present_ngrams(_FOLD[data[lo:hi]])
+        yield present_ngrams(_FOLD[data[lo:hi]], kept)
 
 
 @dataclass(frozen=True)
@@ -95,8 +99,8 @@ def _kept_ngrams(kept: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [index[g] for g in texts_ngrams(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([g[g >= 0].tobytes() for g in own], pa.binary())], schema=schema)
+            own = [index[g].tobytes() for g in texts_ngrams(batch.column("text"), index >= 0)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], schema=schema)
 
     return run
 
@@ -155,8 +159,9 @@ def _score_batches(model: ToxicityModel, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
+        kept = table != 0
         for batch in batches:
-            margin = np.array([table[g].sum() for g in texts_ngrams(batch.column("text"))]) + model.intercept
+            margin = np.array([table[g].sum() for g in texts_ngrams(batch.column("text"), kept)]) + model.intercept
             score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
