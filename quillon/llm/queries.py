@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.jaccard_join import jaccard_components
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
+    "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
 }
