@@ -71,6 +71,12 @@ FROM drawn
 """
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (doc_id, item_id) pairs of contaminated documents; clean documents have no row."""
     from quillon.llm.decontamination import contaminated_pairs
@@ -99,6 +105,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
