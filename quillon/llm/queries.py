@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.url_filter import oracle as url_filter_sql
+
+OP4_SQL = url_filter_sql()
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,6 +81,14 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillon.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (doc_id, item_id) pairs of contaminated documents; clean documents have no row."""
     from quillon.llm.decontamination import contaminated_pairs
@@ -106,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
@@ -116,4 +129,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
 }
