@@ -366,7 +366,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stage(
         texts.where("text is not null").join(chosen, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, n long, tokens binary"),
         "sets",
-    ).dropDuplicates(["node"])
+    )  # a node twice, if its row is repeated, changes no class
 
     common = (
         sets.select("tokens")
