@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -157,6 +158,17 @@ def predict_batches(profiles: dict[str, np.ndarray], size: int = PROFILE):
     return run
 
 
+def predict_texts(profiles: dict[str, np.ndarray], size: int = PROFILE):
+    """A function from a text column to a struct of lang_pred and score."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        predict = _predictor(profiles, size)
+        return pd.DataFrame([predict(x) for x in texts], columns=["lang_pred", "score"])
+
+    return found
+
+
 def identify_languages(docs: DataFrame, profiles: dict[str, np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred and score (1 less the mean distance, 0 to 1).
 

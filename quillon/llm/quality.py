@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -190,6 +191,17 @@ def _score_batches(model: QualityModel, threshold: float):
     return run
 
 
+def predict_texts(model: QualityModel, threshold: float = THRESHOLD):
+    """A function from a text column to a struct of score and predicted."""
+
+    @F.pandas_udf("score double, predicted int")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        score = model.scores(statistics(pa.array(texts, pa.large_string())))
+        return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32)})
+
+    return found
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1) and predicted (1 if the score reaches the threshold).
 
