@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillon.plans import retrieval
+from quillon.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+FAMILIES = (retrieval,)
+
+__all__ = ["FAMILIES", "FLAGSHIP", "QUERIES", "SQL"]
