@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import maintenance, retrieval
+from quillon.plans import evaluation, maintenance, retrieval
 from quillon.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_search"
-FAMILIES = (retrieval, maintenance)
+FAMILIES = (retrieval, maintenance, evaluation)
 
 __all__ = ["FAMILIES", "FLAGSHIP", "QUERIES", "SQL"]
