@@ -15,8 +15,9 @@ order it is done:
    to the inverted lists of its prefix tokens.
 4. Hubs: every member of a list is searched against a few members chosen by
    hash.  A mass of near copies thereby joins into one class in linear work.
-5. The rest: in lists that still hold several classes, members outside the
-   largest class are indexed in blocks, and the list's members search them.
+5. The rest: in lists that still hold several classes, members of the smaller
+   classes are indexed in blocks, and the members of larger ones search each
+   block with which they share as many prefix tokens as a link needs.
    Searches (DivideSkip) run on a block of inverted lists: the shortest lists
    are heap-merged, the longest probed by binary search.
 
@@ -29,7 +30,8 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ HOT_TOKENS = 65_536
 #: A token is worth ordering by frequency from this many sets on.
 HOT_FROM = 32
 #: Members of a list that every member is searched against before blocks are made.
-HUBS = 3
+HUBS = 2
 #: Sets indexed together, and searches sent to one copy of them.
 BLOCK, SEARCHES = 64, 256
 #: Nodes up to which their ids are broadcast to filter the texts; beyond it they are joined by a shuffle.
@@ -270,7 +272,7 @@ def _postings(hot: np.ndarray, threshold: int):
         for batch in batches:
             prefixes = []
             for s in _unpack(batch.column("tokens")):
-                keep = len(s) - least_overlap(len(s), threshold) + 1
+                keep = _sketch_size(len(s), threshold)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     is_hot = known[at] == s
@@ -288,26 +290,55 @@ def _postings(hot: np.ndarray, threshold: int):
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _invert(members: Iterable[int], tokens: dict[int, np.ndarray]) -> dict[int, list[int]]:
+    inverted: dict[int, list[int]] = {}
+    for j in sorted(members):
+        for token in tokens[j].tolist():
+            inverted.setdefault(token, []).append(j)
+    return inverted
+
+
 def _search(threshold: int):
-    """One block: its sets are indexed token by token, and each search returns the linked sets of other classes."""
+    """One block: its sets are indexed token by token, and searched by sets of other classes; returns links that join classes.
+
+    A link makes one class of two, so the searches of a class go on among the
+    indexed sets that are not yet in it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         role, node, label = (table.column(c).to_numpy() for c in ("role", "node", "label"))
-        tokens = _unpack(table.column("tokens"))
-        indexed = np.flatnonzero(role == 0)
-        inverted: dict[int, list[int]] = {}
-        for j, i in enumerate(indexed):
-            for token in tokens[i].tolist():
-                inverted.setdefault(token, []).append(j)
+        tokens = dict(enumerate(_unpack(table.column("tokens"))))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        indexed = np.flatnonzero(role == 0).tolist()
+        whole = _invert(indexed, tokens)
+        asking = np.flatnonzero(role == 1)
         a, b = [], []
-        for i in np.flatnonzero(role == 1):
-            lists = [x for token in tokens[i].tolist() if (x := inverted.get(token))]
-            mine = len(tokens[i])
-            for j, overlap in divide_skip(lists, least_overlap(mine, threshold)).items():
-                at = indexed[j]
-                if label[at] != label[i] and 100 * overlap >= threshold * (mine + len(tokens[at]) - overlap):
-                    a.append(node[i])
-                    b.append(node[at])
+        for _, group in groupby(asking[np.argsort(label[asking], kind="stable")].tolist(), key=lambda i: label[i]):
+            mine, inverted, held = None, whole, len(indexed)
+            for i in group:
+                if mine is None:
+                    mine = int(label[i])
+                    left = {j for j in indexed if root(int(label[j])) != root(mine)}
+                if not left:
+                    break
+                if 2 * len(left) < held:
+                    inverted, held = _invert(left, tokens), len(left)
+                size = len(tokens[i])
+                lists = [x for token in tokens[i].tolist() if (x := inverted.get(token))]
+                for j, overlap in divide_skip(lists, least_overlap(size, threshold)).items():
+                    if j in left and 100 * overlap >= threshold * (size + len(tokens[j]) - overlap) and root(int(label[j])) != root(mine):
+                        a.append(node[i])
+                        b.append(node[j])
+                        parent[root(int(label[j]))] = root(mine)
+                if a and a[-1] == node[i]:
+                    left = {j for j in left if root(int(label[j])) != root(mine)}
         return pa.table([np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)], schema=_EDGES)
 
     return run
@@ -394,25 +425,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = stage(_run_searches(hubs, asks, sets, threshold), "links")
     labels = connected_components(links)
 
-    # The rest: lists that still hold several classes.
-    labelled = live.select("token", "node", "size", F.col("hub0.node").alias("home")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = stage(labelled, "labelled")
-    mixed = (
-        labelled.groupBy("token", "label")
-        .count()
-        .groupBy("token")
-        .agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("classes"))
-        .where("classes > 1")
-        .select("token", "largest")
-    )
+    # The rest: lists that still hold several classes. Of two nodes that of the smaller class is indexed, the other searches.
+    classes = labels.groupBy("label").agg(F.count("*").alias("held")).withColumnRenamed("label", "class")
+    labels = stage(labels.join(classes, F.col("label") == F.col("class")).select("node", "label", "held"), "labels")
+    rank = F.struct(F.coalesce("held", F.lit(1)).alias("held"), F.coalesce("label", "node").alias("label"))
+    labelled = live.select("token", "node", "n", "size", F.col("hub0.node").alias("home")).join(labels, "node", "left")
+    labelled = stage(labelled.withColumn("rank", rank).drop("label", "held"), "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("token", "high")
     members = stage(labelled.join(stage(mixed, "mixed"), "token"), "members")
-    minor = members.where("label <> largest").groupBy("node").agg(F.min("home").alias("home"), F.first("label").alias("label"))
+    minor = members.where("rank < high").groupBy("node").agg(F.mode("home", True).alias("home"), F.first("rank").alias("rank"))
     homes = minor.groupBy("home").agg(F.count("*").alias("held"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("held") / BLOCK)))
-    index = stage(minor.join(homes, "home").select(block.alias("block"), "node", "label"), "index")
-    reach = members.where("label <> largest").select("token", "node").join(index.select("node", "block"), "node").select("token", "block").distinct()
-    asks = members.select("token", "node", "size", "label").join(reach, "token")
-    asks = stage(asks.select("block", *_part(F.col("size"), F.col("node")), "node", "label").distinct(), "asks")
+    index = stage(minor.join(homes, "home").select(block.alias("block"), "node", "rank"), "index")
+    reach = members.where("rank < high").select("token", "node").join(index, "node").groupBy("token", "block").agg(F.min("rank").alias("low"))
+    shared = members.select("token", "node", "n", "size", "rank").join(reach, "token").where("rank > low")
+    shared = shared.groupBy("block", "node").agg(F.count("*").alias("tokens"), F.max("size").alias("size"), F.first("n").alias("n"), F.first("rank").alias("rank"))
+    # Partners share a tenth of the smaller set's size, less one, in both prefixes, and a partner has ``threshold`` percent of n at least.
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold / 1000) - 1)
+    asks = stage(shared.where(F.col("tokens") >= needed).select("block", *_part(F.col("size"), F.col("node")), "node", F.col("rank.label").alias("label")), "asks")
+    index = index.select("block", "node", F.col("rank.label").alias("label"))
     more = _run_searches(index, asks, sets, threshold)
 
     whole = connected_components(links.unionByName(stage(more, "links")))

@@ -124,13 +124,23 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def by_segment(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in order, in groups of about a segment (a longer text alone), as bytes and offsets."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * SEGMENT, side="right")) - 1)
+        yield data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; a text of 1 to k - 1 words has one, of them all."""
-    words, where = hash_words(data, at)
-    for lo, hi in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
-        if hi - lo >= k:
-            yield np.unique(shingle_hashes(words[lo:hi], k))
-        elif hi > lo:
-            yield shingle_hashes(words[lo:hi], hi - lo)
-        else:
-            yield words[:0]
+    for part, offsets in by_segment(data, at):
+        words, where = hash_words(part, offsets)
+        for lo, hi in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
+            if hi - lo >= k:
+                yield np.unique(shingle_hashes(words[lo:hi], k))
+            elif hi > lo:
+                yield shingle_hashes(words[lo:hi], hi - lo)
+            else:
+                yield words[:0]
