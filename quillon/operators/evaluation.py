@@ -91,12 +91,24 @@ def score_rubric(items: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 # Base token budgets by task, and what retrieved context adds.
-BASE_BUDGETS = {"mcq_single": 320, "calculation": 768, "evidence_qa": 512, "open_diagnosis": 1024, "open_ddx": 1024, "open_workup": 1024, "dialogue_diagnosis": 1024, "open_ranked_ddx": 1024, "rubric_scored": 1280}
+BASE_BUDGETS = {
+    "mcq_single": 1536,
+    "calculation": 3072,
+    "evidence_qa": 1280,
+    "open_diagnosis": 1536,
+    "dialogue_diagnosis": 1536,
+    "open_ddx": 1536,
+    "open_ranked_ddx": 2048,
+    "open_workup": 2048,
+    "rubric_scored": 2560,
+    "agentic_history_taking": 512,
+    "retrieval": 512,
+}
 CONTEXT_BUDGET = 768
 FAST_FLOOR, FAST_SHARE = 640, 0.6
 
 
-def token_budget(task: Column, with_context: Column, slow: Column, scale: float = 1.0, cap: int | None = None, default: int = 768) -> Column:
+def token_budget(task: Column, with_context: Column, slow: Column, scale: float = 1.0, cap: int | None = None, default: int = 512) -> Column:
     """Base by task, more with context, less when fast; scaled up at most to the cap and never below the unscaled value."""
     table = F.create_map(*(F.lit(x) for kv in BASE_BUDGETS.items() for x in kv))
     base = F.coalesce(F.element_at(table, task), F.lit(default)) + F.when(with_context, CONTEXT_BUDGET).otherwise(0)
