@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import curation, evaluation, maintenance, retrieval
+from quillon.plans import curation, evaluation, fixtures, maintenance, retrieval
 from quillon.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_search"
-FAMILIES = (retrieval, maintenance, evaluation, curation)
+FAMILIES = (retrieval, maintenance, evaluation, curation, fixtures)
 
 __all__ = ["FAMILIES", "FLAGSHIP", "QUERIES", "SQL"]
