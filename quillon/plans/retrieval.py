@@ -201,7 +201,7 @@ def retrieval_stats(spark, table):
 
 def gold_of(table) -> DataFrame:
     """Documents that hold the item's whole text; items are the stated query set."""
-    return chunks_of(table).join(F.broadcast(queries_of(table)), F.contains(F.col("text"), F.col("question"))).select("query_id", "chunk_id")
+    return chunks_of(table).join(queries_of(table), F.contains(F.col("text"), F.col("question"))).select("query_id", "chunk_id")
 
 
 @query(

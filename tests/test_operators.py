@@ -118,3 +118,51 @@ def test_stream_of_events_is_replayed_and_watched(spark, tmp_path):
         P.replay(stream, target, "user_id", "event_id", str(tmp_path / "c2")).awaitTermination()
     assert {(r.user_id, r.event_id) for r in P.current(spark, target).collect()} == {(7, 2), (8, 3)}
     assert P.current(spark, str(tmp_path / "none")) is None
+
+
+def test_index_is_built_step_by_step(spark, tmp_path):
+    from quillon import index as X
+
+    path = str(tmp_path / "index")
+    a, b = "# 心血管\n## 高血压\n【高血压】限盐。", "# 总论\n内容一。"
+    with pytest.raises(X.IndexMissingError):
+        X.load_index(spark, path)
+    one = X.build_index(spark.createDataFrame([("a.md", a), ("b.md", b)], "doc_id string, text string"), path)
+    assert (one.n_chunks, one.embedded, one.reused, one.file_status) == (2, 2, 0, {"new": 2})
+    two = X.build_index(spark.createDataFrame([("a.md", a), ("b.md", b)], "doc_id string, text string"), path)
+    assert (two.embedded, two.reused, two.file_status) == (0, 2, {"unchanged": 2})
+    three = X.build_index(spark.createDataFrame([("a.md", a + "多运动。")], "doc_id string, text string"), path)
+    assert (three.embedded, three.reused, three.removed, three.file_status) == (1, 0, 2, {"changed": 1, "removed": 1})
+    other = X.build_index(spark.createDataFrame([("a.md", a + "多运动。")], "doc_id string, text string"), path, model="other")
+    assert other.embedded == 1
+    index = X.load_index(spark, path)
+    assert index.first().section == "心血管 / 高血压"
+    hits = X.retrieve(index, spark.createDataFrame([(1, "高血压 限盐")], "query_id long, question string"), threshold=0.0).collect()
+    assert hits[0].doc_id == "a.md" and "限盐" in hits[0].text
+    with pytest.raises(ValueError):
+        X.retrieve(index, spark.createDataFrame([(1, " ")], "query_id long, question string"))
+
+
+def test_settings_and_reports(tmp_path):
+    from datetime import datetime
+
+    from quillon.sources import settings as C
+
+    assert C.read_env("A=1\n# x\nB='2'\n", {"A": "0"}) == {"B": "2"}
+    assert C.Experiment.read({"name": "x", "engine": "agent"}).layer == "AGENT"
+    for wrong in ({}, {"name": "x", "y": 1}, {"name": "x", "engine": "z"}, {"name": "x", "batch_size": 0}):
+        with pytest.raises(ValueError):
+            C.Experiment.read(wrong)
+    early, late = (C.run_name("n", {"b": 1, "a": 2}, datetime(2026, 1, d)) for d in (1, 2))
+    assert early != late and early[-8:] == late[-8:] == C.run_name("n", {"a": 2, "b": 1}, datetime(2026, 1, 1))[-8:]
+    C.new_run(tmp_path, "r")
+    with pytest.raises(FileExistsError):
+        C.new_run(tmp_path, "r")
+    (tmp_path / "report.md").write_text("1")
+    assert C.archive(tmp_path / "report.md", tmp_path / "kept", "row") and not C.archive(tmp_path / "report.md", tmp_path / "kept", "row")
+    assert (tmp_path / "kept" / "INDEX.md").read_text() == "row\n"
+    assert C.width("a中") == 3 and C.padded("中", 3) == "中 " and C.bar(1, 2, 4) == "██░░" and C.size_text(2048) == "2.0 KB"
+    assert C.markdown_table(["a", "b"], [[1, None]]).splitlines()[-1] == "| 1 | — |"
+    tool = {"name": "check", "description": "核对。再说。", "parameters": {"properties": {"s": {"type": "array", "items": {"type": "string"}}, "n": {"type": "integer"}}, "required": ["s"]}}
+    assert C.tool_catalog([tool]) == "- check(s: string[], n: integer（可选）)：核对"
+    assert C.content_text([{"type": "text", "text": "a"}, {"type": "image"}, "b"]) == "a\nb"
