@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 TOKEN_RUNS = "[\u4e00-\u9fff]+|[A-Za-z0-9]+"
 # The characters that normalisation removes.
 PUNCTUATION = "，。；：、（）()【】[]「」“”\"' \t\n\r·,.;:!?！？-—～~"
-_IDEOGRAPHS = "^[\u4e00-\u9fff]"
+IDEOGRAPHS = "[\u4e00-\u9fff]"
 
 
 def _c(x: Column | str) -> Column:
@@ -25,7 +25,8 @@ def grams(x: Column, n: int = 2) -> Column:
 def tokenize(text: Column | str) -> Column:
     """CJK runs as bigrams (a single ideograph as itself), ASCII runs lower-cased."""
     runs = F.regexp_extract_all(_c(text), F.lit(TOKEN_RUNS), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(~r.rlike(_IDEOGRAPHS), F.array(F.lower(r))).when(F.length(r) == 1, F.array(r)).otherwise(grams(r))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(~r.rlike("^" + IDEOGRAPHS), F.array(F.lower(r))).when(F.length(r) == 1, F.array(r)).otherwise(grams(r))))
+    return F.when(_c(text).rlike(IDEOGRAPHS), mixed).otherwise(F.transform(runs, F.lower))
 
 
 def normalize(text: Column | str) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.text import tokenize
+from quillon.staging import stage
 
 #: Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -64,8 +65,11 @@ def bm25_weights(post: DataFrame, n_chunks: DataFrame) -> DataFrame:
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, ord, bm25) of all chunks that share a term with the query; repeated query tokens count again."""
-    post = postings(chunks, "chunk_id", "text")
+    """(query_id, chunk_id, ord, bm25) of all chunks that share a term with the query; repeated query tokens count again.
+
+    The postings are written once, as lengths, weights and scores all read them.
+    """
+    post = stage(postings(chunks, "chunk_id", "text"), "postings")
     lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
     counted = chunks.agg(F.count("*").alias("n"))
     mean = lengths.agg(F.sum("dl").alias("total")).crossJoin(counted).select((F.col("total") / F.col("n")).alias("avgdl"))

@@ -8,6 +8,7 @@ from quillon.functions.text import hash_bucket, strip
 from quillon.operators import curation as C
 from quillon.operators import maintenance as M
 from quillon.plans.registry import query
+from quillon.staging import stage
 
 STRONG, EXTRA = ("the", "des", "und", "los"), ("er", "in")
 TOPICS, NOISE = ("th", "en", "de"), "[#$%&*]{3}"
@@ -114,7 +115,8 @@ WHEN NOT regexp_matches(title, '{'|'.join(TOPICS)}') THEN 'off topic' WHEN lengt
 
 
 def pages_of(table):
-    pages = table("pages").select("page_id", C.html_title(F.col("html")).alias("title"), C.html_body(F.col("html")).alias("body"))
+    """Titles and texts are written once: filters on them would else repeat the cleaning."""
+    pages = stage(table("pages").select("page_id", C.html_title(F.col("html")).alias("title"), C.html_body(F.col("html")).alias("body")), "pages")
     pages = pages.withColumn("score", C.relevance(F.col("title"), F.col("body"), STRONG, EXTRA))
     return pages.withColumn("reason", C.gate(F.col("title"), F.col("body"), NOISE, TOPICS, F.col("score")))
 
