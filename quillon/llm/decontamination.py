@@ -128,7 +128,7 @@ def _against(items: list[tuple[int | None, np.ndarray]], k: int, threshold: floa
     maybe[known >> np.uint64(64 - bits)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             words, where = words_of(batch.column("text"))
             pairs = set()
             for lo in range(0, len(words), SLICE):
@@ -155,7 +155,7 @@ def _seed_rows(id_name: str, k: int):
     schema = pa.schema([(id_name, pa.int64()), ("seed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             words, where = words_of(batch.column("text"))
             for i, lo, hi in zip(batch.column(id_name).to_pylist(), where[:-1], where[1:], strict=True):
                 lengths = range(min(k, hi - lo), 0, -1) if id_name == "item_id" else range(1, k + 1)
@@ -168,7 +168,7 @@ def _seed_rows(id_name: str, k: int):
 
 def _paired(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             (words, at), (item_words, item_at) = words_of(batch.column("text")), words_of(batch.column("item_text"))
             ids = zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), strict=True)
             found = (_judge(d, words[at[i] : at[i + 1]], m, item_words[item_at[i] : item_at[i + 1]], k, threshold) for i, (d, m) in enumerate(ids))

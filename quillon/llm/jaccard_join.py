@@ -120,7 +120,7 @@ def _digests(k: int, threshold: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             n, node, sketch = [], [], []
             for s in textkit.shingle_sets(*textkit.text_bytes(batch.column("text")), k):
                 n.append(len(s))
@@ -170,7 +170,7 @@ def _offers(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, seen, size = [], [], set(), 0
-        for batch in batches:
+        for batch in textkit.pieces(batches, "sketch"):
             for node, s in zip(batch.column("node").to_pylist(), _unpack(batch.column("sketch")), strict=True):
                 if node is None or node in seen:
                     continue
@@ -213,7 +213,7 @@ def _sets(k: int):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             rows = [
                 (want, len(s), s.tobytes())
                 for want, s in zip(batch.column("node").to_pylist(), textkit.shingle_sets(*textkit.text_bytes(batch.column("text")), k), strict=True)
@@ -240,7 +240,7 @@ def _token_counts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in batches:
+        for batch in textkit.pieces(batches, "tokens"):
             for s in _unpack(batch.column("tokens")):
                 parts.append(s)
                 size += len(s)
@@ -269,7 +269,7 @@ def _postings(hot: np.ndarray, threshold: int):
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "tokens"):
             prefixes = []
             for s in _unpack(batch.column("tokens")):
                 keep = _sketch_size(len(s), threshold)

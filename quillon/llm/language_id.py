@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm import textkit
 from quillon.llm.labelled import held_out
 
 #: N-grams in a profile.
@@ -147,7 +147,7 @@ def predict_batches(profiles: dict[str, np.ndarray], size: int = PROFILE):
     predict = _predictor(profiles, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             lang, score = [], []
             for text in batch.column("text"):
                 one, two = predict(text.as_py())
@@ -161,10 +161,11 @@ def predict_batches(profiles: dict[str, np.ndarray], size: int = PROFILE):
 def predict_texts(profiles: dict[str, np.ndarray], size: int = PROFILE):
     """A function from a text column to a struct of lang_pred and score."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def found(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def found(texts: pa.Array) -> pa.Array:
         predict = _predictor(profiles, size)
-        return pd.DataFrame([predict(x) for x in texts], columns=["lang_pred", "score"])
+        told = [predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())], names=["lang_pred", "score"])
 
     return found
 

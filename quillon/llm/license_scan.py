@@ -143,7 +143,7 @@ def _scan(templates: Mapping[str, str], coverage: float):
         return sorted(chosen, key=lambda x: x[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if len(known) else ():
+        for batch in textkit.pieces(batches, "text") if len(known) else ():
             words, where = words_of(batch.column("text"))
             by_doc: dict[int, list[tuple[int, int, int]]] = {}
             for lo in range(0, len(words), SLICE):

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -113,7 +112,7 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _text_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
-    for batch in batches:
+    for batch in textkit.pieces(batches, "text"):
         rows = statistics(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
 
@@ -184,7 +183,7 @@ def _score_batches(model: QualityModel, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             score = model.scores(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
@@ -194,10 +193,11 @@ def _score_batches(model: QualityModel, threshold: float):
 def predict_texts(model: QualityModel, threshold: float = THRESHOLD):
     """A function from a text column to a struct of score and predicted."""
 
-    @F.pandas_udf("score double, predicted int")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        score = model.scores(statistics(pa.array(texts, pa.large_string())))
-        return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32)})
+    @F.arrow_udf("score double, predicted int")
+    def found(texts: pa.Array) -> pa.Array:
+        parts = textkit.pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")
+        score = np.concatenate([np.zeros(0), *(model.scores(statistics(p.column("text"))) for p in parts)])
+        return pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
 
     return found
 

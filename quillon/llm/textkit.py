@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at once; the working set is about 40 times this.
 SEGMENT = 1 << 20
@@ -65,6 +66,22 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that ``column``, of texts or bytes, has about four segments in each (a longer value alone).
+
+    What a task holds beside Spark's own batch is then bounded, however long the rows are.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * SEGMENT, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _segments(space: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts the bytes where a word may end: at ends of texts, or at white space within a long one."""
     lo, end = 0, int(at[-1])

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm import textkit
+
 #: The vocabulary file's usual place; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_MARK = "▁"
@@ -161,7 +163,7 @@ def _count_batches(vocabulary_of, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = TokenTrie(vocabulary_of())
         known: dict[bytes, int] = {}  # the stored counts by the bytes of the pre-token
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             words_out, tokens_out = [], []
             for text in batch.column("text").cast(pa.binary()):
                 words = (text.as_py() or b"").split()

@@ -84,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of either class each n-gram occurs, and the texts' n-grams for the fit."""
     schema = pa.schema([("gram", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
     total = np.zeros((2, 1 << BITS), dtype=np.int64)
-    for batch in batches:
+    for batch in textkit.pieces(batches, "text"):
         for label, grams in zip(batch.column("label").to_pylist(), texts_ngrams(batch.column("text")), strict=True):
             total[label, grams] += 1
     seen = np.flatnonzero(total.sum(axis=0))
@@ -98,7 +98,7 @@ def _kept_ngrams(kept: np.ndarray):
     index[kept] = np.arange(len(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             own = [index[g].tobytes() for g in texts_ngrams(batch.column("text"), index >= 0)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], schema=schema)
 
@@ -160,7 +160,7 @@ def _score_batches(model: ToxicityModel, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         kept = table != 0
-        for batch in batches:
+        for batch in textkit.pieces(batches, "text"):
             margin = np.array([table[g].sum() for g in texts_ngrams(batch.column("text"), kept)]) + model.intercept
             score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
