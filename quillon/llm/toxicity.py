@@ -26,6 +26,8 @@ LENGTHS, BITS = (4, 5, 6), 20
 #: N-grams kept: those whose counts differ most between the classes.
 KEPT = 16_384
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 300
+#: Texts that a step of the fit goes through at once.
+TEXTS_AT_ONCE = 1000
 #: A document is toxic from this score on.
 THRESHOLD = 0.3
 #: Bytes of text hashed at once; n-grams across the cut are found by the overlap.
@@ -105,19 +107,31 @@ def _kept_ngrams(kept: np.ndarray):
     return run
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights on the scaled features and the intercept, by accelerated gradient descent with an L2 penalty."""
+def _logistic(grams: list[np.ndarray], scale: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights on the scaled features and the intercept, by accelerated gradient descent with an L2 penalty.
+
+    grams: the features of each text. They are gone through a block of texts at
+    a time, so the driver holds them once, as they came.
+    """
     n, d = len(label), len(scale)
-    value = scale[columns]
-    # The curvature is at most a quarter of the greatest squared row norm, plus the intercept's.
-    step = 4.0 / (np.bincount(rows, weights=value**2, minlength=n).mean() * 4 + 1.0)
-    w, b, v, c = np.zeros(d), float(np.log((label.sum() + 1) / (n - label.sum() + 1))), np.zeros(d), 0.0
+    blocks = []
+    for lo in range(0, n, TEXTS_AT_ONCE):
+        own = grams[lo : lo + TEXTS_AT_ONCE]
+        blocks.append((lo, len(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(g) for g in own]), np.concatenate(own)))
+    # The curvature is at most a quarter of the mean squared row norm times four, plus the intercept's.
+    total = sum(float((scale[columns] ** 2).sum()) for _, _, _, columns in blocks)
+    step = 4.0 / (total / n * 4 + 1.0)
+    w, b, v = np.zeros(d), float(np.log((label.sum() + 1) / (n - label.sum() + 1))), np.zeros(d)
     c = b
     for t in range(STEPS):
-        margin = np.bincount(rows, weights=value * v[columns], minlength=n) + c
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label
-        grad = np.bincount(columns, weights=value * error[rows], minlength=d) / n + PENALTY * v
-        new_w, new_b = v - step * grad, c - step * error.mean()
+        scaled, grad, drift = scale * v, np.zeros(d), 0.0
+        for lo, size, rows, columns in blocks:
+            margin = np.bincount(rows, weights=scaled[columns], minlength=size) + c
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[lo : lo + size]
+            grad += np.bincount(columns, weights=error[rows], minlength=d)
+            drift += error.sum()
+        grad = scale * grad / n + PENALTY * v
+        new_w, new_b = v - step * grad, c - step * drift / n
         ahead = t / (t + 3)
         v, c = new_w + ahead * (new_w - w), new_b + ahead * (new_b - b)
         w, b = new_w, new_b
@@ -146,11 +160,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     kept = np.array(sorted((r.gram, r.toxic, r.other) for r in best), dtype=np.int64).reshape(-1, 3)
     scale = np.log((kept[:, 1] + SMOOTHING) / (toxic + 2 * SMOOTHING)) - np.log((kept[:, 2] + SMOOTHING) / (other + 2 * SMOOTHING))
     rows = texts.mapInArrow(_kept_ngrams(kept[:, 0]), "doc_id long, label int, grams binary").orderBy("doc_id", "label").limit(2 * sample).toArrow()
-    grams = [np.frombuffer(g, dtype=np.int32) for g in rows.column("grams").to_pylist()]
-    label = rows.column("label").to_numpy().astype(np.float64)
-    at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    columns = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int32)
-    w, b = _logistic(at, columns, scale, label)
+    # Views on the table's bytes, not copies.
+    column = rows.column("grams").combine_chunks().cast(pa.binary())
+    offsets, held = column.buffers()[1:3]
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    grams = [np.frombuffer(held, dtype=np.int32, count=(hi - lo) // 4, offset=lo) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    w, b = _logistic(grams, scale, rows.column("label").to_numpy().astype(np.float64))
     return ToxicityModel(kept[:, 0], w * scale, b)
 
 
