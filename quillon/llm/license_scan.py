@@ -4,15 +4,17 @@ Words are runs of letters, digits and characters above ASCII, with A-Z
 lower-cased.  A template's fingerprints are the winnowed hashes of its k-word
 runs (in every window of w hashes the least), held in an inverted index from
 fingerprint to template and position.  Whole texts are winnowed alike, so any
-shared run of k + w - 1 words meets the index.  Hits of a template on near
-diagonals make a candidate, and the template is aligned with the text there,
-within a band; the share of its words that align is the coverage.
+shared run of k + w - 1 words meets the index.  Around the diagonal of every
+hit the template is aligned with the text, within a band; the share of its
+words that align is the coverage.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -59,35 +61,32 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
     """Most words of the template that align in order with ``text``, its first word being near ``start``; and the span they take.
 
-    Cell (i, d) is the best of the first i template words against the text up
-    to diagonal d of the band.  Returns (words, first, end) with the span's
-    words in ``text``; (0, 0, 0) if none align.
+    Cell d of row i is the best of the first i template words against the text
+    up to diagonal d of the band, as one integer: words, then the span's first
+    word, then how early it ends.  Of equal alignments the one of the shortest
+    span counts, then the earliest, so that none reaches into a neighbour
+    without need.  Returns (words, first, end) with the span's words in
+    ``text``; (0, 0, 0) if none align.
     """
     n, width = len(template), 2 * band + 1
-    words, target = text.tolist(), template.tolist()
-    best = [[0] * width for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        row, above, word = best[i], best[i - 1], target[i - 1]
+    words = text.tolist()
+    bits = (len(words) + 1).bit_length()
+    one, late = 1 << 2 * bits, (1 << bits) - 1
+    row = [0] * width
+    for i, word in enumerate(template.tolist(), 1):
+        above, row = row, [0] * width
         for d in range(width):
             j = start + i - 1 + d - band
             score = above[d + 1] if d + 1 < width else 0  # the template's word is skipped
             if d and row[d - 1] > score:  # the text's word is skipped
                 score = row[d - 1]
-            if 0 <= j < len(words) and words[j] == word and above[d] + 1 > score:
-                score = above[d] + 1
+            if 0 <= j < len(words) and words[j] == word:
+                more = ((above[d] or j << bits) | late) + one - (j + 1)
+                if more > score:
+                    score = more
             row[d] = score
-    d = max(range(width), key=lambda x: (best[n][x], -x))
-    total, i, first, end = best[n][d], n, 0, 0
-    while i and best[i][d]:
-        j = start + i - 1 + d - band
-        if d and best[i][d] == best[i][d - 1]:
-            d -= 1
-        elif d + 1 < width and best[i][d] == best[i - 1][d + 1]:
-            i, d = i - 1, d + 1
-        else:
-            first, end = j, end or j + 1
-            i -= 1
-    return total, first, end
+    told = [(x >> 2 * bits, x >> bits & late, late - (x & late)) for x in row if x]
+    return min(told, key=lambda x: (-x[0], x[2] - x[1], x[1]), default=(0, 0, 0))
 
 
 _FOUND = pa.schema(
@@ -119,28 +118,35 @@ def _scan(templates: Mapping[str, str], coverage: float):
     maybe = np.zeros(1 << bits, dtype=bool)
     maybe[known >> np.uint64(64 - bits)] = True
 
-    def candidates(hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        """(template, likely start) from (template, diagonal, position), one for each run of near diagonals."""
-        last: tuple[int, int, int] | None = None
-        for t, diagonal, position in sorted(hits, key=lambda x: (x[0], x[2])):
-            near = last and last[0] == t and abs(diagonal - last[1]) <= BAND and position - last[2] <= len(wanted[t]) + BAND
-            if not near:
-                yield t, diagonal
-                last = (t, diagonal, position)
-
     def matches(text: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Accepted (template, words, first, end), the longest first and none overlapping."""
-        found = []
-        for t, start in candidates(hits):
-            n, lo = len(wanted[t]), max(0, start - BAND)
-            total, first, end = align(wanted[t], text[lo : start + n + 2 * BAND], start - lo, BAND)
-            if total and total >= coverage * n:
-                found.append((t, total, first + lo, end + lo))
-        chosen: list[tuple[int, int, int, int]] = []
-        for x in sorted(set(found), key=lambda x: (-x[1], -x[1] / len(wanted[x[0]]), x[2], names[x[0]])):
-            if all(x[3] <= y[2] or x[2] >= y[3] for y in chosen):
-                chosen.append(x)
-        return sorted(chosen, key=lambda x: x[2])
+        """Accepted (template, words, first, end), the longest first and none overlapping, from (template, diagonal, position).
+
+        Every diagonal of a hit is aligned.  Whenever a notice is chosen, what
+        else was found on its words is aligned again with the text left to
+        either side, until nothing left is accepted.
+        """
+        chosen: list[tuple[int, int, int, int]] = []  # (first, end, template, words) in order
+        queue: list[tuple[int, float, int, str, int, int, int, int, int]] = []
+
+        def measure(t: int, start: int, lo: int, hi: int) -> None:
+            """Aligns a diagonal with every stretch from ``lo`` to ``hi`` that no chosen notice takes."""
+            n = len(wanted[t])
+            inside = chosen[max(0, bisect_left(chosen, (lo,)) - 1) : bisect_left(chosen, (hi,))]
+            for a, b in zip([lo, *(max(lo, x[1]) for x in inside)], [*(x[0] for x in inside), hi], strict=True):
+                if b > a and b - a >= coverage * n:
+                    total, first, end = align(wanted[t], text[a:b], start - a, BAND)
+                    if total and total >= coverage * n:
+                        heappush(queue, (-total, -total / n, first + a, names[t], end + a, t, start, a, b))
+
+        for t, start in sorted({(t, diagonal) for t, diagonal, _ in hits}):
+            measure(t, start, max(0, start - BAND), min(len(text), start + len(wanted[t]) + BAND))
+        while queue:
+            less, _, first, _, end, t, start, lo, hi = heappop(queue)
+            at = bisect_left(chosen, (first,))
+            if (at == 0 or chosen[at - 1][1] <= first) and (at == len(chosen) or chosen[at][0] >= end):
+                chosen.insert(at, (first, end, t, -less))
+            measure(t, start, lo, hi)
+        return [(t, total, first, end) for first, end, t, total in chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.pieces(batches, "text") if len(known) else ():

@@ -381,6 +381,20 @@ def test_licences_are_found_with_their_spans(spark):
     assert license_scan.scan_licenses(documents(spark, rows), {}).count() == 0
 
 
+def test_adjacent_notices_are_all_found(spark):
+    t = license_scan.TEMPLATES
+    orders = [("CC-BY-NC-4.0", "CC-BY-4.0"), ("CC-BY-4.0", "CC-BY-NC-4.0"), ("CC-BY-SA-4.0", "CC-BY-4.0"), ("CC-BY-4.0", "CC-BY-SA-4.0"), ("MIT",) * 6, ("BSD-3-Clause", "MIT", "BSD-3-Clause", "BSD-3-Clause"), ("CC-BY-4.0",) * 7, ("MIT-notice", "MIT-notice"), ("Apache-2.0",) * 4]
+    orders += [(x, y, x) for x in ("MIT", "CC-BY-NC-4.0", "CC-BY-4.0", "BSD-3-Clause") for y in t]
+    rows = [(i, " ".join(t[x] for x in names)) for i, names in enumerate(orders)]
+    rows += [(1000, "\n".join(f"{t['MIT']} {'x ' * k}" for k in range(9)))]
+    got = {}
+    for r in sorted(license_scan.scan_licenses(documents(spark, rows)).collect(), key=lambda r: (r.doc_id, r.start_word)):
+        assert r.coverage == 1.0
+        got.setdefault(r.doc_id, []).append((r.license, r.end_word - r.start_word))
+    size = {x: len(re.findall("[0-9A-Za-z]+", y)) for x, y in t.items()}
+    assert got == {i: [(x, size[x]) for x in names] for i, names in enumerate([*orders])} | {1000: [("MIT", 5)] * 9}
+
+
 def test_alignment_is_the_longest_common_subsequence_within_the_band():
     rng = random.Random(11)
     for _ in range(200):
