@@ -4,8 +4,10 @@ A page that a rule fits gets the longest rule's verdict.  For the others the
 host decides.  Hosts with pages that rules allow are trusted seeds, hosts most
 of whose pages rules block are blocked seeds.  Personalised PageRank carries
 trust from the seeds along the links, and distrust against them, to the hosts
-that link to blocked ones.  A host is blocked if its distrust is above its
-trust by more than the threshold.  DataFrame functions alone.
+that link to blocked ones.  To compare the two, each is taken times the sum of
+its seeds, so that a host's verdict depends on its neighbourhood and not on how
+many seeds there are elsewhere; a host is blocked if its distrust is above its
+trust by more than the threshold's share of both.  DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class Rule:
 RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow"))
 #: Share of a host's score that goes on over its links, and rounds of it.
 DAMPING, ROUNDS = 0.85, 8
-#: How far distrust must be above trust, and the share of blocked pages above which a host is a blocked seed.
+#: How far distrust must be above trust, as a share of both, and the share of blocked pages above which a host is a blocked seed.
 THRESHOLD, SEED_SHARE = 1e-9, 0.5
 #: Rounds after which lineage is cut.
 CUT = 4
@@ -136,7 +138,10 @@ def filter_urls(
     seeds = shares.select("host", "trust", F.when(F.col("distrust") > SEED_SHARE, F.col("distrust")).otherwise(0.0).alias("distrust"))
     hosts = spread(host_links(pages, url_host(url), html_col), seeds)
     scored = ruled.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    by_host = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
+    sums = seeds.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"all_{c}") for c in ("trust", "distrust")))
+    scored = scored.crossJoin(F.broadcast(sums))  # one row of sums
+    good, bad = F.col("trust") * F.col("all_trust"), F.col("distrust") * F.col("all_distrust")
+    by_host = F.when(bad - good > threshold * (bad + good), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
 
 

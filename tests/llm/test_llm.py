@@ -365,6 +365,33 @@ def test_trust_is_personalised_page_rank(spark):
             assert math.isclose(got.get(h, (0.0, 0.0))[kind], score[h], abs_tol=1e-12)
 
 
+def test_verdicts_do_not_depend_on_seeds_elsewhere(spark):
+    """mixed.com has 1/10 of a trusted host's links and is 1 of 5 linking to a blocked one, fair.com all of them and 1 of 5."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">y</a>' for h in hosts)
+    rows = [(1, "http://bad.net/", ""), (2, "http://sends.com/", link("bad.net")), (3, "http://good.org/fr/", link("mixed.com", *(f"o{i}.com" for i in range(9)))), (4, "http://mixed.com/", link("bad.net")), (5, "http://fair.com/", link("bad.net"))]
+    rows += [(6, "http://good2.org/fr/", link("fair.com")), (7, "http://far.com/", "")]
+    rows += [(100 + i, f"http://many{i}.com/", link("bad.net")) for i in range(2)]
+
+    def verdicts(more):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for of, count in more.items():
+            df = df.unionByName(spark.range(count).select((F.col("id") + 10_000).alias("page_id"), F.format_string(of, "id").alias("url"), F.lit("").alias("html")))
+        return {r.page_id: r.verdict for r in url_filter.filter_urls(df).where("page_id < 10000").collect()}
+
+    alone = verdicts({})
+    assert alone == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "allow", 100: "block", 101: "block"}
+    assert verdicts({"http://u%d.net/": 3000}) == alone
+    assert verdicts({"http://u%d.org/fr/": 3000}) == alone
+
+
+def test_a_popular_blocked_host_still_counts(spark):
+    """100,000 hosts link to one of 2,000 blocked hosts: each has a distrust of 6e-10, and no trust."""
+    pages = spark.range(2000).selectExpr("id as page_id", "concat('http://u', id, '.net/') as url", "'' as html")
+    pages = pages.unionByName(spark.range(100_000).selectExpr("id + 10000 as page_id", "concat('http://h', id, '.com/') as url", "'<a href=http://u0.net/>' as html"))
+    got = {(r.verdict, r.tiny): r["count"] for r in url_filter.filter_urls(pages).where("page_id >= 10000").groupBy("verdict", (F.col("distrust") < 1e-9).alias("tiny")).count().collect()}
+    assert got == {("block", True): 100_000}
+
+
 # ------------------------------------------------------------------ op 8
 
 
