@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,12 +39,14 @@ class Rule:
 
 # The rules of the query.
 RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow"))
-#: Share of a host's score that goes on over its links, and rounds of it.
+#: Share of a host's score that goes on over its links, and rounds of it in the SQL.
 DAMPING, ROUNDS = 0.85, 8
 #: How far distrust must be above trust, as a share of both, and the share of blocked pages above which a host is a blocked seed.
 THRESHOLD, SEED_SHARE = 1e-9, 0.5
 #: Rounds after which lineage is cut.
 CUT = 4
+#: Share of a score by which it may still grow when spreading ends; as each round passes on DAMPING of the last, what is left is about the threshold.
+TOLERANCE = THRESHOLD * (1 - DAMPING) / DAMPING
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"
@@ -79,9 +82,12 @@ def host_links(pages: DataFrame, host: Column, html_col: str = "html") -> DataFr
     return links.where("source <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``links`` (source, target, n) and ``seeds`` (host, trust, distrust).
 
+    With ``rounds`` None it ends once no score has grown by more than
+    ``tolerance`` of itself and no new host was reached.
+
     Seeds are scaled to add up to 1.  Trust is shared out by a host's links,
     distrust by the links to it; what reaches a host without any is lost.
     """
@@ -102,14 +108,19 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     given = ways.groupBy("kind", "giver").agg(F.sum("n").alias("given"))
     ways = stage(ways.join(given, ["kind", "giver"]).select("kind", "giver", "taker", (F.col("n") / F.col("given")).alias("part")), "ways")
     base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = base
-    for done in range(1, rounds + 1 if ways.limit(1).count() else 1):
+    scores = settled = base
+    for done in (count(1) if rounds is None else range(1, rounds + 1)) if ways.limit(1).count() else ():
         moved = ways.join(scores, (ways.kind == scores.kind) & (ways.giver == scores.host)).select(
             ways.kind, F.col("taker").alias("host"), (F.col("part") * F.col("score") * damping).alias("score")
         )
         scores = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if done % CUT == 0:
             scores = stage(scores, "scores")
+            if rounds is None:  # scores never fall, so growth over several rounds bounds that of the last
+                grown = scores.join(settled.withColumnRenamed("score", "was"), ["kind", "host"], "left")
+                if not grown.where(F.col("score") - F.coalesce("was", F.lit(0.0)) > tolerance * F.col("score")).limit(1).count():
+                    break
+                settled = scores
     by_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(by_kind(0).alias("trust"), by_kind(1).alias("distrust"))
 
@@ -136,7 +147,7 @@ def filter_urls(
         F.avg(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)).alias("distrust"),
     )
     seeds = shares.select("host", "trust", F.when(F.col("distrust") > SEED_SHARE, F.col("distrust")).otherwise(0.0).alias("distrust"))
-    hosts = spread(host_links(pages, url_host(url), html_col), seeds)
+    hosts = spread(host_links(pages, url_host(url), html_col), seeds, rounds=None)
     scored = ruled.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     sums = seeds.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"all_{c}") for c in ("trust", "distrust")))
     scored = scored.crossJoin(F.broadcast(sums))  # one row of sums

@@ -392,6 +392,25 @@ def test_a_popular_blocked_host_still_counts(spark):
     assert got == {("block", True): 100_000}
 
 
+def test_distrust_reaches_hosts_of_any_depth(spark):
+    rows = [(0, "http://c0.net/", "")] + [(i, f"http://c{i}.com/", f"<a href=http://c{i - 1}.{'com' if i > 1 else 'net'}/>") for i in range(1, 15)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(verdict == "block" and math.isclose(d, 0.15 * 0.85**i, rel_tol=1e-9) for i, (verdict, d) in got.items()) and len(got) == 15
+
+
+def test_spreading_ends_at_the_fixed_point(spark):
+    edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 2), ("c", "a", 1), ("d", "c", 3)]
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.spread(spark.createDataFrame(edges, "source string, target string, n long"), spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 0.5)], "host string, trust double, distrust double"), rounds=None).collect()}
+    for kind, seed in enumerate("ac"):
+        m = np.zeros((4, 4))
+        for s, t, n in edges:
+            giver, taker = (s, t) if kind == 0 else (t, s)
+            m["abcd".index(taker), "abcd".index(giver)] = n
+        m /= np.maximum(m.sum(axis=0), 1)
+        want = np.linalg.solve(np.eye(4) - 0.85 * m, 0.15 * np.array([h == seed for h in "abcd"]))
+        assert all(math.isclose(got[h][kind], w, rel_tol=1e-8, abs_tol=1e-15) for h, w in zip("abcd", want, strict=True))
+
+
 # ------------------------------------------------------------------ op 8
 
 
