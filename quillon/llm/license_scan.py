@@ -4,9 +4,12 @@ Words are runs of letters, digits and characters above ASCII, with A-Z
 lower-cased.  A template's fingerprints are the winnowed hashes of its k-word
 runs (in every window of w hashes the least), held in an inverted index from
 fingerprint to template and position.  Whole texts are winnowed alike, so any
-shared run of k + w - 1 words meets the index.  Around the diagonal of every
-hit the template is aligned with the text, within a band; the share of its
-words that align is the coverage.
+shared run of k + w - 1 words meets the index.  Edits can break every such run,
+so single words are looked up too: if m words of a template may be missing, one
+of any m + 1 of its words is in each notice.  Such a hit counts if the words
+around it are enough for the coverage.  Around the diagonal of every hit the
+template is aligned with the text, within a band; the share of its words that
+align is the coverage.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ RUN, WINDOW = 3, 2
 BAND = 8
 #: Least share of a template's words that must align.
 COVERAGE = 0.8
+#: Word hits whose surroundings are looked at at once.
+CHUNK = 1 << 14
 
 # The wording of public licence notices.
 TEMPLATES = {
@@ -117,6 +122,33 @@ def _scan(templates: Mapping[str, str], coverage: float):
     bits = 16
     maybe = np.zeros(1 << bits, dtype=bool)
     maybe[known >> np.uint64(64 - bits)] = True
+    # Of each template the longest words, one more than may be missing, with all their places in it.
+    spelt = [[x.lower() for x in _WORD.findall(templates[n])] for n in names]
+    marks: list[tuple[int, int, int]] = []
+    least = [max(1, next(x for x in range(len(w) + 1) if x >= coverage * len(w))) if coverage <= 1 else len(w) + 1 for w in wanted]
+    for t, w in enumerate(wanted):
+        longest = sorted(range(len(w)), key=lambda p: (-len(spelt[t][p]), p))[: max(0, len(w) - least[t] + 1)]
+        marks += [(int(w[p]), t, p) for p in longest]
+    marked = np.array(sorted({x[0] for x in marks}), dtype=np.uint64)
+    maybe_word = np.zeros(1 << bits, dtype=bool)
+    maybe_word[marked >> np.uint64(64 - bits)] = True
+
+    def word_hits(words: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, template, diagonal) where a marked word stands among enough of its template's words for the coverage."""
+        at = np.concatenate([lo + np.flatnonzero(maybe_word[words[lo : lo + SLICE] >> np.uint64(64 - bits)]) for lo in range(0, len(words), SLICE)] or [np.zeros(0, dtype=np.int64)])
+        at = at[np.isin(words[at], marked)]
+        found = words[at]
+        for h, t, p in marks:
+            mine, n = at[found == h], len(wanted[t])
+            for lo in range(0, len(mine), CHUNK):
+                here = mine[lo : lo + CHUNK]
+                row = np.searchsorted(where, here, side="right") - 1
+                place = (here - p - BAND)[:, None] + np.arange(n + 2 * BAND)
+                inside = (place >= where[row][:, None]) & (place < where[row + 1][:, None])
+                around = words[np.clip(place, 0, len(words) - 1)]
+                share = sum(np.minimum(((around == w) & inside).sum(axis=1), c) for w, c in zip(*np.unique(wanted[t], return_counts=True), strict=True))
+                enough = share >= least[t]
+                yield from ((d, t, a - p) for d, a in zip(row[enough].tolist(), (here - where[row])[enough].tolist(), strict=True))
 
     def matches(text: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Accepted (template, words, first, end), the longest first and none overlapping, from (template, diagonal, position).
@@ -149,7 +181,7 @@ def _scan(templates: Mapping[str, str], coverage: float):
         return [(t, total, first, end) for first, end, t, total in chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.pieces(batches, "text") if len(known) else ():
+        for batch in textkit.pieces(batches, "text") if len(marked) or len(known) else ():
             words, where = words_of(batch.column("text"))
             by_doc: dict[int, list[tuple[int, int, int]]] = {}
             for lo in range(0, len(words), SLICE):
@@ -163,6 +195,8 @@ def _scan(templates: Mapping[str, str], coverage: float):
                     position = a + max(0, lo - WINDOW)
                     if position + RUN <= where[d + 1]:
                         by_doc.setdefault(d, []).extend((t, int(position - where[d]) - p, int(position - where[d])) for t, p in index[int(h[a])])
+            for d, t, diagonal in word_hits(words, where):
+                by_doc.setdefault(d, []).append((t, diagonal, 0))
             rows = []
             for d, hits in sorted(by_doc.items()):
                 chosen = matches(words[where[d] : where[d + 1]], sorted(set(hits)))
@@ -180,8 +214,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     """One row per notice found: doc_id, license, coverage (0 to 1), matched_words, template_words, and its span in words and characters.
 
     Ends of spans are exclusive.  Where notices overlap the one with more
-    matched words stays, then that of higher coverage, then by name.  Templates
-    of fewer than RUN words cannot be found.  Null, empty and wordless texts
+    matched words stays, then that of higher coverage, then by name.  A
+    notice is found if it strays by BAND diagonals at most.  Null, empty and wordless texts
     give no row; repeated rows give repeated rows; null ids stay null; other
     columns are ignored; empty tables and no templates give an empty table.
     The templates travel with the code, and no row is shuffled.

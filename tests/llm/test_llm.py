@@ -441,6 +441,30 @@ def test_adjacent_notices_are_all_found(spark):
     assert got == {i: [(x, size[x]) for x in names] for i, names in enumerate([*orders])} | {1000: [("MIT", 5)] * 9}
 
 
+def test_every_edit_that_coverage_allows_is_found(spark):
+    rows, want = [], {}
+    for name, line in license_scan.TEMPLATES.items():
+        words = re.findall("[0-9A-Za-z]+", line)
+        spare = len(words) - math.ceil(0.8 * len(words) - 1e-9)
+        for p in range(len(words)):
+            for put in ([], ["changed"]):
+                edited = list(words)
+                for x in sorted({(p + i * len(words) // spare) % len(words) for i in range(spare)}, reverse=True):
+                    edited[x : x + 1] = put
+                want[len(rows)] = name
+                rows.append((len(rows), "zz yy xx ww " + " ".join(edited) + " vv uu tt"))
+    for line in ("Released under MIT License", "Released under the terms of the MIT License", "Released now under then the same MIT free License"):
+        want[len(rows)] = "MIT"
+        rows.append((len(rows), line))
+    got = {}
+    for r in license_scan.scan_licenses(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    # A shorter template's words may be left in what another's edits keep: the lines of CC BY, and the header's first line.
+    alike = lambda x: "CC-BY" if re.fullmatch("CC-BY-(NC-|SA-)?4.0", x) else x.removesuffix("-header")
+    missed = {i: (rows[i][1], x, got.get(i)) for i, x in want.items() if alike(x) not in map(alike, got.get(i, []))}
+    assert not missed
+
+
 def test_alignment_is_the_longest_common_subsequence_within_the_band():
     rng = random.Random(11)
     for _ in range(200):
