@@ -210,14 +210,15 @@ def _credits(table: pa.Table) -> pa.Table:
 
 
 def _sets(k: int):
+    """The sets of texts, if they are those of the nodes given (any, if none is)."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.pieces(batches, "text"):
             rows = [
-                (want, len(s), s.tobytes())
+                (key, len(s), s.tobytes())
                 for want, s in zip(batch.column("node").to_pylist(), textkit.shingle_sets(*textkit.text_bytes(batch.column("text")), k), strict=True)
-                if len(s) and _set_key(s) == want
+                if len(s) and (key := _set_key(s)) == (key if want is None else want)
             ]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -394,10 +395,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = hopeful.where("first_id is not null").select(F.col("first_id").alias("doc_id"), "node")
     if hopeful.count() <= BROADCAST_NODES:
         chosen = F.broadcast(chosen)
-    sets = stage(
-        texts.where("text is not null").join(chosen, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, n long, tokens binary"),
-        "sets",
-    )  # a node twice, if its row is repeated, changes no class
+    sets_of = lambda df: df.select("node", "text").mapInArrow(_sets(k), "node long, n long, tokens binary")
+    sets = sets_of(texts.where("text is not null").join(chosen, "doc_id"))  # a node twice, if its row is repeated, changes no class
+    nameless = hopeful.where("first_id is null").select("node")
+    if held := nameless.count():  # found by their key, as no id leads to their texts
+        any_node = sets_of(texts.where("text is not null and doc_id is null").withColumn("node", F.lit(None).cast("long")))
+        own = any_node.join(F.broadcast(nameless) if held <= BROADCAST_NODES else nameless, "node", "left_semi")
+        sets = sets.unionByName(own.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    sets = stage(sets, "sets")
 
     common = (
         sets.select("tokens")

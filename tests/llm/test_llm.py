@@ -106,6 +106,19 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, settings):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_NODES": 0}])
+def test_a_near_copy_without_an_id_bridges_two_documents(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    words = [f"w{i}" for i in range(136)]
+    rows = [(2, " ".join(words[:120])), (None, " ".join(words[8:128])), (1, " ".join(words[16:])), (None, " ".join(words[8:128])), (None, prose(random.Random(1), 50)), (None, "z y x"), (None, None)]
+    alone = [prose(random.Random(2), 60)]
+    rows += [(None, alone[0] + end) for end in (" a", " b", " c")]
+    found = jaccard_join.jaccard_components(documents(spark, rows).repartition(3)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_components(rows)
+    assert sorted(r.component_id for r in found if r.n_shingles == 116) == [1] * 4
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).count() == 0
     only_empty = jaccard_join.jaccard_components(documents(spark, [(1, None), (2, "")])).collect()
