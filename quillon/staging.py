@@ -1,13 +1,18 @@
 """Tables that cut lineage: written once to the folder all executors share, then read back.
 
-The folder is the one ``spark.checkpoint.dir`` names.  Only where that is unset
-(tests, a laptop) a temporary folder of the driver takes its place.
+The folder is the one ``spark.checkpoint.dir`` names.  Where that is unset, a
+temporary folder of the driver takes its place, but only if the executors run
+on the driver's machine; elsewhere they could not read it.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _held(spark: SparkSession) -> list[str]:
+    """Paths of the staged tables that exist, in order."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quillon_staged"):
+        context._quillon_staged = []
+    return context._quillon_staged
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the written table.
 
@@ -30,5 +49,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _held(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the staged tables after the first ``since``, but those named in ``keep``; plans over the deleted ones cannot run again."""
+    held = _held(spark)
+    gone = [p for p in held[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        held.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Tables staged within are deleted when the block ends, but those named in ``keep``, which what it returns may read."""
+    since = len(_held(spark))
+    try:
+        yield
+    finally:
+        discard(spark, since, keep)
