@@ -22,3 +22,12 @@ def labelled_sample(labels: DataFrame, label_col: str, most: int, id_col: str =
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     return chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, label, text) of the sampled ids that documents have; of the texts of a repeated id that of the smallest hash.
+
+    ``sample`` is what ``labelled_sample`` gives, so it may be broadcast.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    return texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
