@@ -145,14 +145,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fits on at most ``sample`` labelled texts outside the held-out fold.
 
     The ids of the sample are broadcast (``sample`` rows at most) to find its
-    texts.  The driver gets the sample's statistics and a matrix of FEATURES
-    squared for each of FOLDS x PARTS; neither grows with the corpus.  Without
-    a labelled row every score is 0.5; with one class alone, that class.
+    texts; of a repeated id one text counts, chosen by a hash of its
+    statistics.  The driver gets the sample's statistics and a matrix of
+    FEATURES squared for each of FOLDS x PARTS; neither grows with the corpus.
+    Without a labelled row every score is 0.5; with one class alone, that class.
     """
     chosen = F.broadcast(labelled_sample(labels, label_col, sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
-    rows = stage(texts.mapInArrow(_text_statistics, "doc_id long, label int, x binary").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")), "statistics")
-    table = rows.orderBy("doc_id", "x").limit(2 * sample).toArrow()
+    rows = texts.mapInArrow(_text_statistics, "doc_id long, label int, x binary").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("x", F.xxhash64("x")).alias("x"))
+    rows = stage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")), "statistics")
+    table = rows.orderBy("doc_id").toArrow()  # ``sample`` rows at most
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float64).reshape(-1, N_STATISTICS)
     y, fold = table.column("label").to_numpy().astype(np.float64), table.column("fold").to_numpy()
 
@@ -194,10 +196,11 @@ def predict_texts(model: QualityModel, threshold: float = THRESHOLD):
     """A function from a text column to a struct of score and predicted."""
 
     @F.arrow_udf("score double, predicted int")
-    def found(texts: pa.Array) -> pa.Array:
-        parts = textkit.pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")
-        score = np.concatenate([np.zeros(0), *(model.scores(statistics(p.column("text"))) for p in parts)])
-        return pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = textkit.pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")
+            score = np.concatenate([np.zeros(0), *(model.scores(statistics(p.column("text"))) for p in parts)])
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
 
     return found
 
@@ -206,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per input row: doc_id, held_out, score (0 to 1) and predicted (1 if the score reaches the threshold).
 
     Only the text is used to score; null and empty texts are scored as texts
-    without words.  Repeated rows get equal rows, other columns are ignored,
+    without words.  An id with labels that disagree counts as good.  Repeated rows get equal rows, other columns are ignored,
     and an empty table gives an empty table.
     """
     model = fit_quality(docs, labels, id_col, text_col, label_col)
