@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.llm import textkit
 from quillon.llm.labelled import held_out
+from quillon.staging import stage
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -24,8 +25,10 @@ SAMPLE = 1000
 UNDETERMINED = "und"
 #: The blank that stands for everything between words, and the most bits of a letter.
 _BLANK, _BITS = 0x20, 21
-#: Letters handled at once.
-SLICE = 1 << 20
+#: Characters handled at once, and n-grams of languages that a task holds before it sends them.
+SLICE, HELD = 1 << 20, 1 << 20
+#: Languages up to which the bounds of their samples are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 
 _letters: list[np.ndarray] = []
 
@@ -37,44 +40,39 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def _blanked(codes: np.ndarray) -> np.ndarray:
-    """Letters, with every run of other characters as one blank and a blank at both ends; empty without letters."""
-    letter = _is_letter()[codes]
-    codes = np.where(letter, codes, np.uint32(_BLANK))
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first blank after a word
-    codes = codes[keep]
-    if not letter.any():
-        return codes[:0]
-    ends = [np.uint32(_BLANK)] if codes[-1] != _BLANK else []
-    return np.concatenate([np.array([_BLANK], dtype=np.uint32), codes, np.array(ends, dtype=np.uint32)])
-
-
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 1- to 3-grams of the whole text, as integers in ascending order, and their counts."""
+    """Distinct 1- to 3-grams of the whole text, as integers in ascending order, and their counts.
+
+    Letters count as they are, every run of other characters as one blank, with
+    a blank at both ends; a text without a letter has none.  A slice goes on
+    from the last two symbols before it, so the cuts make no difference.
+    """
     grams: list[np.ndarray] = []
     counts: list[np.ndarray] = []
+    shift, before = np.uint64(_BITS), np.array([_BLANK], dtype=np.uint64)
     lowered = text.lower()
-    for lo in range(0, len(lowered), SLICE):
-        piece = lowered[lo : lo + SLICE]
-        letters = _blanked(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).astype(np.uint64)
-        if not len(letters):
-            continue
-        shift = np.uint64(_BITS)
-        two = (letters[:-1] << shift) | letters[1:]
-        three = (two[:-1] << shift) | letters[2:]
-        one = letters[letters != _BLANK]
-        for g in (one, two, three):
+    for lo in range(0, len(lowered) + 1, SLICE):
+        piece = lowered[lo : lo + SLICE] + (" " if lo + SLICE > len(lowered) else "")
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _is_letter()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the first blank after a word
+        keep[0] |= before[-1] != _BLANK
+        symbols = np.concatenate([before, np.where(letter, codes, np.uint32(_BLANK))[keep].astype(np.uint64)])
+        old = len(before)
+        two = (symbols[:-1] << shift) | symbols[1:]
+        three = (two[:-1] << shift) | symbols[2:]
+        one = symbols[old:]
+        for g in (one[one != _BLANK], two[old - 1 :], three[max(0, old - 2) :]):  # those that end in this slice
             found, n = np.unique(g, return_counts=True)
             grams.append(found)
             counts.append(n)
-    if not grams:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        before = symbols[-2:]
     all_grams, all_counts = np.concatenate(grams), np.concatenate(counts)
-    if len(lowered) <= SLICE:
+    if len(lowered) < SLICE:
         return all_grams, all_counts  # ascending: longer n-grams are greater
     found, at = np.unique(all_grams, return_inverse=True)
-    return found, np.bincount(at, weights=all_counts).astype(np.int64)
+    return found, np.bincount(at, weights=all_counts, minlength=len(found)).astype(np.int64)
 
 
 def top_ngrams(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -88,36 +86,43 @@ def top_ngrams(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    total: dict[str, dict[int, int]] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            mine = total.setdefault(lang, {})
-            grams, counts = ngram_counts(text)
+
+    def settle(total: dict[tuple[str, int], int]) -> Iterator[pa.RecordBatch]:
+        if total:
+            lang, gram = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.int64()), pa.array(list(total.values()), pa.int64())], schema=schema)
+
+    total: dict[tuple[str, int], int] = {}
+    for batch in textkit.pieces(batches, "text"):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            grams, counts = ngram_counts(text.as_py())
             for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
-                mine[g] = mine.get(g, 0) + n
-    for lang, mine in total.items():
-        grams = np.fromiter(mine, dtype=np.uint64, count=len(mine)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(grams), pa.array(list(mine.values()), pa.int64())], schema=schema)
+                total[lang, g] = total.get((lang, g), 0) + n
+            if len(total) >= HELD:
+                yield from settle(total)
+                total = {}
+    yield from settle(total)
 
 
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Language to its profile, from about ``sample`` labelled texts a language outside the held-out fold.
 
     Rows of null text or language are left out, and so are languages whose
-    texts hold no letter.  What is gathered is ``size`` n-grams a language.
+    texts hold no letter.  Every language is learnt.  What is gathered is
+    ``size`` n-grams a language, as each task compares with every profile.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
     # The hash bound of the sample is taken from counts, so that texts are neither sorted nor shuffled.
-    position = F.abs(F.xxhash64("doc_id", F.lit(5)) % (1 << 20))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not sizes:
-        return {}
-    bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, -(-sample * (1 << 20) // n))))), F.col("lang"))
-    chosen = known.where(F.col("lang").isin(list(sizes))).where(position < bound).select("lang", "text")
+    position = F.abs(F.xxhash64("doc_id", "text", F.lit(5)) % (1 << 20))
+    bounds = stage(known.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("of"), F.ceil(F.lit(sample * (1 << 20)) / F.col("rows")).alias("bound")), "languages")
+    if bounds.count() <= BROADCAST_LANGUAGES:
+        bounds = F.broadcast(bounds)
+    chosen = known.join(bounds, F.col("lang") == F.col("of")).where(position < F.col("bound")).select("lang", "text")
     counts = chosen.mapInArrow(_count_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    per_lang = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("top")).collect()
-    return {r.lang: np.array([x.gram for x in r.top], dtype=np.int64).view(np.uint64) for r in sorted(per_lang, key=lambda r: r.lang)}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= size).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("top")).collect()
+    return {r.lang: np.array([x.gram for x in r.top], dtype=np.int64).view(np.uint64) for r in sorted(top, key=lambda r: r.lang)}
 
 
 def _predictor(profiles: dict[str, np.ndarray], size: int):
@@ -162,10 +167,11 @@ def predict_texts(profiles: dict[str, np.ndarray], size: int = PROFILE):
     """A function from a text column to a struct of lang_pred and score."""
 
     @F.arrow_udf("lang_pred string, score double")
-    def found(texts: pa.Array) -> pa.Array:
-        predict = _predictor(profiles, size)
-        told = [predict(x.as_py()) for x in texts]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())], names=["lang_pred", "score"])
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predict = _predictor(profiles, size)  # once for each task
+        for texts in batches:
+            told = [predict(x.as_py()) for x in texts]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())], names=["lang_pred", "score"])
 
     return found
 
