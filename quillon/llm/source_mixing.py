@@ -10,9 +10,11 @@ being uniform from a hash of its id and text, and the documents of a source are
 taken by ascending key until their sizes, summed, reach the budget; the one
 that reaches it is taken in part.
 
-The sum over a source is made in two steps, so that no task holds a source:
-sizes are summed by bins of the key, the sums of the bins are accumulated, and
-only the bin in which the budget ends is sorted.  DataFrame functions alone.
+The sum over a source is made in steps, so that no task holds a source: sizes
+are summed by bins of the key, the sums of the bins are accumulated, the bin in
+which the budget ends is cut into finer bins in the same way, and only the one
+of those in which it ends is sorted.  Bins are even in the logarithm of the
+key, so they fit any scale of weights.  DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from quillon.staging import stage
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source's size.
 MAX_EPOCHS = 3
-#: Bins of the key in a source. Any number gives the same result; it bounds what one window holds.
-BINS = 8192
+#: Bins for each doubling of the key, and finer bins in each. Any numbers give the same result; they bound what one window holds.
+BINS, FINER = 256, 4096
 #: Characters that prose has few of; their share of the words lowers a document's quality weight.
 SYMBOLS = "#*$%&|<>{}[]=_~^\\"
 
@@ -60,6 +62,15 @@ def source_targets(totals: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
     return first.select("source", "source_size", F.least(F.col("level") * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
+def _edge(sums: DataFrame, budgets: DataFrame, level: str) -> DataFrame:
+    """(of, edge_<level>, edge_<level>_before): the bin of each source in which its budget ends, and what the bins before it hold."""
+    so_far = Window.partitionBy("source").orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0))).alias("s")
+    ends = s.join(budgets.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).where("before < budget and before + held >= budget")
+    first = ends.groupBy(F.col("s.source").alias("of")).agg(F.min(F.struct(level, "before")).alias("edge"))
+    return first.select("of", F.col(f"edge.{level}").alias(f"edge_{level}"), F.col("edge.before").alias(f"edge_{level}_before"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,8 +87,8 @@ def mix_sources(
     once more if the document is drawn, or the part of it that meets the
     source's budget to the word.  No document passes ``max_epochs`` times its
     size.  ``weight`` is a column of quality weights above 0; without one
-    ``quality_weight`` of the text is used, and null or non-positive weights
-    come last.  Documents of equal key are taken in the order of id and size;
+    ``quality_weight`` of the text is used, and documents of null, NaN or
+    non-positive weights come last, in the order of -ln(u).  Documents of equal key are taken in the order of id and size;
     rows alike in id and text share a key, and which of them is taken in part
     is not told apart.  A null source is a source of its own.  Reruns agree.
     Other columns are ignored; an empty table gives an empty table.
@@ -93,10 +104,12 @@ def mix_sources(
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     weight = quality_weight(F.col("text"), size) if weight is None else F.col("weight")
-    key = F.when(weight > 0, -F.log(uniform) / weight).otherwise(F.lit(float("inf")))
-    # 1 - exp(-key) is uniform where the weights are 1, so the bins fill evenly.
-    bin_ = F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
-    keyed = stage(sized.select("doc_id", "source", "size", key.alias("key")).withColumn("bin", bin_), "mix")
+    weighed = F.coalesce((weight > 0) & ~F.isnan(weight), F.lit(False))
+    key = -F.log(uniform) / F.when(weighed, weight).otherwise(1.0)
+    # Bins ascend with the key; those of the unweighed come after all others (a double has 2,098 doublings).
+    step = F.floor(F.log2(F.greatest(F.col("key"), F.lit(5e-324))) * BINS * FINER) + F.when(F.col("last"), F.lit((1 << 14) * BINS * FINER).cast("long")).otherwise(F.lit(0).cast("long"))
+    keyed = sized.select("doc_id", "source", "size", key.alias("key"), (~weighed).alias("last")).withColumn("step", step.cast("long"))
+    keyed = stage(keyed.withColumn("bin", F.floor(F.col("step") / FINER).cast("int")).withColumn("fine", F.pmod("step", F.lit(FINER)).cast("int")).drop("step"), "mix")
 
     bins = stage(keyed.groupBy("source", "bin").agg(F.sum("size").alias("held")), "bins")
     totals = bins.groupBy("source").agg(F.sum("held").alias("source_size"))
@@ -105,19 +118,22 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     planned = targets.withColumn("epochs", epochs).withColumn("budget", budget - F.col("epochs") * F.col("source_size"))
 
-    so_far = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    reached = bins.withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-    p, r = planned.alias("p"), reached.alias("r")
-    edges = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).where("r.before < p.budget and r.before + r.held >= p.budget")
-    edge = edges.groupBy(F.col("p.source").alias("source")).agg(F.min_by(F.struct(F.col("r.bin").alias("bin"), F.col("r.before").alias("before")), F.col("r.bin")).alias("edge"))
-    plan = planned.join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
-        F.col("source").alias("plan_source"), "source_size", "target", "epochs", "budget", F.coalesce("edge.bin", F.lit(-1)).alias("edge_bin"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")
-    )
-    plan = stage(plan, "plan")  # a row for each source
+    bin_edge = _edge(bins, planned.select("source", "budget"), "bin")
+    plan = planned.join(bin_edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    plan = stage(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "budget", "edge_bin", "edge_bin_before"), "plan")  # a row for each source
+
+    at_edge = keyed.join(plan, keyed.source.eqNullSafe(plan.plan_source) & (keyed.bin == plan.edge_bin))
+    fines = at_edge.groupBy("source", "fine").agg(F.sum("size").alias("held"))
+    fine_edge = _edge(fines, plan.select(F.col("plan_source").alias("source"), (F.col("budget") - F.col("edge_bin_before")).alias("budget")), "fine")
+    plan = stage(plan.join(fine_edge, F.col("plan_source").eqNullSafe(F.col("of")), "left").drop("of"), "plan")
 
     joined = keyed.join(plan, keyed.source.eqNullSafe(plan.plan_source)).drop("plan_source")
     out = lambda extra: ("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), "epochs")
-    settled = joined.where("bin <> edge_bin").select(*out(F.when(F.col("bin") < F.col("edge_bin"), F.col("size")).otherwise(F.lit(0))))
-    within = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = joined.where("bin = edge_bin").withColumn("left", F.col("budget") - F.col("edge_before") - F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # Without an edge nothing is drawn: the bin is null.
+    before = F.coalesce((F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (F.col("fine") < F.col("edge_fine"))), F.lit(False))
+    ends_here = F.coalesce((F.col("bin") == F.col("edge_bin")) & (F.col("fine") == F.col("edge_fine")), F.lit(False))
+    settled = joined.where(~ends_here).select(*out(F.when(before, F.col("size")).otherwise(0)))
+    within = Window.partitionBy("source").orderBy("last", "key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("budget") - F.col("edge_bin_before") - F.col("edge_fine_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    sorted_ = joined.where(ends_here).withColumn("left", left)
     return settled.unionByName(sorted_.select(*out(F.greatest(F.lit(0), F.least(F.col("size"), F.col("left"))))))
