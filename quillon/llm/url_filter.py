@@ -39,8 +39,8 @@ class Rule:
 
 # The rules of the query.
 RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow"))
-#: Share of a host's score that goes on over its links, and rounds of it in the SQL.
-DAMPING, ROUNDS = 0.85, 8
+#: Share of a host's score that goes on over its links.
+DAMPING = 0.85
 #: How far distrust must be above trust, as a share of both, and the share of blocked pages above which a host is a blocked seed.
 THRESHOLD, SEED_SHARE = 1e-9, 0.5
 #: Rounds after which lineage is cut.
@@ -82,7 +82,7 @@ def host_links(pages: DataFrame, host: Column, html_col: str = "html") -> DataFr
     return links.where("source <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``links`` (source, target, n) and ``seeds`` (host, trust, distrust).
 
     With ``rounds`` None it ends once no score has grown by more than
@@ -147,7 +147,7 @@ def filter_urls(
         F.avg(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)).alias("distrust"),
     )
     seeds = shares.select("host", "trust", F.when(F.col("distrust") > SEED_SHARE, F.col("distrust")).otherwise(0.0).alias("distrust"))
-    hosts = spread(host_links(pages, url_host(url), html_col), seeds, rounds=None)
+    hosts = spread(host_links(pages, url_host(url), html_col), seeds)
     scored = ruled.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     sums = seeds.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"all_{c}") for c in ("trust", "distrust")))
     scored = scored.crossJoin(F.broadcast(sums))  # one row of sums
@@ -156,18 +156,13 @@ def filter_urls(
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
 
 
-def oracle(rounds: int = ROUNDS) -> str:
-    """The same in DuckDB SQL, for the default rules; trust and distrust rounded to 9 places as in the query."""
-    steps = []
-    for i in range(1, rounds + 1):
-        steps.append(f"""r{i} AS (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT kind, host, score FROM r0
-    UNION ALL
-    SELECT w.kind, w.taker, w.part * s.score * {DAMPING} FROM ways w JOIN r{i - 1} s ON w.kind = s.kind AND w.giver = s.host)
-  GROUP BY kind, host)""")
+def oracle() -> str:
+    """The same in DuckDB SQL, for the default rules; trust and distrust rounded to 9 places as in the query.
+
+    Each round of the recursion passes on what the last one moved, until what is moved is below 1e-18 everywhere.
+    """
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, html,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
@@ -197,11 +192,16 @@ ways AS (SELECT kind, giver, taker, n / sum(n) OVER (PARTITION BY kind, giver)::
 r0 AS (
   SELECT 0 AS kind, host, trust / (SELECT sum(trust) FROM seeds) * {1 - DAMPING} AS score FROM seeds WHERE trust > 0
   UNION ALL SELECT 1, host, distrust / (SELECT sum(distrust) FROM seeds) * {1 - DAMPING} FROM seeds WHERE distrust > 0),
-{", ".join(steps)},
+moved AS (
+  SELECT kind, host, score FROM r0
+  UNION ALL
+  SELECT w.kind, w.taker, sum(w.part * m.score * {DAMPING}) FROM ways w JOIN moved m ON w.kind = m.kind AND w.giver = m.host GROUP BY w.kind, w.taker HAVING sum(w.part * m.score) > 1e-18),
 hosts AS (
-  SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust FROM r{rounds} GROUP BY host)
+  SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust FROM moved GROUP BY host),
+compared AS (
+  SELECT host, trust, distrust, trust * (SELECT coalesce(sum(trust), 0) FROM seeds) AS good, distrust * (SELECT coalesce(sum(distrust), 0) FROM seeds) AS bad FROM hosts)
 SELECT page_id, j.host, path, rule,
-       coalesce(by_rule, CASE WHEN coalesce(h.distrust, 0) - coalesce(h.trust, 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(by_rule, CASE WHEN coalesce(bad - good > {THRESHOLD} * (bad + good), false) THEN 'block' ELSE 'allow' END) AS verdict,
        round(coalesce(h.trust, 0), 9) AS trust, round(coalesce(h.distrust, 0), 9) AS distrust
-FROM judged j LEFT JOIN hosts h ON j.host = h.host
+FROM judged j LEFT JOIN compared h ON j.host = h.host
 """
