@@ -18,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import textkit
+from quillon.staging import stage
 
 #: Benchmark words up to which seeds and items are sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Words whose seeds are looked up at once.
 SLICE = 1 << 20
+#: Bits, at most 2 ** FILTER_BITS, of the filter that documents' seeds must pass before they are shuffled; it comes in parts of 2 ** PART_BITS.
+FILTER_BITS, PART_BITS = 27, 19
 _SEPARATORS = np.ones(256, dtype=bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_ITEM_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,18 +58,35 @@ class _Rolling:
         return start, (self.sums[start + length] - self.sums[start]) * self.inverse[start]
 
 
+def _shared_parts(item: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the text that are in a run of ``least`` words that the item has, one word in place of each gap, and their places (-1: a gap)."""
+    if least < 1 or min(len(item), len(text)) < least:
+        return text[:0], np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(np.isin(textkit.shingle_hashes(text, least), textkit.shingle_hashes(item, least)))
+    edge = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
+    place = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    gap = np.flatnonzero(np.diff(place) > 1) + 1
+    return np.insert(text[place], gap, 0), np.insert(place, gap, -1)
+
+
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, length), longest first; equal lengths by their starts.
 
-    ``least`` is the shortest tile.  Each round finds the greatest length of a
+    ``least`` is the shortest tile, so only those parts of the text count whose
+    runs of ``least`` words are in the item, too; the rest is left out first, a
+    break in its place.  Each round finds the greatest length of a
     common run of unmarked words by bisection and marks all runs of it that do
     not overlap, in the order of their starts.
     """
+    text, place = _shared_parts(item, text, least)
     n = max(len(item), len(text))
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _ROLL, dtype=np.uint64)])
         inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(int(_ROLL), -1, 1 << 64), dtype=np.uint64)])
         a, b = _Rolling(item, power, inverse), _Rolling(text, power, inverse)
+        b.free &= place >= 0
 
         def common(length: int) -> bool:
             return bool(np.isin(a.windows(length)[1], b.windows(length)[1]).any())
@@ -85,7 +106,7 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[i
                 for t in starts[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, side="right")]:
                     if a.free[p : p + low].all() and b.free[t : t + low].all() and (item[p : p + low] == text[t : t + low]).all():
                         a.free[p : p + low] = b.free[t : t + low] = False
-                        tiles.append((int(p), int(t), low))
+                        tiles.append((int(p), int(place[t]), low))
                         break
             most = low - 1
     return tiles
@@ -150,22 +171,64 @@ def _against(items: list[tuple[int | None, np.ndarray]], k: int, threshold: floa
     return run
 
 
-def _seed_rows(id_name: str, k: int):
-    """(id, length, seed) for every distinct seed of a text."""
+def _seed_rows(id_name: str, k: int, lengths: tuple[int, ...] | None = None, maybe: Callable[[], np.ndarray] | None = None):
+    """(id, seed) for every distinct seed of a text: of an item the runs of k words (or of all, if it has fewer), of a document those of all ``lengths``.
+
+    maybe: a filter by leading bits that seeds must pass.
+    """
     schema = pa.schema([(id_name, pa.int64()), ("seed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = maybe() if maybe else None
+        shift = np.uint64(64 - (len(held).bit_length() - 1)) if held is not None else None
         for batch in textkit.pieces(batches, "text"):
             words, where = words_of(batch.column("text"))
-            for i, lo, hi in zip(batch.column(id_name).to_pylist(), where[:-1], where[1:], strict=True):
-                lengths = range(min(k, hi - lo), 0, -1) if id_name == "item_id" else range(1, k + 1)
-                for length in list(lengths)[:1] if id_name == "item_id" else lengths:
-                    s = np.unique(textkit.shingle_hashes(words[lo:hi], length))
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int64()), pa.array(s.view(np.int64))], schema=schema)
+            ids, seeds, owners = batch.column(id_name).to_pylist(), [], []
+            for i, lo, hi in zip(ids, where[:-1], where[1:], strict=True):
+                for length in lengths or (min(k, int(hi - lo)),):
+                    if length and hi - lo >= length:
+                        h = textkit.shingle_hashes(words[lo:hi], length)
+                        seeds.append(np.unique(h if held is None else h[held[h >> shift]]))
+                        owners.append(np.full(len(seeds[-1]), i, dtype=np.int64))
+            if seeds:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(seeds).view(np.int64))], schema=schema)
+
+    return run
+
+
+_PART = pa.schema([("part", pa.int32()), ("mask", pa.binary())])
+
+
+def _masks(bits: int, part_bits: int):
+    """The parts of a filter in which seeds of this task have a bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            seen[batch.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        for part, own in enumerate(seen.reshape(-1, 1 << part_bits)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], schema=_PART)
 
     return run
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    whole = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("mask").to_pylist()])
+    return pa.table([table.column("part")[:1], pa.array([whole.tobytes()], pa.binary())], schema=_PART)
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """One bit for each value of the seeds' leading bits: 16 times as many as there are seeds, 2 ** FILTER_BITS at most."""
+    bits = min(FILTER_BITS, max(16, (16 * seeds.count()).bit_length()))
+    part_bits = min(PART_BITS, bits)
+    parts = seeds.mapInArrow(_masks(bits, part_bits), "part int, mask binary").groupBy("part").applyInArrow(_joined, "part int, mask binary").collect()  # 16 MB at most
+    packed = np.zeros((1 << (bits - part_bits), (1 << part_bits) // 8), dtype=np.uint8)
+    for r in parts:
+        packed[r.part] = np.frombuffer(bytes(r.mask), dtype=np.uint8)
+    return packed.reshape(-1)
+
+
 def _paired(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.pieces(batches, "text"):
@@ -199,12 +262,14 @@ def contaminated_pairs(
     ignored; empty tables give no pairs.
 
     Up to ``broadcast_words`` words of items (a count of the whole table) the
-    items go to the executors and no row is shuffled.  Beyond it seeds are
-    joined by a shuffle, and texts only for the pairs that share one.
+    items go to the executors and no row is shuffled.  Beyond it the documents'
+    seeds that pass a filter of the items' seeds are joined with them by a
+    shuffle (AQE splits a seed of many documents), and texts only for the pairs
+    that share one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    n_words = items.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(_ITEM_WORD)))).first()[0] or 0
     if n_words <= broadcast_words:
         rows = items.collect()  # broadcast_words words at most
         words, where = words_of(pa.array([r.text for r in rows], pa.string()))
@@ -216,8 +281,11 @@ def contaminated_pairs(
     # Rows are told apart by their own number, as ids may be null or repeated.
     numbered = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     numbered_items = items.withColumn("item_row", F.xxhash64("item_id", "text"))
-    doc_seeds = numbered.select(F.col("row").alias("doc_id"), "text").mapInArrow(_seed_rows("doc_id", k), "doc_id long, seed long")
-    item_seeds = numbered_items.select(F.col("item_row").alias("item_id"), "text").mapInArrow(_seed_rows("item_id", k), "item_id long, seed long")
+    item_seeds = stage(numbered_items.select(F.col("item_row").alias("item_id"), "text").mapInArrow(_seed_rows("item_id", k), "item_id long, seed long").distinct(), "seeds")
+    n_item_words = F.least(F.lit(k), F.regexp_count("text", F.lit(_ITEM_WORD)))
+    lengths = tuple(sorted(r.n for r in items.select(n_item_words.alias("n")).where("n > 0").distinct().collect()))  # k rows at most
+    packed = docs.sparkSession.sparkContext.broadcast(seed_filter(item_seeds))
+    doc_seeds = numbered.select(F.col("row").alias("doc_id"), "text").mapInArrow(_seed_rows("doc_id", k, lengths, lambda: np.unpackbits(packed.value).view(bool)), "doc_id long, seed long")
     pairs = doc_seeds.join(item_seeds, "seed").select(F.col("doc_id").alias("row"), F.col("item_id").alias("item_row")).distinct()
     with_items = pairs.join(numbered_items.select("item_row", "item_id", F.col("text").alias("item_text")), "item_row")
     return with_items.join(numbered, "row").select("doc_id", "text", "item_id", "item_text").mapInArrow(_paired(k, threshold), _PAIR_DDL)
