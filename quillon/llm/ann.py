@@ -29,8 +29,10 @@ SAMPLE, PROBES = 8192, 256
 CODEWORDS = 128
 #: Recall aimed at on the sample; larger tables have nearer neighbours and so higher recall.
 RECALL = 0.97
-#: Entries of a block of the index; a fuller codeword is split.
-BLOCK = 4096
+#: Entries of a block of the index, and queries that one copy of it answers; a fuller codeword is split, a block asked by more is copied.
+BLOCK, QUERIES = 4096, 4096
+#: Queries that one task traverses the cells for.
+TRAVERSED = 128
 
 
 def _valid(v: Column) -> Column:
@@ -200,7 +202,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     Every row is indexed.  Codebooks come from SAMPLE vectors at most; the
     driver gets those and the CODEWORDS squared cell counts.  A cell counts
     distinct vectors, so copies do not use up a query's share; a codeword of
-    many rows is split in blocks of about BLOCK.
+    many rows is split in blocks of about BLOCK, and a block that many queries
+    ask is copied, so that a group holds about BLOCK entries and QUERIES queries.
     """
     spark = vectors.sparkSession
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -224,11 +227,18 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         held[r.i] += r.rows
     parts = -(-held // BLOCK)
     enough = max(10 * k, int(np.ceil(index.share * distinct.sum())))
-    queries = entries.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = queries.mapInArrow(_ask(index, distinct, parts, enough), "query_id long, q array<double>, reach double, i int, part int")
+    queries = stage(entries.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    tasks = max(1, -(-queries.count() // TRAVERSED))
+    asks = queries.repartition(tasks, "vec_id").mapInArrow(_ask(index, distinct, parts, enough), "query_id long, q array<double>, reach double, i int, part int")
+    asks = stage(asks, "asks")
+    asked = np.zeros(shape[0], dtype=np.int64)
+    for r in asks.where("part = 0").groupBy("i").count().collect():  # a row for each codeword
+        asked[r.i] = r["count"]
+    copies = F.element_at(F.array(*(F.lit(int(max(1, -(-n // QUERIES)))) for n in asked)), F.col("i") + 1)
+    asks = asks.withColumn("copy", F.pmod(F.xxhash64("query_id", F.lit(4)), copies).cast("int"))
     split = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.element_at(F.array(*(F.lit(int(max(1, p))) for p in parts)), F.col("i") + 1)).cast("int")
-    blocks = entries.select("vec_id", "v", "i", "j", split.alias("part")).groupBy("i", "part")
-    found = blocks.cogroup(asks.groupBy("i", "part")).applyInArrow(_rerank(index, k), "query_id long, vec_id long, score double")
+    blocks = entries.select("vec_id", "v", "i", "j", split.alias("part"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy")).groupBy("i", "part", "copy")
+    found = blocks.cogroup(asks.groupBy("i", "part", "copy")).applyInArrow(_rerank(index, k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
