@@ -16,8 +16,9 @@ order it is done:
 4. Hubs: every member of a list is searched against a few members chosen by
    hash.  A mass of near copies thereby joins into one class in linear work.
 5. The rest: in lists that still hold several classes, members of the smaller
-   classes are indexed in blocks, and the members of larger ones search each
-   block with which they share as many prefix tokens as a link needs.
+   classes are indexed in blocks of sets of about one size, and the members of
+   larger ones search each block with which they share as many prefix tokens
+   as a link needs.  A block with many searchers is copied.
    Searches (DivideSkip) run on a block of inverted lists: the shortest lists
    are heap-merged, the longest probed by binary search.
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import textkit
 from quillon.llm.graph import connected_components
-from quillon.staging import stage
+from quillon.staging import scratch, stage
 
 #: Tokens that are ordered by frequency; the others are ordered by hash. Any number gives the same result.
 HOT_TOKENS = 65_536
@@ -354,10 +355,18 @@ def _run_searches(index: DataFrame, searches: DataFrame, sets: DataFrame, thresh
     return rows.groupBy("block", "copies", "part").applyInArrow(_search(threshold), "a long, b long")
 
 
-def _part(size, node):
-    """In how many copies a block is searched if a list of this size searches it, and which of them a node searches."""
-    copies = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(size / SEARCHES)))).cast("long")
-    return copies.alias("copies"), F.pmod(F.xxhash64(node, F.lit(7)), copies).cast("int").alias("part")
+def _dealt(asks: DataFrame) -> DataFrame:
+    """asks (block, node, label) with copies and part: a block is copied as often as its searchers, counted, need it; a node searches one copy."""
+    crowded = stage(asks.groupBy("block").agg(F.count("*").alias("searchers")).where(F.col("searchers") > SEARCHES), "crowded")
+    if crowded.count() <= BROADCAST_NODES:
+        crowded = F.broadcast(crowded)
+    copies = F.coalesce(F.ceil(F.col("searchers") / SEARCHES), F.lit(1)).cast("long")
+    return asks.join(crowded, "block", "left").select("block", copies.alias("copies"), F.pmod(F.xxhash64("node", F.lit(7)), copies).cast("int").alias("part"), "node", "label")
+
+
+def _size_bin(n, threshold: int):
+    """Sets that may link are in the same bin or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / max(1e-3, 1.001 * math.log(100 / threshold))).cast("int")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
@@ -372,6 +381,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their shingles.  Other columns of the input are ignored, whatever their
     names; an empty table gives an empty table.
     """
+    with scratch(docs.sparkSession, "digests", "components"):
+        return _components(docs, id_col, text_col, k, threshold)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(texts.mapInArrow(_digests(k, threshold), "doc_id long, n long, node long, sketch binary"), "digests")
@@ -417,15 +431,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     postings = stage(sets.mapInArrow(_postings(hot, threshold), "token long, node long, n long"), "postings")
     hub = lambda i: F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"hub{i}")
-    lists = stage(postings.groupBy("token").agg(F.count("*").alias("size"), *map(hub, range(HUBS))).where("size > 1"), "lists")
+    lists = stage(postings.groupBy("token").agg(F.count("*").alias("size"), *map(hub, range(HUBS))).where("size > 1").drop("size"), "lists")
     live = stage(postings.join(lists, "token"), "live")
 
     # Hubs: a block is one hub, and all members of its lists search it.
-    asks = live.select("node", "n", "size", F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")).where(
+    asks = live.select("node", "n", F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")).where(
         f"node <> hub.node and 100 * least(n, hub.n) >= {threshold} * greatest(n, hub.n)"
     )
-    asks = asks.select(F.col("hub.node").alias("block"), *_part(F.col("size"), F.col("node")), "node", F.col("node").alias("label")).distinct()
-    asks = stage(asks, "asks")
+    asks = stage(asks.select(F.col("hub.node").alias("block"), "node", F.col("node").alias("label")).distinct(), "asks")
+    asks = stage(_dealt(asks), "dealt")
     hubs = asks.select("block").distinct().select("block", F.col("block").alias("node"), F.col("block").alias("label"))
     links = stage(_run_searches(hubs, asks, sets, threshold), "links")
     labels = connected_components(links)
@@ -434,20 +448,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = labels.groupBy("label").agg(F.count("*").alias("held")).withColumnRenamed("label", "class")
     labels = stage(labels.join(classes, F.col("label") == F.col("class")).select("node", "label", "held"), "labels")
     rank = F.struct(F.coalesce("held", F.lit(1)).alias("held"), F.coalesce("label", "node").alias("label"))
-    labelled = live.select("token", "node", "n", "size", F.col("hub0.node").alias("home")).join(labels, "node", "left")
+    labelled = live.select("token", "node", "n", F.col("hub0.node").alias("home")).join(labels, "node", "left")
     labelled = stage(labelled.withColumn("rank", rank).drop("label", "held"), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("token", "high")
     members = stage(labelled.join(stage(mixed, "mixed"), "token"), "members")
-    minor = members.where("rank < high").groupBy("node").agg(F.mode("home", True).alias("home"), F.first("rank").alias("rank"))
-    homes = minor.groupBy("home").agg(F.count("*").alias("held"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("held") / BLOCK)))
-    index = stage(minor.join(homes, "home").select(block.alias("block"), "node", "rank"), "index")
-    reach = members.where("rank < high").select("token", "node").join(index, "node").groupBy("token", "block").agg(F.min("rank").alias("low"))
-    shared = members.select("token", "node", "n", "size", "rank").join(reach, "token").where("rank > low")
-    shared = shared.groupBy("block", "node").agg(F.count("*").alias("tokens"), F.max("size").alias("size"), F.first("n").alias("n"), F.first("rank").alias("rank"))
+    minor = members.where("rank < high").groupBy("node").agg(F.mode("home", True).alias("home"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    minor = stage(minor.withColumn("bin", _size_bin(F.col("n"), threshold)), "minor")
+    homes = minor.groupBy("home", "bin").agg(F.count("*").alias("held"))
+    block = F.xxhash64("home", "bin", F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("held") / BLOCK)))
+    index = stage(minor.join(homes, ["home", "bin"]).select(block.alias("block"), "node", "rank", "bin"), "index")
+    # Blocks hold sets of one bin of sizes, so a list's members meet only those of its blocks that hold sets of about their size.
+    reach = members.where("rank < high").select("token", "node").join(index, "node").groupBy("token", "block", "bin").agg(F.min("rank").alias("low"))
+    reach = reach.select("token", "block", "low", F.explode(F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).alias("bin"))
+    asking = members.select("token", "node", "n", "rank", _size_bin(F.col("n"), threshold).alias("bin"))
+    shared = asking.join(reach, ["token", "bin"]).where("rank > low")
+    shared = shared.groupBy("block", "node").agg(F.count("*").alias("tokens"), F.first("n").alias("n"), F.first("rank").alias("rank"))
     # Partners share a tenth of the smaller set's size, less one, in both prefixes, and a partner has ``threshold`` percent of n at least.
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold / 1000) - 1)
-    asks = stage(shared.where(F.col("tokens") >= needed).select("block", *_part(F.col("size"), F.col("node")), "node", F.col("rank.label").alias("label")), "asks")
+    asks = stage(shared.where(F.col("tokens") >= needed).select("block", "node", F.col("rank.label").alias("label")), "asks")
+    asks = stage(_dealt(asks), "dealt")
     index = index.select("block", "node", F.col("rank.label").alias("label"))
     more = _run_searches(index, asks, sets, threshold)
 

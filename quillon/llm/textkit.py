@@ -103,8 +103,14 @@ def hash_words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = _SPACE
 
     ``separators`` marks the bytes that end words.
     """
-    hashes: list[np.ndarray] = []
-    starts: list[np.ndarray] = []
+    parts = list(word_parts(data, at, separators))
+    if not parts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
+    return np.concatenate([x[0] for x in parts]), np.searchsorted(np.concatenate([x[1] for x in parts]), at, side="left")
+
+
+def word_parts(data: np.ndarray, at: np.ndarray, separators: np.ndarray = _SPACE, fold: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By segments: the hashes of the words, and the bytes where they begin and end. ``fold``: A-Z count as a-z."""
     space = separators[data]
     for lo, hi in _segments(space, at):
         gap = space[lo:hi]
@@ -120,13 +126,9 @@ def hash_words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = _SPACE
         last[inner - 1] = ~gap[inner - 1]
         end = np.flatnonzero(last) + 1
         total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[_LOWER[data[lo:hi]]] * _power(False, hi - lo)[: hi - lo], out=total[1:])
+        np.cumsum(_BYTE[_LOWER[data[lo:hi]] if fold else data[lo:hi]] * _power(False, hi - lo)[: hi - lo], out=total[1:])
         h = (total[end] - total[begin]) * _power(True, hi - lo)[begin]
-        hashes.append(mix(h + (end - begin).astype(np.uint64)))
-        starts.append(begin + lo)
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at, side="left")
+        yield mix(h + (end - begin).astype(np.uint64)), begin + lo, end + lo
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -4,12 +4,15 @@ Pre-tokens are runs of bytes outside white space, each led by the word mark.
 A task inserts its distinct pre-tokens in a trie; a node holds the least cost
 (negative log probability) at which its prefix can be cut into pieces and the
 number of pieces, computed once from the nodes above it and shared by all
-pre-tokens with that prefix.  The count at a pre-token's last node is stored, and
-a text's count is the sum over its pre-tokens.  No row is shuffled.
+pre-tokens with that prefix.  The count at a pre-token's last node is stored
+under the word's 64-bit hash (by chance two of a million distinct words of a
+task meet with a probability of 3e-8), and a text's count is the sum over its
+pre-tokens.  No row is shuffled.
 
 The vocabulary is a public one, given as pieces in the order of their rank.
-The probability of a piece follows from the rank by Zipf's law; characters that
-no piece holds fall back to their bytes.
+Its file holds no unigram probabilities, and none are learnt: the probability
+of a piece is assumed to follow from its rank by Zipf's law.  Characters that no
+piece holds fall back to their bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -162,24 +166,29 @@ def _count_batches(vocabulary_of, mark: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = TokenTrie(vocabulary_of())
-        known: dict[bytes, int] = {}  # the stored counts by the bytes of the pre-token
+        known: dict[int, int] = {}  # the stored counts by the hash of the pre-token
+
+        def counted(data: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """The count of each word; a distinct word of a segment is looked up once."""
+            distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+            if len(known) > MAX_NODES // 2:
+                known.clear()
+            out = np.empty(len(distinct), dtype=np.int64)
+            for i, (key, lo, hi) in enumerate(zip(distinct.tolist(), begin[first].tolist(), end[first].tolist(), strict=True)):
+                n = known.get(key)
+                if n is None:
+                    known[key] = n = trie.count(mark + data[lo:hi].tobytes().decode("utf-8", "replace"))
+                out[i] = n
+            return out[at]
+
         for batch in textkit.pieces(batches, "text"):
-            words_out, tokens_out = [], []
-            for text in batch.column("text").cast(pa.binary()):
-                words = (text.as_py() or b"").split()
-                total = 0
-                for word in words:
-                    n = known.get(word)
-                    if n is None:
-                        n = trie.count(mark + word.decode("utf-8", "replace"))
-                        if len(word) <= MAX_DEPTH:
-                            known[word] = n
-                    total += n
-                words_out.append(len(words))
-                tokens_out.append(total)
-                if len(known) > MAX_NODES // 2:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words_out, pa.int64()), pa.array(tokens_out, pa.int64())], schema=schema)
+            data, at = textkit.text_bytes(batch.column("text"))
+            words, tokens = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            for h, begin, end in textkit.word_parts(data, at, fold=False):
+                row = np.searchsorted(at, begin, side="right") - 1
+                words += np.bincount(row, minlength=batch.num_rows)
+                tokens += np.bincount(row, weights=counted(data, h, begin, end), minlength=batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], schema=schema)
 
     return run
 
