@@ -6,9 +6,12 @@ stay out of the shuffles: postings and vectors carry ids alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.text import tokenize
@@ -18,6 +21,10 @@ from quillon.staging import stage
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Buckets of the hashed bag-of-tokens embedding.
 DIMENSIONS = 16
+#: Questions scored at once, and rows of a batch scored at once.
+QUESTIONS, ROWS = 256, 4096
+#: Rows of questions (terms, vectors, candidates) up to which they are sent to every executor; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -58,26 +65,89 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25_weights(post: DataFrame, n_chunks: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf becomes EPSILON times the mean over all terms. ``n_chunks`` has one row, n."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_chunks))  # one row
+    return _idf(post.groupBy("term").agg(F.count("*").alias("df")), n_chunks)
+
+
+def _idf(df: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    df = stage(df, "frequencies").crossJoin(F.broadcast(n_chunks))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, ord, bm25) of all chunks that share a term with the query; repeated query tokens count again.
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, ord, bm25) of the chunks that share a term with the query; repeated query tokens count again.
 
-    The postings are written once, as lengths, weights and scores all read them.
+    With ``k`` each task keeps only what may be among the k best of a query, so
+    pairs are neither listed nor shuffled.  The asked terms and their weights
+    go to every task if there are BROADCAST_ROWS at most.
     """
-    post = stage(postings(chunks, "chunk_id", "text"), "postings")
-    lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    counted = chunks.agg(F.count("*").alias("n"))
-    mean = lengths.agg(F.sum("dl").alias("total")).crossJoin(counted).select((F.col("total") / F.col("n")).alias("avgdl"))
+    held = stage(chunks.select("chunk_id", "ord", tokenize("text").alias("tokens")), "tokens")
+    sizes = held.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
+    found = held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = _idf(found, sizes.select("n"))
     asked = queries.select("query_id", F.explode(tokenize("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = post.join(asked, "term").join(bm25_weights(post, counted), "term").join(lengths, "chunk_id").crossJoin(F.broadcast(mean))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 9).alias("bm25"))
-    return scores.join(chunks.select("chunk_id", "ord"), "chunk_id").select("query_id", "chunk_id", "ord", "bm25")
+    asked = stage(asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
+    if k is None or asked.count() > BROADCAST_ROWS:
+        return _bm25_joined(held, sizes, asked)
+    one = sizes.first()
+    rows = asked.orderBy("query_id", "term").toArrow()  # BROADCAST_ROWS at most
+    kind = held.schema["chunk_id"].dataType.simpleString(), held.schema["ord"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    ddl = f"query_id {kind[2]}, chunk_id {kind[0]}, ord {kind[1]}, bm25 double"
+    return held.mapInArrow(_bm25_batches(rows, (one.total or 0) / max(1, one.n), k), ddl).withColumn("bm25", F.round("bm25", 9))
+
+
+def _bm25_joined(held: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataFrame:
+    post = held.select("chunk_id", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = post.join(asked, "term").crossJoin(F.broadcast(sizes.select((F.col("total") / F.col("n")).alias("avgdl"))))  # one row
+    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum(gain), 9).alias("bm25"))
+
+
+def _best(scores: np.ndarray, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what may be among the k best of its column once scores are rounded to 9 places."""
+    kept = scores if among is None else np.where(among, scores, -np.inf)
+    least = np.partition(kept, len(kept) - k, axis=0)[len(kept) - k] - 2e-9 if len(kept) > k else np.full(kept.shape[1], -np.inf)
+    near = kept >= least
+    return np.nonzero(near if among is None else near & among)
+
+
+def _bm25_batches(asked: pa.Table, average: float, k: int):
+    """asked: (query_id, term, weight), a query's rows together."""
+    ids, at = np.unique(asked.column("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+    terms = pc.unique(asked.column("term"))
+    which = pc.index_in(asked.column("term"), value_set=terms).to_numpy()
+    weight = asked.column("weight").to_numpy()
+    id_type = asked.schema.field("query_id").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                column = batch.column("tokens")
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.fill_null(pc.index_in(column.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)[found >= 0]
+                pair, tf = np.unique(row * len(terms) + found[found >= 0], return_counts=True)
+                row, term = pair // max(1, len(terms)), pair % max(1, len(terms))
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / average)) if len(tf) else np.zeros(0)
+                for first in range(0, len(ids), QUESTIONS):
+                    mine = (at >= first) & (at < first + QUESTIONS)
+                    used, where = np.unique(which[mine], return_inverse=True)
+                    table = np.zeros((len(used), min(QUESTIONS, len(ids) - first)))
+                    table[where, at[mine] - first] = weight[mine]
+                    place = np.searchsorted(used, term)
+                    real = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == term)
+                    held = np.zeros((len(sizes), len(used)))
+                    held[row[real], place[real]] = gain[real]
+                    r, q = _best(held @ table, k, (held > 0).astype(np.float32) @ (table != 0).astype(np.float32) > 0)
+                    score = (held @ table)[r, q]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[q + first], id_type), batch.column("chunk_id").take(pa.array(r)), batch.column("ord").take(pa.array(r)), pa.array(score)],
+                        names=["query_id", "chunk_id", "ord", "bm25"],
+                    )
+
+    return run
 
 
 def bm25_top(scores: DataFrame, k: int) -> DataFrame:
@@ -116,41 +186,87 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def cosines(chunk_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, cosine) of a stated query set against all chunks.
+def cosines(vectors: DataFrame, query_vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, doc_id, ord, cosine) of a stated query set against all vectors (chunk_id, doc_id, ord, v).
 
-    The queries' vectors are given to every task if Spark finds them small
-    enough; this is a scan of the chunks for each block of queries. Norms are
-    taken once for each vector, so a pair costs one dot product.
+    With ``k`` each task keeps only what may be among the k best of a query:
+    a matrix product for each block of questions, which every task is given if
+    there are BROADCAST_ROWS at most.
     """
-    squared = lambda v: dot(F.col(v), F.col(v)).alias(f"{v}{v}")
-    chunks = chunk_vectors.select("chunk_id", "v", squared("v"))
-    asked = query_vectors.select("query_id", F.col("v").alias("q")).select("query_id", "q", squared("q"))
-    norms = F.sqrt(F.col("vv") * F.col("qq"))
-    score = F.when(norms == 0, 0.0).otherwise(dot(F.col("v"), F.col("q")) / norms)
-    return chunks.crossJoin(asked).select("query_id", "chunk_id", F.round(score, 9).alias("cosine"))
+    asked = stage(query_vectors.select("query_id", F.col("v").cast("array<double>").alias("q")), "asked")
+    vectors = vectors.select("chunk_id", "doc_id", "ord", F.col("v").cast("array<double>").alias("v"))
+    if k is None or asked.count() > BROADCAST_ROWS:
+        return vectors.crossJoin(asked).select("query_id", "chunk_id", "doc_id", "ord", F.round(cosine(F.col("v"), F.col("q")), 9).alias("cosine"))
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *asked.schema)}
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "chunk_id", "doc_id", "ord")) + ", cosine double"
+    return vectors.mapInArrow(_cosine_batches(asked.toArrow(), k), ddl).withColumn("cosine", F.round("cosine", 9))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cosine_batches(asked: pa.Table, k: int):
+    names = ("query_id", "chunk_id", "doc_id", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = _matrix(asked.column("q")) if asked.num_rows else np.zeros((0, 0))
+        squared = (q * q).sum(axis=1)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                v = _matrix(batch.column("v"))
+                own = (v * v).sum(axis=1)
+                for first in range(0, len(q), QUESTIONS):
+                    norms = np.sqrt(own[:, None] * squared[None, first : first + QUESTIONS])
+                    score = np.where(norms == 0, 0.0, v @ q[first : first + QUESTIONS].T / np.where(norms == 0, 1.0, norms))
+                    r, c = _best(score, k)
+                    rows = pa.array(r)
+                    ids = pc.take(asked.column("query_id").combine_chunks(), pa.array(c + first))
+                    yield pa.RecordBatch.from_arrays([ids, *(batch.column(n).take(rows) for n in names[1:]), pa.array(score[r, c])], names=[*names, "cosine"])
+
+    return run
+
+
+def vector_top(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, doc_id, ord, cosine, vector_rank): the k nearest of each query, ties by chunk order."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "ord"))
+    return cosines(vectors, query_vectors, k).withColumn("vector_rank", rank.cast("long")).where(F.col("vector_rank") <= k)
 
 
 # ------------------------------------------------------------------ fusion
 
 
-def fuse(chunks: DataFrame, cosine_scores: DataFrame, bm25: DataFrame | None, config: SearchConfig) -> DataFrame:
-    """(query_id, chunk_id, doc_id, ord, cosine, vector_rank, bm25_rank, score, place): the candidate pool in its order."""
-    placed = cosine_scores.join(chunks.select("chunk_id", "doc_id", "ord"), "chunk_id")
-    by_query = Window.partitionBy("query_id")
-    ranked = placed.withColumn("vector_rank", F.row_number().over(by_query.orderBy(F.desc("cosine"), "ord")).cast("long"))
-    if bm25 is None:
-        pool = ranked.where(F.col("vector_rank") <= config.pool).withColumns({"bm25_rank": F.lit(None).cast("long"), "score": F.col("cosine")})
-        return pool.withColumn("place", F.col("vector_rank"))
-    vector = ranked.where(F.col("vector_rank") <= config.pool).select("query_id", "chunk_id", "vector_rank", F.lit(None).cast("long").alias("bm25_rank"))
-    lexical = bm25_top(bm25, config.pool).select("query_id", "chunk_id", F.lit(None).cast("long").alias("vector_rank"), "bm25_rank")
+def vector_pool(vectors: DataFrame, query_vectors: DataFrame, config: SearchConfig) -> DataFrame:
+    """The candidate pool of pure vector search: its score is the cosine."""
+    top = vector_top(vectors, query_vectors, config.pool)
+    return top.withColumns({"bm25_rank": F.lit(None).cast("long"), "score": F.col("cosine"), "place": F.col("vector_rank")})
+
+
+def fuse(vectors: DataFrame, query_vectors: DataFrame, bm25: DataFrame, config: SearchConfig) -> DataFrame:
+    """(query_id, chunk_id, doc_id, ord, cosine, vector_rank, bm25_rank, score, place): the candidate pool in its order.
+
+    Only candidates of the lexical list are looked up among the vectors.
+    """
+    lexical = stage(bm25_top(bm25, config.pool).select("query_id", F.col("chunk_id").alias("found"), "bm25_rank"), "lexical")
+    if lexical.count() <= BROADCAST_ROWS:
+        lexical = F.broadcast(lexical)
+    asked = query_vectors.select("query_id", F.col("v").alias("q"))
+    of_lexical = vectors.join(lexical, F.col("chunk_id") == F.col("found")).join(asked, "query_id")
+    of_lexical = of_lexical.select("query_id", "chunk_id", "doc_id", "ord", F.round(cosine(F.col("v"), F.col("q")), 9).alias("cosine"), F.lit(None).cast("long").alias("vector_rank"), "bm25_rank")
+    both = vector_top(vectors, query_vectors, config.pool).withColumn("bm25_rank", F.lit(None).cast("long")).unionByName(of_lexical)
     rank_sum = lambda c: F.coalesce(1.0 / (config.rrf_k + F.max(c)), F.lit(0.0))
-    fused = vector.unionByName(lexical).groupBy("query_id", "chunk_id").agg(
-        F.max("vector_rank").alias("vector_rank"), F.max("bm25_rank").alias("bm25_rank"), F.round(rank_sum("vector_rank") + rank_sum("bm25_rank"), 9).alias("score")
+    full = both.groupBy("query_id", "chunk_id").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("ord").alias("ord"),
+        F.max("cosine").alias("cosine"),
+        F.max("vector_rank").alias("vector_rank"),
+        F.max("bm25_rank").alias("bm25_rank"),
+        F.round(rank_sum("vector_rank") + rank_sum("bm25_rank"), 9).alias("score"),
     )
-    full = fused.join(placed, ["query_id", "chunk_id"])
     order = (F.desc("score"), F.desc("cosine"), F.col("vector_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "ord")
-    return full.withColumn("place", F.row_number().over(by_query.orderBy(*order)).cast("long"))
+    return full.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
 
 
 def take(pool: DataFrame, config: SearchConfig, threshold: float | Column | None, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -172,16 +288,20 @@ def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None =
     """
     config = config or SearchConfig()
     asked = queries.where(F.length(F.regexp_replace(F.coalesce("question", F.lit("")), r"(?U)\s+", "")) > 0)
-    scores = cosines(embed(chunks, "chunk_id", "text"), embed(asked, "query_id", "question"))
-    lexical = bm25_scores(chunks, asked) if config.strategy == "hybrid" else None
-    hits = take(fuse(chunks, scores, lexical, config), config, config.cutoff(threshold))
+    hits = take(pool_of(chunks, asked, config, embed), config, config.cutoff(threshold))
     return hits.select("query_id", "rank", "chunk_id", "doc_id", "score", "cosine", "vector_rank", "bm25_rank")
 
 
 def pool_of(chunks: DataFrame, queries: DataFrame, config: SearchConfig, embed: Embed = hashed_vectors) -> DataFrame:
-    """The candidate pool before any threshold, which does not depend on it."""
-    lexical = bm25_scores(chunks, queries) if config.strategy == "hybrid" else None
-    return fuse(chunks, cosines(embed(chunks, "chunk_id", "text"), embed(queries, "query_id", "question")), lexical, config)
+    """The candidate pool before any threshold, which does not depend on it.
+
+    Vectors are written once with what identifies their chunks.
+    """
+    vectors = stage(embed(chunks, "chunk_id", "text").join(chunks.select("chunk_id", "doc_id", "ord"), "chunk_id").select("chunk_id", "doc_id", "ord", "v"), "vectors")
+    asked = stage(embed(queries, "query_id", "question").select("query_id", "v"), "questions")
+    if config.strategy != "hybrid":
+        return vector_pool(vectors, asked, config)
+    return fuse(vectors, asked, bm25_scores(chunks, queries, config.pool), config)
 
 
 def contexts(hits: DataFrame) -> DataFrame:

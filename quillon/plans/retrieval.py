@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillon.functions.text import strip, tokenize
 from quillon.operators import search as S
 from quillon.plans.registry import query
+from quillon.staging import stage
 
 CONFIG = S.SearchConfig()
 GRID = (-1.0, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 0.95)
@@ -81,7 +82,7 @@ def bm25_idf(spark, table):
 
 @query(_sql("SELECT query_id, bm25_rank, chunk_id, round(bm25, 6) AS bm25 FROM bmr WHERE bm25_rank <= 10 AND bm25 > 0"))
 def bm25_topk(spark, table):
-    top = S.bm25_top(S.bm25_scores(chunks_of(table), queries_of(table)), 10)
+    top = S.bm25_top(S.bm25_scores(chunks_of(table), queries_of(table), 10), 10)
     return top.select("query_id", "bm25_rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -103,20 +104,18 @@ pairs AS (
 """
 
 
-def _centre_pairs(table) -> DataFrame:
-    """Every vector against the mean of each label; the labels are the stated query set."""
+def _centres(table) -> tuple[DataFrame, DataFrame]:
+    """Vectors, and the mean of each label; the labels are the stated query set."""
     vectors = table("embeddings").select("vec_id", "label", "embedding")
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("c"))
     centres = means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s.c).alias("c"))
-    gap = F.aggregate(F.zip_with("embedding", "c", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return vectors.crossJoin(centres).select("query_id", "vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("c")), 9).alias("cosine"), F.round(F.sqrt(gap), 9).alias("distance"))
+    return vectors.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("v")), centres.select("query_id", F.col("c").alias("v"))
 
 
 @query(f"WITH {CENTRES} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, round(cosine, 6) AS cosine FROM pairs) WHERE rank <= 10")
 def vector_topk(spark, table):
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return _centre_pairs(table).withColumn("rank", rank.cast("long")).where("rank <= 10").select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
+    return S.vector_top(*_centres(table), 10).select("query_id", F.col("vector_rank").alias("rank"), F.col("chunk_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
 @query(
@@ -126,10 +125,8 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
 )
 def vector_search(spark, table):
     """Vector strategy: no threshold by default, two of a label at most."""
-    pairs = _centre_pairs(table)
-    chunks = table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"))
     config = S.SearchConfig(strategy="vector")
-    hits = S.take(S.fuse(chunks, pairs.select("query_id", F.col("vec_id").alias("chunk_id"), "cosine"), None, config), config, config.cutoff(None))
+    hits = S.take(S.vector_pool(*_centres(table), config), config, config.cutoff(None))
     return hits.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), F.col("doc_id").alias("label"), F.round("cosine", 6).alias("cosine"))
 
 
@@ -138,9 +135,13 @@ def vector_search(spark, table):
 CASE WHEN count(*) FILTER (distance < 0.8) > 0 THEN 'found' ELSE 'nothing below the limit' END AS status FROM pairs GROUP BY query_id"""
 )
 def vector_l2_threshold(spark, table):
+    """Labels against all vectors; only tallies leave a task."""
+    vectors, centres = _centres(table)
+    gap = F.aggregate(F.zip_with("v", "c", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    pairs = vectors.crossJoin(F.broadcast(centres.select("query_id", F.col("v").alias("c")))).select("query_id", F.round(F.sqrt(gap), 9).alias("distance"))  # a row for each label
     near = F.count(F.when(F.col("distance") < 0.8, 1))
     status = F.when(near > 0, "found").otherwise("nothing below the limit")
-    return _centre_pairs(table).groupBy("query_id").agg(near.alias("n_found"), F.round(F.min("distance"), 6).alias("nearest"), status.alias("status"))
+    return pairs.groupBy("query_id").agg(near.alias("n_found"), F.round(F.min("distance"), 6).alias("nearest"), status.alias("status"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -200,8 +201,25 @@ def retrieval_stats(spark, table):
 
 
 def gold_of(table) -> DataFrame:
-    """Documents that hold the item's whole text; items are the stated query set."""
-    return chunks_of(table).join(queries_of(table), F.contains(F.col("text"), F.col("question"))).select("query_id", "chunk_id")
+    """(query_id, chunk_id) where the document holds the item's whole text; items are the stated query set.
+
+    A document is looked into only for the items whose rarest inner token it
+    has: within a text that holds the item that token is a whole one. Items of
+    fewer than three tokens are looked for in every document.
+    """
+    chunks = chunks_of(table).select("chunk_id", "text", tokenize("text").alias("tokens"))
+    inner = F.slice("tokens", 2, F.greatest(F.lit(0), F.size("tokens") - 2))
+    items = queries_of(table).select("query_id", "question", tokenize("question").alias("tokens")).select("query_id", "question", F.explode_outer(F.array_distinct(inner)).alias("term"))
+    asked = F.broadcast(items.agg(F.collect_set("term").alias("asked")))  # one row
+    df = chunks.crossJoin(asked).select(F.explode(F.array_intersect("tokens", "asked")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rarest = items.join(df, "term", "left").groupBy("query_id", "question").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term")).alias("r"))
+    rarest = stage(rarest.select("query_id", "question", "r.term"), "rarest")
+    seeds = F.broadcast(rarest.agg(F.collect_set("term").alias("asked")))  # one row
+    named = rarest.where("term is not null").withColumnRenamed("term", "seed")
+    found = chunks.crossJoin(seeds).select("chunk_id", "text", F.explode(F.array_intersect("tokens", "asked")).alias("term"))
+    found = found.join(named, F.col("term") == F.col("seed")).where(F.contains("text", "question")).select("query_id", "chunk_id")
+    short = rarest.where("term is null").join(chunks, F.contains("text", "question")).select("query_id", "chunk_id")
+    return stage(found.unionByName(short), "gold")
 
 
 @query(
