@@ -12,7 +12,7 @@ from quillon.functions.text import strip
 from quillon.operators import chunking, maintenance as M, search as S
 from quillon.sources import files
 from quillon.staging import stage
-from quillon.streaming.progress import current, publish
+from quillon.streaming.progress import current, publish_all
 
 CHUNKER_VERSION = "entry-prefix-1"
 
@@ -54,7 +54,8 @@ def build_chunks(texts: DataFrame, doc: str = "doc_id", text: str = "text", size
 
 
 def build_index(texts: DataFrame, path: str, embed: S.Embed = S.hashed_vectors, model: str = "hashed-16", rebuild: bool = False, doc: str = "doc_id", text: str = "text") -> Report:
-    """Builds or brings up to date the index at ``path``, embedding only chunks that are new; published in one rename.
+    """Builds or brings up to date the index at ``path``, embedding only chunks that are new; chunks and manifest are
+    published together in one rename.
 
     Another model or chunker means a full rebuild, as does ``rebuild``.
     """
@@ -64,10 +65,10 @@ def build_index(texts: DataFrame, path: str, embed: S.Embed = S.hashed_vectors,
     if twice:
         raise ValueError(f"{twice} chunk ids occur more than once")
     digests = stage(texts.select(F.col(doc).cast("string").alias("doc_id"), F.sha1(text).alias("sha1")), "digests")
-    old = None if rebuild else current(spark, f"{path}/chunks")
+    old = None if rebuild else current(spark, path, "chunks")
     if old is not None and old.where((F.col("model") != model) | (F.col("chunker") != CHUNKER_VERSION)).limit(1).count():
         old = None
-    manifest = None if rebuild else current(spark, f"{path}/manifest")
+    manifest = None if rebuild else current(spark, path, "manifest")
     empty = spark.createDataFrame([], "chunk_id string, v array<double>")
     known = old.select("chunk_id", F.col("v").cast("array<double>").alias("v")) if old is not None else empty
     reused = stage(M.reuse(chunks, known, "chunk_id", "v"), "reused")
@@ -79,13 +80,12 @@ def build_index(texts: DataFrame, path: str, embed: S.Embed = S.hashed_vectors,
     n_made = made.count()
     removed = known.join(chunks.select("chunk_id"), "chunk_id", "left_anti").count()
     version = f"v{time.time_ns()}"
-    publish(whole, f"{path}/chunks", version)
-    publish(digests, f"{path}/manifest", version)
+    publish_all({"chunks": whole, "manifest": digests}, path, version)
     return Report(counts.n, counts.d, counts.n - n_made, n_made, removed, {r.status: r["count"] for r in status}, twice, time.time() - began)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    found = current(spark, f"{path}/chunks")
+    found = current(spark, path, "chunks")
     if found is None or not found.limit(1).count():
         raise IndexMissingError(path)
     return found

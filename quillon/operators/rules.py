@@ -6,10 +6,10 @@ is compiled once for a task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,11 @@ ABSOLUTES = ("一定能(好|治好)?", "肯定能(好|治好)?", "肯定(没事|
 SELF_HARM_ECHO = ("自杀", "轻生", "不想活", "活着没意思", "活不下去", "结束生命", "伤害自己", "自残")
 UNSUPPORTED = "(根据|依据|据)(相关|现有的)?(资料|文献|研究|指南)"
 GUARD = "(?s)(?<![不没未别勿否说问称].{0,5}|(?:提到|认为|觉得|怀疑|担心|自称).{0,4})"
-CARE_WORDS = ("就医", "就诊", "医院", "面诊", "复查", "急诊", "120", "急救")
+CARE_WORDS = ("就医", "就诊", "医院", "面诊", "复查", "急诊", "120")
+URGENT_WORDS = ("急诊", "120", "急救")
+ADVICE = "建议尽快到医院就诊评估（如症状加重请立即急诊）。"
+CONTINUE = "抱歉，我需要再确认一下：请告诉我您最主要的不适和持续时间，我来帮您梳理。"
+FROM_DIALOGUE = "结合您描述的情况"
 REWRITES = (
     ("绝对不会有事", "可能性较低（但不能完全排除）"),
     ("肯定没事", "暂时没有发现需要紧急处理的信号（但无法完全排除其他可能）"),
@@ -150,14 +154,14 @@ def guarded(text: Column, patterns: Sequence[str]) -> Column:
     return first_match(text, [GUARD + p for p in patterns])
 
 
-def has_care_word(text: Column) -> Column:
-    return text.rlike("|".join(CARE_WORDS))
+def has_care_word(text: Column, words: Sequence[str] = CARE_WORDS) -> Column:
+    return text.rlike("|".join(words))
 
 
 def violations(reply: Column, hypotheses: Column, confidence: Column, bad_refs: Column, retrieved: Column, red_flags: Column, risk: Column, steps: Column, closing: Column) -> Column:
     """Codes of all findings in a reply, in the order of the checks; arrays may be empty but not null."""
     advice = F.array_join(steps, "；")
-    weak = (F.size(red_flags) > 0) & ~(risk.isin("high", "emergency") & has_care_word(F.concat(reply, F.lit("；"), advice)))
+    weak = (F.size(red_flags) > 0) & ~(risk.isin("high", "emergency") & has_care_word(F.concat(reply, F.lit("；"), advice), CARE_WORDS + URGENT_WORDS))
     checks = [
         ("empty_reply", flat(reply) == ""),
         ("empty_hypotheses", (F.size(hypotheses) == 0) & (confidence != "low")),
@@ -174,6 +178,74 @@ def violations(reply: Column, hypotheses: Column, confidence: Column, bad_refs:
     return F.array_compact(F.array(*(F.when(fits, code) for code, fits in checks)))
 
 
+#: Findings that the model is first asked to mend; the others are mended at once.
+FIXED_BY_MODEL = ("empty_reply", "empty_hypotheses", "diagnosis_language", "medication_recommendation", "absolutist_claim", "unsupported_reference")
+_REVIEWED = ("reply", "hypotheses", "evidence", "confidence", "risk_level", "next_steps")
+
+
+def _findings(rows: DataFrame) -> DataFrame:
+    """``bad_refs`` (cited chunks that were not retrieved) and ``codes`` of the rows as they are."""
+    refs = F.transform(F.filter("evidence", lambda e: e["source"] == "kb"), lambda e: e["ref"])
+    rows = rows.withColumn("bad_refs", F.array_except(refs, F.col("retrieved")))
+    given = ("reply", "hypotheses", "confidence", "bad_refs", "retrieved", "red_flags", "risk_level", "next_steps", "closing")
+    return rows.withColumn("codes", violations(*(F.col(c) for c in given)))
+
+
+def review(rows: DataFrame, templates: Mapping[str, str], fix: Callable[[DataFrame], DataFrame] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Replies as they go out, with ``action`` (pass, fix, degrade or replace) and ``codes`` (what was found at first).
+
+    Rows: id, reply, hypotheses, evidence (source, ref, detail), retrieved,
+    confidence, red_flags, risk_level, next_steps, closing.  First ``fix``, if
+    given, gets the rows with a finding it can mend and returns those it did
+    (id and the reviewed columns).  What can be mended by rule is, then the
+    rows are checked again and what the model left is replaced.  ``extra``
+    gives more findings, (id, more array<string>), which are only reported.
+    """
+    fixable = F.array(*map(F.lit, FIXED_BY_MODEL))
+    state = _findings(rows).withColumn("found", F.col("codes")).withColumn("fixed", F.lit(False))
+    if fix is not None:
+        mended = fix(state.where(F.arrays_overlap("codes", fixable))).select("id", F.struct(*_REVIEWED).alias("m"))
+        state = state.join(mended, "id", "left").withColumn("fixed", F.col("m").isNotNull())
+        state = state.withColumns({c: F.when(F.col("fixed"), F.col(f"m.{c}")).otherwise(F.col(c)) for c in _REVIEWED}).drop("m")
+    state = _findings(state.drop("codes", "bad_refs"))
+    has = lambda code: F.array_contains("codes", code)
+    advised = lambda when: F.when(when & ~has_care_word(F.array_join("next_steps", "；")), F.concat(F.array(F.lit(ADVICE)), "next_steps")).otherwise(F.col("next_steps"))
+    kept = F.filter("evidence", lambda e: (e["source"] != "kb") | ~F.array_contains("bad_refs", e["ref"]))
+    suffix = templates.get("self_harm_suffix", "")
+    with_suffix = F.concat(F.regexp_replace("reply", r"(?U)\s+$", ""), F.lit("\n\n" + suffix))
+    state = state.withColumns(
+        {
+            "degraded": F.size(F.array_except("codes", fixable)) > 0,
+            "risk_level": F.when(has("red_flag_escalation") & ~F.col("risk_level").isin("high", "emergency"), "high").otherwise(F.col("risk_level")),
+            "next_steps": advised(has("red_flag_escalation") | has("closing_advice_missing")),
+            "evidence": F.when(has("fabricated_citation"), kept).otherwise(F.col("evidence")),
+            "confidence": F.when(has("closing_confidence_cap"), "medium").otherwise(F.col("confidence")),
+            "reply": F.when(has("self_harm_echo") & F.lit(suffix != "") & ~F.contains("reply", F.lit(suffix)), with_suffix).otherwise(F.col("reply")),
+        }
+    )
+    state = _findings(state.drop("codes", "bad_refs"))
+    refused = has("diagnosis_language") | has("medication_recommendation")
+    refuse = templates.get("refuse", "")
+    # In the order of the checks: a refusal takes the place of the reply, then promises are softened and references reworded.
+    reply = F.when(has("empty_reply"), F.lit(CONTINUE)).otherwise(F.col("reply"))
+    reply = F.when(refused, F.lit(refuse)).otherwise(reply) if refuse else reply
+    reply = F.when(has("absolutist_claim"), soften(reply)).otherwise(reply)
+    reply = F.when(has("unsupported_reference"), F.regexp_replace(reply, UNSUPPORTED, FROM_DIALOGUE)).otherwise(reply)
+    left = F.arrays_overlap("codes", fixable)
+    state = state.withColumns(
+        {
+            "action": F.when(refused | has("empty_reply"), "replace").when(F.col("fixed"), "fix").when(F.col("degraded") | left, "degrade").otherwise("pass"),
+            "reply": reply,
+            "next_steps": advised(refused | has("empty_hypotheses")),
+            "confidence": F.when(has("empty_hypotheses"), "low").otherwise(F.col("confidence")),
+        }
+    )
+    done = state.select("id", *_REVIEWED, "action", F.col("found").alias("codes"))
+    if extra is None:
+        return done
+    return done.join(extra(rows).select("id", "more"), "id", "left").withColumn("codes", F.concat("codes", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+
+
 def action(codes: Column) -> Column:
     """replace before degrade before pass: what an output becomes if the model does not mend it."""
     has = lambda *names: F.arrays_overlap(codes, F.array(*map(F.lit, names)))

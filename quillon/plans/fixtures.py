@@ -15,6 +15,7 @@ from quillon.operators import curation as C
 from quillon.operators import evaluation as E
 from quillon.operators import rules as R
 from quillon.operators import tools as L
+from quillon.operators.scoring import choice_from_conclusion as choose, score_items as score_items_by_rule
 from quillon.plans.registry import query
 
 
@@ -250,15 +251,7 @@ CONCLUSIONS = [
 def choice_from_conclusion(spark, table):
     """The only option that the reply holds, else the option nearest to the likeliest hypothesis."""
     rows = _frame(spark, "id long, options map<string,string>, reply string, hyps array<struct<name:string,likelihood:string>>", [x[:4] for x in CONCLUSIONS])
-    entries = F.map_entries("options")
-    named = F.transform(F.filter(entries, lambda e: T.fuzzy_contains(e["value"], F.col("reply"), 0.6)), lambda e: e["key"])
-    order = F.create_map(*(F.lit(x) for x in ("low", 0, "medium", 1, "high", 2)))
-    ranked = F.array_sort(F.transform("hyps", lambda h, i: F.struct((-F.coalesce(F.try_element_at(order, h["likelihood"]), F.lit(0))).alias("r"), i.alias("i"), h["name"].alias("name"))))
-    best = F.get(ranked, F.lit(0))["name"]
-    near = F.array_sort(F.transform(entries, lambda e: F.struct((-T.similarity(F.coalesce(F.col("best"), F.lit("")), e["value"])).alias("s"), e["key"].alias("k"))))
-    rows = rows.withColumn("best", best)
-    second = F.when(F.get(near, F.lit(0))["s"] <= -0.5, F.get(near, F.lit(0))["k"])
-    return rows.select("id", F.when(F.size(named) == 1, F.get(named, F.lit(0))).otherwise(second).alias("choice"))
+    return rows.select("id", choose(F.col("options"), F.col("reply"), F.col("hyps")).alias("choice"))
 
 
 ITEMS = [
@@ -274,25 +267,10 @@ ITEMS = [
 
 
 def _scored(spark):
-    """Every parser once as a column, then one choice by task type."""
-    rows = _frame(spark, "id long, task string, answer string, reference string, output string, kp array<string>", [x[:6] for x in ITEMS])
-    out = F.col("output")
-    choice, value, want = T.parse_choice(out), T.extract_number(out), T.extract_number(F.col("reference"))
-    told = F.lower(F.regexp_extract(out, "(?i)答案\\s*[:：]?\\s*(yes|no|maybe|是|否|可能)", 1))
-    verdict = F.when(told == "是", "yes").when(told == "否", "no").when(told == "可能", "maybe").otherwise(told)
-    diagnosis = T.expected_diagnosis(F.col("kp"), F.col("reference"))
-    expected = T.expected_list(F.col("kp"))
-    rows = rows.withColumns({"_choice": choice, "_number": T.numbers_match(value, want), "_verdict": verdict, "_similar": T.similarity(F.coalesce(diagnosis, F.lit("")), out), "_expected": expected})
-    task = F.col("task")
-    correct = (
-        F.when(task == "mcq_single", F.coalesce(F.col("_choice") == F.upper("answer"), F.lit(False)))
-        .when(task == "calculation", F.col("_number"))
-        .when(task == "evidence_qa", F.col("_verdict") == F.lower("answer"))
-        .when(task.isin("open_diagnosis", "dialogue_diagnosis"), F.col("_similar") >= 0.5)
-    )
-    hit = F.size(F.filter("_expected", lambda e: T.fuzzy_contains(e, out)))
-    recall = F.when(task.isin("open_ddx", "open_ranked_ddx") & (F.size("_expected") > 0), hit / F.greatest(F.lit(1), F.size("_expected")))
-    return rows.select("id", "task", F.coalesce(correct.cast("double"), recall).alias("score"), correct.alias("correct"))
+    rows = _frame(spark, "id long, task_type string, answer string, reference_answer string, output string, key_points array<string>", [x[:6] for x in ITEMS])
+    absent = {"question": "string", "context": "string", "thinking": "string", "options": "map<string,string>", "hypotheses": "array<struct<name:string,likelihood:string>>"}
+    scores = score_items_by_rule(rows.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()}))
+    return scores.select("id", F.col("task_type").alias("task"), "score", "correct")
 
 
 @query(rows_sql("id, task, score, correct", [(x[0], x[1], x[6], x[7]) for x in ITEMS]))

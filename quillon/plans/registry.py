@@ -32,18 +32,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable
 
     return register
 
-
-def shared_sql(name: str, text: str, *needs: str) -> None:
-    """Registers a query whose text both engines understand, over the named tables."""
-
-    @query(text, name)
-    def run(spark: SparkSession, table: Tables) -> DataFrame:
-        return spark.sql(text, **{}) if not needs else _over(spark, text, {n: table(n) for n in needs})
-
-    run.__doc__ = f"{name}: the SQL text itself."
-
-
-def _over(spark: SparkSession, text: str, frames: dict[str, DataFrame]) -> DataFrame:
-    for n, df in frames.items():
-        df.createOrReplaceTempView(n)
-    return spark.sql(text)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators.maintenance import latest
 
+#: The file that names the current version of a table.
+POINTER = "_CURRENT"
+
 
 def progress(events: DataFrame) -> DataFrame:
     """(dimension, done, scored, correct, updated_at); the same plan over a table or a stream."""
@@ -45,35 +50,97 @@ def replay(stream: DataFrame, path: str, key: str, order: str, checkpoint: str)
 
 def publish(df: DataFrame, path: str, version: str) -> None:
     """Writes a version of a table and makes it the current one in one rename."""
-    df.write.mode("overwrite").parquet(f"{path}/{version}")
-    _fs(df.sparkSession, path, lambda fs, jvm: _point(fs, jvm, path, version))
+    publish_all({"": df}, path, version)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The current version, or None before the first."""
-    version = _fs(spark, path, lambda fs, jvm: _pointed(fs, jvm, path))
-    return spark.read.parquet(f"{path}/{version}") if version else None
+def publish_all(tables: Mapping[str, DataFrame], path: str, version: str) -> None:
+    """Writes a version of several tables (by name below the version) and makes them current together, in one rename.
 
+    The pointer file is replaced, not deleted, so a reader finds the old
+    version or the new one, and a crash before the rename changes nothing.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}".rstrip("/"))
+    spark = next(iter(tables.values())).sparkSession
+    put_text(spark, f"{path}/{POINTER}", version)
 
-def _fs(spark: SparkSession, path: str, use: Callable):
-    jvm = spark.sparkContext._jvm
-    return use(jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm)
 
+def current(spark: SparkSession, path: str, name: str = "") -> DataFrame | None:
+    """The current version (of the table ``name``), or None before the first."""
+    version = get_text(spark, f"{path}/{POINTER}")
+    return spark.read.parquet(f"{path}/{version}/{name}".rstrip("/")) if version else None
 
-def _point(fs, jvm, path: str, version: str) -> None:
-    new, named = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT.new"), jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file in one rename that overwrites."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    fs = target.getFileSystem(conf)
     out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(named, False)
-    fs.rename(new, named)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(new, target, options)
 
 
-def _pointed(fs, jvm, path: str) -> str | None:
-    named = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None if it is not there."""
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    fs = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(named):
         return None
     stream = fs.open(named)
-    text = jvm.java.lang.String(stream.readAllBytes())
+    text = str(jvm.java.lang.String(stream.readAllBytes()))
     stream.close()
-    return str(text)
+    return text
+
+
+TERMINAL = ("done", "failed", "cancelled")
+
+
+def merge_state(old: Mapping[str, object], update: Mapping[str, object], now: str) -> dict[str, object]:
+    """A run's state after an update: given keys replace, a terminal status stays, and ``updated_at`` is set."""
+    merged = {**old, **{k: v for k, v in update.items() if v is not None}}
+    if old.get("status") in TERMINAL:
+        merged["status"] = old["status"]
+    return {**merged, "updated_at": now}
+
+
+def rate_and_eta(done: int, total: int, seconds: float) -> tuple[float, float | None]:
+    """Items a second, and the seconds left (None before the first item)."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return rate, (max(0, total - done) / rate if rate > 0 else None)
+
+
+def throttled(call: Callable[..., None], every: float = 2.0, clock: Callable[[], float] = time.monotonic) -> Callable[..., None]:
+    """``call`` at most once in ``every`` seconds; with ``force=True`` in any case."""
+    last: list[float] = []
+
+    def run(*args, force: bool = False, **named) -> None:
+        now = clock()
+        if force or not last or now - last[0] >= every:
+            last[:] = [now]
+            call(*args, **named)
+
+    return run
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Adds the rows as JSON lines; each call is a batch of files of its own, complete or absent."""
+    df.write.mode("append").json(path)
+
+
+def overwrite_json(df: DataFrame, path: str) -> None:
+    """Replaces the JSON lines at ``path`` by a version that is whole before it is named."""
+    version = f"v{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{version}")
+    put_text(df.sparkSession, f"{path}/{POINTER}", version)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``append_json`` or ``overwrite_json`` wrote."""
+    version = get_text(spark, f"{path}/{POINTER}")
+    return spark.read.schema(schema).json(f"{path}/{version}" if version else path)

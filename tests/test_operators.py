@@ -166,3 +166,106 @@ def test_settings_and_reports(tmp_path):
     tool = {"name": "check", "description": "核对。再说。", "parameters": {"properties": {"s": {"type": "array", "items": {"type": "string"}}, "n": {"type": "integer"}}, "required": ["s"]}}
     assert C.tool_catalog([tool]) == "- check(s: string[], n: integer（可选）)：核对"
     assert C.content_text([{"type": "text", "text": "a"}, {"type": "image"}, "b"]) == "a\nb"
+
+
+EMPTY = {"question": None, "context": None, "options": None, "answer": None, "reference_answer": None, "key_points": None, "output": None, "thinking": None, "hypotheses": None}
+ITEM = "id long, task_type string, question string, context string, options map<string,string>, answer string, reference_answer string, key_points array<string>, output string, thinking string, hypotheses array<struct<name:string,likelihood:string>>"
+
+
+def scored(spark, *items):
+    from quillon.operators.scoring import score_items
+
+    rows = spark.createDataFrame([{"id": i, **EMPTY, **x} for i, x in enumerate(items)], ITEM)
+    return [r.asDict() for r in score_items(rows).orderBy("id").collect()]
+
+
+def test_every_task_is_scored_by_its_rule(spark):
+    inline = "首选检查？ A. 胸片  B. CT\nC. 心电图"
+    cases = [
+        ({"task_type": "mcq_single", "answer": " b ", "options": {"A": "甲", "B": "乙"}, "output": "答案：B"}, {"score": 1.0, "choice": "B"}),
+        ({"task_type": "mcq_single", "answer": "C", "options": {"A": "甲", "B": "乙"}, "output": "选 C"}, {"score": 0.0, "choice": None}),
+        ({"task_type": "mcq_single", "answer": "A", "options": {"A": "肺炎", "B": "急性阑尾炎"}, "output": "考虑肺炎", "hypotheses": []}, {"score": 1.0, "choice": "A"}),
+        ({"task_type": "mcq_single", "answer": "A", "options": {"A": "肺炎", "B": "急性阑尾炎"}, "output": "考虑肺炎"}, {"score": 0.0, "choice": None}),
+        ({"task_type": "calculation", "reference_answer": "答案：12.5", "output": "无", "thinking": "x = 12.45"}, {"score": 1.0, "value": 12.45}),
+        ({"task_type": "calculation", "reference_answer": "答案：0", "output": "答案：0"}, {"score": 1.0, "value": 0.0}),
+        ({"task_type": "calculation", "reference_answer": "3", "output": "答案：0", "thinking": "答案：3"}, {"score": 1.0, "value": 3.0}),
+        ({"task_type": "evidence_qa", "answer": "YES", "context": "[摘要1] a [摘要 2] b", "output": "答案：是 [摘要2]"}, {"score": 1.0, "citation_traceable": True}),
+        ({"task_type": "evidence_qa", "answer": "no", "context": "[摘要1]", "output": "答案：可能 [摘要3]"}, {"score": 0.0, "verdict": "maybe", "citation_traceable": False}),
+        ({"task_type": "evidence_qa", "answer": "", "output": "不知道"}, {"score": 0.0, "verdict": None}),
+        ({"task_type": "open_diagnosis", "reference_answer": "诊断：肺炎", "output": "", "thinking": "考虑肺炎", "key_points": ["胸片", "血常规"]}, {"score": 1.0, "diagnosis": "肺炎", "diagnosis_similarity": 1.0, "key_point_coverage": 0.0}),
+        ({"task_type": "dialogue_diagnosis", "output": "肺炎"}, {"score": 0.0, "diagnosis": None, "key_point_coverage": None}),
+        ({"task_type": "open_ddx", "key_points": ["肺炎", "哮喘"], "output": "肺炎"}, {"score": 0.5, "correct": None, "mrr": None}),
+        ({"task_type": "open_ranked_ddx", "key_points": ["肺炎", "哮喘"], "output": "胃痛\n\n哮喘"}, {"score": 0.5, "mrr": 0.5}),
+        ({"task_type": "open_ranked_ddx", "output": "肺炎"}, {"score": None, "mrr": 0.0}),
+        ({"task_type": "open_workup", "question": inline, "reference_answer": "答案是B", "output": "答案：B"}, {"score": 1.0, "correct": True}),
+        ({"task_type": "open_workup", "question": inline, "reference_answer": "答案是B", "output": "心电图 C"}, {"score": 0.0, "choice": "C"}),
+        ({"task_type": "open_workup", "question": "下一步？", "key_points": ["完善胸部CT检查；短句；立即给予吸氧治疗"], "output": "应当完善胸部CT检查"}, {"score": 0.5, "correct": None}),
+        ({"task_type": "rubric_scored", "output": "x"}, {"score": None, "correct": None}),
+        ({"task_type": "retrieval", "output": "x"}, {"score": None, "correct": None}),
+    ]
+    for got, (item, want) in zip(scored(spark, *(x for x, _ in cases)), cases, strict=True):
+        assert {k: got[k] for k in want} == want, item
+
+
+REVIEW = "id long, reply string, hypotheses array<string>, evidence array<struct<source:string,ref:string,detail:string>>, retrieved array<string>, confidence string, red_flags array<string>, risk_level string, next_steps array<string>, closing boolean"
+
+
+def test_review_mends_degrades_and_replaces(spark):
+    from quillon.operators import rules as R
+
+    base = {"reply": "好的", "hypotheses": ["x"], "evidence": [], "retrieved": ["c1"], "confidence": "low", "red_flags": [], "risk_level": "low", "next_steps": ["休息"], "closing": False}
+    cases = [
+        ({}, {"action": "pass", "reply": "好的"}),
+        ({"confidence": "medium", "next_steps": ["必要时呼叫急救"]}, {"action": "degrade", "next_steps": [R.ADVICE, "必要时呼叫急救"], "codes": ["closing_advice_missing"]}),
+        ({"red_flags": ["胸痛"]}, {"action": "degrade", "risk_level": "high", "next_steps": [R.ADVICE, "休息"]}),
+        ({"red_flags": ["胸痛"], "risk_level": "emergency", "reply": "请呼叫急救"}, {"action": "pass", "codes": []}),
+        ({"evidence": [("kb", "c1", "a"), ("kb", "c9", "b"), ("dialogue", "c9", "c")]}, {"action": "degrade", "evidence": [("kb", "c1", "a"), ("dialogue", "c9", "c")]}),
+        ({"confidence": "high", "closing": True, "next_steps": ["就医"]}, {"action": "degrade", "confidence": "medium"}),
+        ({"reply": "自杀的念头 "}, {"action": "degrade", "reply": "自杀的念头\n\n求助"}),
+        ({"reply": "您得了肺癌"}, {"action": "replace", "reply": "拒答", "next_steps": [R.ADVICE, "休息"]}),
+        ({"reply": " "}, {"action": "replace", "reply": R.CONTINUE}),
+        ({"reply": "您肯定没事"}, {"action": "degrade", "reply": "您暂时没有发现需要紧急处理的信号（但无法完全排除其他可能）"}),
+        ({"reply": "根据相关研究，多喝水", "retrieved": []}, {"action": "degrade", "reply": "结合您描述的情况，多喝水"}),
+        ({"hypotheses": [], "confidence": "medium", "next_steps": ["就医"]}, {"action": "degrade", "confidence": "low"}),
+    ]
+    rows = spark.createDataFrame([{"id": i, **base, **x} for i, (x, _) in enumerate(cases)], REVIEW)
+    templates = {"refuse": "拒答", "self_harm_suffix": "求助"}
+    for got, (given, want) in zip(R.review(rows, templates).orderBy("id").collect(), cases, strict=True):
+        found = {k: [tuple(x) for x in got[k]] if k == "evidence" else got[k] for k in want}
+        assert found == want, given
+    mend = lambda bad: bad.where("id = 7").withColumn("reply", F.lit("建议检查"))
+    also = lambda all_: all_.where("id = 0").select("id", F.array(F.lit("tone")).alias("more"))
+    told = {r.id: r for r in R.review(rows, templates, mend, also).collect()}
+    assert (told[7].action, told[7].reply, told[7].codes) == ("fix", "建议检查", ["diagnosis_language"]) and told[8].action == "replace" and told[0].codes == ["tone"]
+
+
+def test_json_sinks_state_and_throttle(spark, tmp_path):
+    one, two = spark.range(3), spark.range(3, 5)
+    P.append_json(one, f"{tmp_path}/log")
+    P.append_json(two, f"{tmp_path}/log")
+    assert sorted(r.id for r in P.read_json(spark, f"{tmp_path}/log", "id long").collect()) == [0, 1, 2, 3, 4]
+    P.overwrite_json(one, f"{tmp_path}/out")
+    held = P.read_json(spark, f"{tmp_path}/out", "id long")
+    P.overwrite_json(two, f"{tmp_path}/out")
+    assert sorted(r.id for r in P.read_json(spark, f"{tmp_path}/out", "id long").collect()) == [3, 4]
+    assert sorted(r.id for r in held.collect()) == [0, 1, 2]  # a reader of the old version goes on
+    state = P.merge_state({"status": "running", "done": 1}, {"status": "done", "done": 2, "note": None}, "t1")
+    assert state == {"status": "done", "done": 2, "updated_at": "t1"}
+    assert P.merge_state(state, {"status": "running", "done": 3}, "t2") == {"status": "done", "done": 3, "updated_at": "t2"}
+    assert P.rate_and_eta(0, 5, 1.0) == (0.0, None) and P.rate_and_eta(2, 6, 4.0) == (0.5, 8.0)
+    now, seen = [0.0], []
+    tell = P.throttled(seen.append, 2.0, lambda: now[0])
+    for at in (0.0, 1.0, 2.0, 3.5, 4.0):
+        now[0] = at
+        tell(at)
+    tell(9, force=True)
+    assert seen == [0.0, 2.0, 4.0, 9]
+
+
+def test_a_version_is_replaced_without_a_gap(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert P.current(spark, path) is None
+    P.publish_all({"a": spark.range(1), "b": spark.range(2)}, path, "v1")
+    P.publish_all({"a": spark.range(3), "b": spark.range(4)}, path, "v2")
+    assert (P.current(spark, path, "a").count(), P.current(spark, path, "b").count()) == (3, 4)
+    assert sorted(x.name for x in (tmp_path / "t").iterdir() if not x.name.endswith(".crc")) == ["_CURRENT", "v1", "v2"]
