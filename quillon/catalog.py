@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.plans import curation, evaluation, fixtures, maintenance, retrieval
-from quillon.plans.registry import QUERIES, SQL
+from quillon.plans import curation, evaluation, fixtures, maintenance, parsing, retrieval
+from quillon.plans.registry import EXAMPLE_SQL, EXAMPLES, QUERIES, SQL
 
 FLAGSHIP = "hybrid_search"
-FAMILIES = (retrieval, maintenance, evaluation, curation, fixtures)
+FAMILIES = (retrieval, maintenance, evaluation, curation, parsing, fixtures)
 
-__all__ = ["FAMILIES", "FLAGSHIP", "QUERIES", "SQL"]
+#: Names of the queries that only exist as worked examples, over rows of their own.
+INLINE = [name for name in EXAMPLES if name not in QUERIES]
+for _name in INLINE:
+    QUERIES[_name] = EXAMPLES[_name]
+    SQL[_name] = EXAMPLE_SQL[_name]
+
+__all__ = ["EXAMPLES", "EXAMPLE_SQL", "FAMILIES", "FLAGSHIP", "INLINE", "QUERIES", "SQL"]

@@ -43,5 +43,14 @@ def test_query_matches_its_sql(name, spark, small, duck):
     assert got == want
 
 
+@pytest.mark.parametrize("name", [n for n in catalog.EXAMPLES if n not in catalog.INLINE])
+def test_worked_examples(name, spark, small, duck):
+    """Those whose queries run over tables; the others are among the queries."""
+    df = catalog.EXAMPLES[name](spark, small)
+    columns = sorted(df.columns)
+    want = duck.sql("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({catalog.EXAMPLE_SQL[name]})").fetchall()
+    assert sorted(tuple(map(canonical, r)) for r in df.select(*columns).collect()) == sorted(tuple(map(canonical, r)) for r in want)
+
+
 def test_flagship_is_registered():
     assert catalog.FLAGSHIP in catalog.QUERIES and catalog.FLAGSHIP in catalog.SQL
