@@ -247,11 +247,11 @@ UNITS = (("斤", "kg"), ("厘米", "英寸"), ("摄氏度", "°F"), ("f", "°C")
 
 @query(
     f"""SELECT event_id, round({sql_case('event_id % 8', 'value * 0.5', 'value * 0.01 / 0.0254', 'round(value * 9 / 5 + 32, 1)', 'round((value - 32) * 5 / 9, 1)', 'NULL', 'NULL', 'value', 'value * 100')}, 6) + 0.0 AS result,
-{sql_case('event_id % 8', *quoted('ok', 'ok', 'ok', 'ok', 'refused', 'unsupported', 'same', 'ok'))} AS status FROM events"""
+{sql_case('event_id % 8', *quoted('ok', 'ok', 'ok', 'ok', 'refused', 'unsupported', 'same', 'ok'))} AS status FROM (SELECT event_id, floor(value) AS value FROM events)"""
 )
 def convert_units(spark, table):
     n = F.col("event_id") % 8
-    told = table("events").select("event_id", L.convert(F.col("value"), by_case(n, *(a for a, _ in UNITS)), by_case(n, *(b for _, b in UNITS))).alias("c"))
+    told = table("events").select("event_id", L.convert(F.floor("value").cast("double"), by_case(n, *(a for a, _ in UNITS)), by_case(n, *(b for _, b in UNITS))).alias("c"))
     return told.select("event_id", (F.round("c.result", 6) + 0.0).alias("result"), "c.status")
 
 
