@@ -394,7 +394,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold:
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = full.agg(F.sum("n")).first()[0] or 0
-    buckets = max(shuffles, total * 3 // 10 // (4 * CHUNK))
+    buckets = max(shuffles, total * 3 // 10 // CHUNK)
     credits = (
         full.select("node", "sketch")
         .mapInArrow(_offers(buckets), "bucket int, kind byte, tokens binary, nodes binary")
@@ -471,13 +471,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold:
     more = _run_searches(index, asks, sets, threshold)
 
     whole = connected_components(links.unionByName(stage(more, "links")))
-    named = (
-        whole.join(nodes.select("node", "first_id"), "node")
-        .groupBy("label")
-        .agg(F.min("first_id").alias("component_id"))
-        .join(whole, "label")
-        .select(F.col("node").alias("linked"), "component_id")
-    )
+    names = stage(whole.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("component_id")), "names")
+    if names.count() <= BROADCAST_NODES:  # a class may hold a third of all nodes, so they are not dealt out by class if that can be helped
+        names = F.broadcast(names)
+    named = whole.join(names, "label").select(F.col("node").alias("linked"), "component_id")
     ids = stage(
         nodes.join(named, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "components"
     )
