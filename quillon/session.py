@@ -27,8 +27,17 @@ def get_session(name: str = "quillon", cpus: str | int | None = None, **conf: ob
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default: long rows would else make batches of 64 MB, held in the JVM and in Python at once.
+BATCH_SETTING, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each context; no more is needed where they can import it already."""
+    """Gives the executors this package, once for each context, and bounds the session's Arrow batches unless it sets its own bound.
+
+    No more is needed where the executors can import the package already.
+    """
+    if spark.conf.get(BATCH_SETTING, None) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, BATCH)
     context = spark.sparkContext
     if getattr(context, "_quillon_shipped", False):
         return
