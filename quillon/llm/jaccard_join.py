@@ -53,7 +53,7 @@ BLOCK, SEARCHES = 64, 256
 #: Nodes up to which their ids are broadcast to filter the texts; beyond it they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Prefix tokens that one task settles among themselves before it sends the rest.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def least_overlap(n: int, threshold: int) -> int:
@@ -394,7 +394,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold:
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = full.agg(F.sum("n")).first()[0] or 0
-    buckets = max(shuffles, total * 3 // 10 // CHUNK)
+    buckets = max(shuffles, total * 3 // 10 // (2 * CHUNK))
     credits = (
         full.select("node", "sketch")
         .mapInArrow(_offers(buckets), "bucket int, kind byte, tokens binary, nodes binary")

@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 #: The blank that stands for everything between words, and the most bits of a letter.
 _BLANK, _BITS = 0x20, 21
 #: Characters handled at once, and n-grams of languages that a task holds before it sends them.
-SLICE, HELD = 1 << 20, 1 << 20
+SLICE, HELD = 1 << 20, 1 << 17
 #: Languages up to which the bounds of their samples are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
 

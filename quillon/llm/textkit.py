@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at once; the working set is about 40 times this.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -80,6 +80,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * SEGMENT, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, values
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def _segments(space: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
