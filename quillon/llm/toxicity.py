@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 #: Code points hashed at once; n-grams across a cut are hashed with the slice they begin in.
 SLICE = 1 << 20
 #: N-grams that are counted before a task makes them distinct.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 
 _BLANK = 0x20
 #: Code points that end words alike: white space, controls and ASCII punctuation.
