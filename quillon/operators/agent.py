@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.operators.bridge import tool_column
+from quillon.operators import rules
+from quillon.operators.bridge import output_column, tool_column
 from quillon.staging import stage
 
 Model = Callable[[DataFrame, int], DataFrame]
 
+# What a turn says that came to no answer.
+NO_ANSWER = "抱歉，本轮我没能整理出可靠的分析。您可以换一种说法，再描述一次最主要的症状和持续时间；如果情况较急，请直接就医。"
+NO_ANSWER_STEP = "如症状明显或加重，请及时就医"
+
+OUTPUT = "reply string, risk_level string, confidence string, hypotheses array<struct<name:string,likelihood:string>>, missing_info array<string>, next_steps array<string>"
+
 
 def run_rounds(requests: DataFrame, model: Model, tools: Sequence[str], max_rounds: int = 3) -> DataFrame:
     """(id, transcript, rounds, answer) of every request (id, question).
@@ -34,3 +41,46 @@ def run_rounds(requests: DataFrame, model: Model, tools: Sequence[str], max_roun
         )
         state = stage(state.where("answer is not null").unionByName(moved), "rounds")
     return state
+
+
+def answer_turns(
+    requests: DataFrame, model: Model, tools: Sequence[str], templates: Mapping[str, str], retrieved: Callable[[DataFrame], DataFrame] | None = None, max_turns: int = 6, max_rounds: int = 3
+) -> DataFrame:
+    """(id, reply, risk_level, confidence, next_steps, handled_as, rounds, codes) of every turn (id, question, history, answered).
+
+    ``history`` is the conversation so far (empty or null at first) and
+    ``answered`` the number of replies in it; from ``max_turns`` on the turn is
+    a closing one.  What the pre-scan finds is answered from ``templates`` and
+    never reaches the model.  The rest goes through ``run_rounds`` and
+    ``rules.review``; an answer without a JSON object gets a careful stock
+    reply.  ``retrieved`` gives (id, retrieved array<string>), the chunks that
+    a transcript's tools found.
+    """
+    first = F.coalesce("history", F.lit("")) == ""
+    scanned = stage(requests.where(F.trim(F.coalesce("question", F.lit(""))) != "").withColumn("hit", rules.prescan(F.col("question"), first)), "scanned")
+    way = scanned.where("hit is not null").withColumn("way", rules.route(F.col("hit.kind")))
+    told = F.create_map(*(F.lit(x) for kv in templates.items() for x in kv)) if templates else F.create_map().cast("map<string,string>")
+    none = F.array().cast("array<string>")
+    stopped = way.select(
+        "id", F.coalesce(F.try_element_at(told, F.col("way.template")), F.lit(rules.ADVICE)).alias("reply"), "way.risk_level", "way.confidence",
+        F.array(F.lit(rules.ADVICE)).alias("next_steps"), "way.handled_as", F.lit(0).cast("long").alias("rounds"), F.array("hit.rule_id").alias("codes"),
+    )
+    going = scanned.where("hit is null")
+    done = run_rounds(going.select("id", F.when(first, F.col("question")).otherwise(F.concat_ws("\n", "history", "question")).alias("question")), model, tools, max_rounds)
+    output = F.when(F.col("answer").contains("{"), output_column(F.col("answer"), F.lit("")))
+    read = stage(done.withColumn("o", F.from_json(output, OUTPUT)).select("id", "transcript", "rounds", "o"), "outputs")
+    lost = read.where("o is null").select(
+        "id", F.lit(NO_ANSWER).alias("reply"), F.lit("medium").alias("risk_level"), F.lit("low").alias("confidence"), F.array(F.lit(NO_ANSWER_STEP)).alias("next_steps"),
+        F.lit("review_modified").alias("handled_as"), "rounds", none.alias("codes"),
+    )
+    found = read.select("id").limit(0).withColumn("retrieved", none) if retrieved is None else retrieved(read.select("id", "transcript"))
+    rows = read.where("o is not null").join(going.select("id", "question", "answered"), "id").join(found, "id", "left").select(
+        "id", "o.reply", F.transform("o.hypotheses", lambda h: h["name"]).alias("hypotheses"), F.array().cast("array<struct<source:string,ref:string,detail:string>>").alias("evidence"),
+        F.coalesce("retrieved", none).alias("retrieved"), "o.confidence", F.transform(rules.rule_hits(F.col("question")), lambda h: h["rule_id"]).alias("red_flags"),
+        "o.risk_level", "o.next_steps", (F.coalesce("answered", F.lit(0)) >= max_turns).alias("closing"),
+    )
+    rows = stage(rows, "turns")  # the rules' expressions would else be repeated in every check
+    reviewed = rules.review(rows, templates).join(read.select("id", "rounds"), "id").select(
+        "id", "reply", "risk_level", "confidence", "next_steps", F.when(F.col("action") == "pass", "normal").otherwise("review_modified").alias("handled_as"), "rounds", "codes"
+    )
+    return stopped.unionByName(lost).unionByName(reviewed)

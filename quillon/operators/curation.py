@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.text import strip
+from quillon.operators.maintenance import fingerprint
 
 # The entities that occur in the pages, in the order they are replaced.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&"))
@@ -148,3 +150,15 @@ def rejoin_lines(lines: DataFrame, doc: str, ord_: str, line: str) -> DataFrame:
     blocks = kept.withColumn("block", F.sum(begins.cast("int")).over(w))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct(ord_, line))), lambda x: x[line])
     return blocks.groupBy(doc, "block").agg(F.array_join(in_order, "").alias(line)).select(doc, F.col("block").cast("long").alias("block"), line)
+
+
+def convert(adapters: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(adapter, id, text) of all adapters, each giving (id, text): blank texts dropped, one of copies kept, of the first adapter, then of the least id.
+
+    Ids are not null and tell an adapter's rows apart.  Texts are not shuffled to find copies, only fingerprints.
+    """
+    parts = [give().select(F.lit(n).alias("_n"), F.lit(name).alias("adapter"), "id", "text") for n, (name, give) in enumerate(adapters.items())]
+    docs = reduce(DataFrame.unionByName, parts).where(strip(F.col("text")) != "")
+    first = docs.select("_n", "id", fingerprint(F.col("text")).alias("print")).groupBy("print").agg(F.min(F.struct("_n", "id")).alias("f"))
+    kept = first.select(F.col("f._n").alias("_n"), F.col("f.id").alias("id"))
+    return docs.join(kept, ["_n", "id"], "left_semi").select("adapter", "id", "text")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def latest(log: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -91,6 +95,60 @@ def prefix_within_budget(rows: DataFrame, group: Sequence[str], order: Sequence[
     return kept.withColumn("total", F.col("_sum").cast("long")).drop("_sum", "_n")
 
 
+def fit_within_budget(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], size: str, budget: int) -> DataFrame:
+    """Rows of a group in order, each taken if it still fits in ``budget``; one that does not is passed over. ``total`` is what is taken so far.
+
+    What fits depends on all that was taken before, so a group is read in one
+    task, as a stream: nothing but the sum is held.  Give the rows as ids and sizes.
+    """
+    names = list(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True)) if names else [()] * batch.num_rows
+            kept, totals = [], []
+            for i, (key, n) in enumerate(zip(keys, batch.column(size).to_pylist(), strict=True)):
+                if key != now:
+                    now, taken = key, 0
+                if n is not None and taken + n <= budget:
+                    taken += n
+                    kept.append(i)
+                    totals.append(taken)
+            found = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(totals, pa.int64())], [*found.schema.names, "total"])
+
+    dealt = rows.repartition(*names) if names else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*names, *order).mapInArrow(run, StructType([*rows.schema.fields, StructField("total", LongType())]))
+
+
+def spread_sample(rows: DataFrame, key: Column | str, order: Sequence[str], most: int, parts: int = 4096) -> DataFrame:
+    """``most`` rows at even steps, floor(i * n / most), of all ``n`` rows in the order of ``key`` (a hash in hexadecimal), then ``order``.
+
+    Ranks are counts of the hash's leading bits before, added to the rank
+    within them, so no task sorts more than its share.
+    """
+    bits = F.coalesce(F.expr("conv(substr(_k, 1, 6), 16, 10)").cast("long"), F.lit(0))
+    keyed = rows.withColumn("_k", key if isinstance(key, Column) else F.col(key)).withColumn("_part", F.floor(bits * parts / (1 << 24)))
+    counts = keyed.groupBy("_part").agg(F.count("*").alias("_in"))  # ``parts`` rows at most, so one task may add them up
+    before = counts.select("_part", (F.sum("_in").over(Window.orderBy("_part")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_all"))
+    ranked = keyed.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_k", *order)) - 1)
+    step = f"((_rank * {most} + _all - 1) div _all)"  # the only one that can fall on the rank
+    chosen = F.expr(f"_all <= {most} or ({step} < {most} and {step} * _all div {most} = _rank)")
+    return ranked.where(chosen).select(*rows.columns)
+
+
+def within_cap(k: Column, cap: int) -> Column:
+    """How many results are asked for, from 1 to ``cap``; ``cap`` where nothing is asked."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(k, F.lit(cap)), F.lit(cap)))
+
+
+def in_folder(path: Column, prefix: str, suffixes: Sequence[str]) -> Column:
+    """Whether a path lies under ``prefix`` and has one of the suffixes, in any case."""
+    low = F.lower(path)
+    return path.startswith(prefix) & reduce(or_, (low.endswith(s) for s in suffixes), F.lit(False))
+
+
 def with_chunk_ids(chunks: DataFrame, doc: str, text: str, ord_: str) -> DataFrame:
     """seq from 1 in a document, and an id from document and text; the n-th equal text of a document is told apart by n."""
     seq = F.row_number().over(Window.partitionBy(doc).orderBy(ord_))

@@ -180,6 +180,13 @@ def hashed_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int
     return one.agg(F.array(*(F.count(F.when(F.col("b") == i, 1)) for i in range(dimensions))).alias("v"))
 
 
+def digest_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int = 8) -> DataFrame:
+    """(id, v): the first bytes of the text's SHA-256 over 255, less a half, to length 1; at most 32. A fixed embedding for tests."""
+    digest = F.sha2(F.col(text_col), 256)
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 255 - 0.5
+    return texts.select(F.col(id_col), l2_normalize(F.array(*(byte(i) for i in range(min(dimensions, 32))))).alias("v"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is zero."""
     norms = F.sqrt(dot(a, a) * dot(b, b))

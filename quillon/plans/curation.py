@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from quillon.functions.text import hash_bucket, strip
 from quillon.operators import curation as C
 from quillon.operators import maintenance as M
+from quillon.plans.maintenance import FINGER
 from quillon.plans.registry import query
 from quillon.staging import stage
 
@@ -190,6 +191,20 @@ def docs_union(spark, table):
     return pages.unionByName(docs).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query(
+    f"""WITH {PAGES}, u AS (SELECT 0 AS o, 'pages' AS adapter, page_id AS id, body AS text FROM r UNION ALL SELECT 1, 'documents', doc_id, text FROM documents),
+k AS (SELECT *, {FINGER} AS print FROM u WHERE {_strip_sql("text")} <> ''), d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY print ORDER BY o, id) = 1)
+SELECT adapter, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM d GROUP BY adapter"""
+)
+def convert_all(spark, table):
+    """Adapters by name, copies once, and what each has given."""
+    adapters = {
+        "pages": lambda: pages_of(table).select(F.col("page_id").alias("id"), F.col("body").alias("text")),
+        "documents": lambda: table("documents").select(F.col("doc_id").alias("id"), "text"),
+    }
+    return C.convert(adapters).groupBy("adapter").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) BETWEEN 80 AND 2000 AND NOT regexp_matches(text, '[#$%&*]{3}')")
 def baike_filter(spark, table):
     """Entries of a fair length without noise."""

@@ -176,6 +176,38 @@ def size_budget_prefix(spark, table):
     return M.prefix_within_budget(docs, ["source"], ["size", "doc_id"], "size", 20000, 40).select("source", "doc_id", "total")
 
 
+@query(
+    """WITH RECURSIVE o AS (SELECT source, doc_id, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, doc_id, r, size <= 20000 AS kept, CASE WHEN size <= 20000 THEN size ELSE 0 END AS total FROM o WHERE r = 1
+UNION ALL SELECT o.source, o.doc_id, o.r, f.total + o.size <= 20000, f.total + CASE WHEN f.total + o.size <= 20000 THEN o.size ELSE 0 END FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.r = f.r + 1)
+SELECT source, doc_id, CAST(total AS BIGINT) AS total FROM f WHERE kept"""
+)
+def size_budget_skip(spark, table):
+    """In the order of ids, whatever still fits."""
+    docs = table("documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
+    return M.fit_within_budget(docs, ["source"], ["doc_id"], "size", 20000).select("source", "doc_id", "total")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
+SELECT doc_id FROM r WHERE n <= 90 OR r IN (SELECT i * n // 90 FROM range(90) t(i))"""
+)
+def even_step_sample(spark, table):
+    """90 documents at even steps of a seeded order."""
+    return M.spread_sample(table("documents").select("doc_id"), F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))), ["doc_id"], 90)
+
+
+@query(
+    """SELECT path, CAST(greatest(1, least(length(path) - 12, 8)) AS BIGINT) AS k FROM (SELECT source || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'fr' THEN '.xls' WHEN lang = 'de' THEN '.JSON' ELSE '.json' END AS path FROM documents)
+WHERE starts_with(path, 'web/') AND ends_with(lower(path), '.json')"""
+)
+def path_filter(spark, table):
+    """Files below one folder by their suffix; ``k`` is a number asked for, kept from 1 to 8."""
+    suffix = F.when(F.col("lang") == "fr", ".xls").when(F.col("lang") == "de", ".JSON").otherwise(".json")
+    paths = table("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"))
+    return paths.where(M.in_folder(F.col("path"), "web/", [".json"])).select("path", M.within_cap(F.length("path") - 12, 8).cast("long").alias("k"))
+
+
 # ------------------------------------------------------------------ logs
 
 LOG = "l AS (SELECT user_id AS id, event_id AS ord, event_type AS dimension, event_type = 'error' AS truncated, value AS score, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS fp FROM events)"

@@ -301,3 +301,14 @@ def preview(spark, table):
 @query("SELECT count(*) AS n_documents, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) > 0) AS n_readable FROM documents")
 def scan_text_nonempty(spark, table):
     return table("documents").agg(F.count("*").alias("n_documents"), F.count(F.when(F.length(strip(F.coalesce("text", F.lit("")))) > 0, 1)).alias("n_readable"))
+
+
+@query(
+    """WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, i, CAST(CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) AS DOUBLE) / 255 - 0.5 AS x FROM b, range(8) t(i)), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY doc_id)
+SELECT doc_id, CAST(i AS BIGINT) AS i, round(x / norm, 6) AS x FROM v JOIN n USING (doc_id)"""
+)
+def digest_embedding(spark, table):
+    """Vectors that depend on nothing but the text's digest."""
+    rows = S.digest_vectors(table("documents").where("text is not null"), "doc_id", "text")
+    return rows.select("doc_id", F.posexplode("v").alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

@@ -97,6 +97,14 @@ def size_text(n: float) -> str:
     return ""
 
 
+def duration_text(seconds: float) -> str:
+    """Seconds below a minute, then minutes and seconds, then hours and minutes."""
+    whole = max(0, int(seconds))
+    if whole < 60:
+        return f"{whole}s"
+    return f"{whole // 60}m{whole % 60:02d}s" if whole < 3600 else f"{whole // 3600}h{whole % 3600 // 60:02d}m"
+
+
 def markdown_table(columns: Sequence[str], rows: Iterable[Sequence[object]]) -> str:
     """A table of a summary that has been collected; null shows as a dash."""
     shown = [[("—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", "\\|") for v in r] for r in rows]

@@ -269,3 +269,70 @@ def test_a_version_is_replaced_without_a_gap(spark, tmp_path):
     P.publish_all({"a": spark.range(3), "b": spark.range(4)}, path, "v2")
     assert (P.current(spark, path, "a").count(), P.current(spark, path, "b").count()) == (3, 4)
     assert sorted(x.name for x in (tmp_path / "t").iterdir() if not x.name.endswith(".crc")) == ["_CURRENT", "v1", "v2"]
+
+
+def test_turns_are_scanned_answered_and_reviewed(spark):
+    """A first turn in danger never reaches the model; a later one calls a tool; one has no object; one is rewritten."""
+    from quillon.operators import agent, rules as R
+
+    asked = spark.createDataFrame(
+        [(1, "我想自杀", None, 0), (2, "有点感冒", None, 0), (3, "还是头疼", "用户：头疼\n助手：多久了", 1), (4, "有点困", None, 0), (5, " ", None, 0), (6, "怎么办", "用户：累", 7)],
+        "id long, question string, history string, answered int",
+    )
+    good = '{"reply": "多休息", "risk_level": "low", "assessment": {"hypotheses": [{"name": "感冒", "likelihood": "low"}], "confidence": "low", "next_steps": ["休息"]}}'
+    bad = good.replace("多休息", "您肯定没事")
+    sure = good.replace('"confidence": "low"', '"confidence": "high"').replace('["休息"]', '["就医"]')
+    script = {(2, 0): '{"name": "retrieve_evidence", "arguments": {"query": "x"}}', (2, 1): good, (3, 0): bad, (4, 0): "说不好", (6, 0): sure}
+    seen = []
+
+    def model(open_, turn):
+        rows = open_.collect()
+        seen.extend((r.id, r.transcript) for r in rows)
+        return spark.createDataFrame([(r.id, script.get((r.id, turn), good)) for r in rows], "id long, reply string")
+
+    found = {r.id: r for r in agent.answer_turns(asked, model, ("retrieve_evidence",), {"self_harm": "求助热线"}).collect()}
+    assert set(found) == {1, 2, 3, 4, 6} and 1 not in dict(seen) and dict(seen)[3].startswith("用户：头疼")
+    assert (found[1].reply, found[1].risk_level, found[1].handled_as, found[1].rounds) == ("求助热线", "emergency", "emergency", 0)
+    assert (found[2].reply, found[2].handled_as, found[2].rounds) == ("多休息", "normal", 1)
+    assert found[3].handled_as == "review_modified" and "absolutist_claim" in found[3].codes and "肯定" not in found[3].reply
+    assert (found[4].reply, found[4].risk_level, found[4].next_steps) == (agent.NO_ANSWER, "medium", [agent.NO_ANSWER_STEP])
+    assert found[6].confidence == "medium" and "closing_confidence_cap" in found[6].codes
+    assert agent.answer_turns(asked.where("id = 0"), model, (), {}).collect() == [] and R.ADVICE
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(0, 60)])) for i in range(300)]
+    want, taken = set(), {}
+    for g, i, n in rows:
+        if n is not None and taken.get(g, 0) + n <= 500:
+            taken[g] = taken.get(g, 0) + n
+            want.add((g, i, taken[g]))
+    df = spark.createDataFrame(rows, "g string, i long, n long").repartition(5)
+    assert {tuple(r) for r in M.fit_within_budget(df, ["g"], ["i"], "n", 500).select("g", "i", "total").collect()} == want
+    assert M.fit_within_budget(df.where("i < 0"), ["g"], ["i"], "n", 500).collect() == []
+
+
+@pytest.mark.parametrize(("n", "most"), [(0, 3), (3, 3), (10, 3), (101, 40)])
+def test_spread_sample_takes_even_steps(spark, n, most):
+    import hashlib
+
+    order = sorted(range(n), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    want = set(order) if n <= most else {order[i * n // most] for i in range(most)}
+    assert {r.id for r in M.spread_sample(spark.range(n), F.md5(F.col("id").cast("string")), ["id"], most, parts=7).collect()} == want
+
+
+def test_converted_texts_are_those_of_the_first_adapter(spark):
+    from quillon.operators import curation as C
+    from quillon.sources.settings import duration_text
+
+    one = spark.createDataFrame([(2, "same"), (1, "same"), (3, " "), (4, None)], "id long, text string")
+    two = spark.createDataFrame([(1, "same"), (9, "other")], "id long, text string")
+    assert sorted(map(tuple, C.convert({"one": lambda: one, "two": lambda: two}).collect())) == [("one", 1, "same"), ("two", 9, "other")]
+    assert [duration_text(x) for x in (-1, 59.9, 61, 3600, 7325)] == ["0s", "59s", "1m01s", "1h00m", "2h02m"]
+
+
+def test_half_even_rounding_is_that_of_exact_decimals(spark):
+    """Half to even is decided on the shortest decimal form; Python's rounding sees the binary value, and differs where that is just off a half."""
+    got = spark.createDataFrame([(0.125,), (0.375,), (2.5,), (-0.125,)], "x double").select(F.bround("x", 2).alias("b"), "x").collect()
+    assert all(r.b == round(r.x, 2) for r in got)
