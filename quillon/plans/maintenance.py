@@ -198,14 +198,14 @@ def even_step_sample(spark, table):
 
 
 @query(
-    """SELECT path, CAST(greatest(1, least(length(path) - 12, 8)) AS BIGINT) AS k FROM (SELECT source || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'fr' THEN '.xls' WHEN lang = 'de' THEN '.JSON' ELSE '.json' END AS path FROM documents)
-WHERE starts_with(path, 'web/') AND ends_with(lower(path), '.json')"""
+    """SELECT path, CAST(greatest(1, least((length(path) - 12) * 3, 2)) AS BIGINT) AS k FROM (SELECT source || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'fr' THEN '.xls' WHEN lang = 'de' THEN '.JSON' ELSE '.json' END AS path FROM documents)
+WHERE starts_with(path, 'src1/') AND ends_with(lower(path), '.json')"""
 )
 def path_filter(spark, table):
-    """Files below one folder by their suffix; ``k`` is a number asked for, kept from 1 to 8."""
+    """Files below one folder by their suffix; ``k`` is a number asked for, kept from 1 to 2."""
     suffix = F.when(F.col("lang") == "fr", ".xls").when(F.col("lang") == "de", ".JSON").otherwise(".json")
     paths = table("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"))
-    return paths.where(M.in_folder(F.col("path"), "web/", [".json"])).select("path", M.within_cap(F.length("path") - 12, 8).cast("long").alias("k"))
+    return paths.where(M.in_folder(F.col("path"), "src1/", [".json"])).select("path", M.within_cap((F.length("path") - 12) * 3, 2).cast("long").alias("k"))
 
 
 # ------------------------------------------------------------------ logs
