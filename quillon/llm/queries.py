@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.centroids import oracle as centroids_sql
+from quillon.llm.outliers import oracle as outliers_sql
 from quillon.llm.url_filter import oracle as url_filter_sql
 
 OP4_SQL = url_filter_sql()
@@ -114,6 +116,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, a tenth of them with a planted periodic end."""
+    from quillon.llm.periodic_runs import periodic_runs, plant_runs, run_digests
+
+    return run_digests(periodic_runs(plant_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.centroids import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.outliers import reject_outliers
+
+    return reject_outliers(_table(spark, sf_dir, "documents")).drop("distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
@@ -125,9 +146,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op4_url_filter": OP4_SQL,
+    "op12_centroid_clustering": centroids_sql(),
+    "op13_quality_rules": outliers_sql(),
 }
