@@ -80,11 +80,11 @@ def _matrix(column: pa.Array, order: np.ndarray) -> np.ndarray:
     return flat.reshape(-1, len(order))[:, order].astype(np.int64)
 
 
-def first_centroids(whole: DataFrame, k: int = CLUSTERS) -> np.ndarray:
+def first_centroids(whole: DataFrame, k: int = CLUSTERS, dims: int = DIMENSIONS) -> np.ndarray:
     """The vectors of the k smallest SHA-256 of ``3:<vec_id>``, in the order of these; rows of one id in the order of their components, null ids last."""
     key = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
     rows = whole.orderBy(key.asc_nulls_last(), "v").limit(k).select("v").collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), dims)
 
 
 def variance_order(whole: DataFrame, dims: int = DIMENSIONS) -> np.ndarray:
@@ -130,7 +130,7 @@ def _sums(whole: DataFrame, state: Clusters) -> dict[int, tuple[int, list[int]]]
 
 def fit_clusters(whole: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMENSIONS) -> Clusters:
     """The centroids after ``rounds`` rounds, each the floor of its vectors' mean; one without vectors stays. With fewer than k vectors there are as many centroids."""
-    state = Clusters(first_centroids(whole, k).reshape(-1, dims), variance_order(whole, dims))
+    state = Clusters(first_centroids(whole, k, dims), variance_order(whole, dims))
     for _ in range(rounds if len(state.centroids) else 0):
         moved = state.centroids.copy()
         for j, (n, sums) in _sums(whole, state).items():
