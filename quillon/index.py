@@ -103,10 +103,12 @@ def retrieve(index: DataFrame, queries: DataFrame, config: S.SearchConfig | None
 
 
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Texts of a folder by their relative path, and the errors of those that cannot be used."""
+    """Texts of a folder by their path below it, and the errors of those that cannot be used."""
     rows = files.read_texts(spark, path)
-    name = F.regexp_replace("path", "^.*/", "")
-    return rows.where("error is null").select(name.alias("doc_id"), "text"), rows.where("error is not null").select(name.alias("doc_id"), "error")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    below = F.substring_index(F.col("path"), f"{root.rstrip('/')}/", -1) if path else F.col("path")
+    return rows.where("error is null").select(below.alias("doc_id"), "text"), rows.where("error is not null").select(below.alias("doc_id"), "error")
 
 
 def manifest_json(report: Report) -> str:

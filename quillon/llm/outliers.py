@@ -150,7 +150,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _medians(values: DataFrame) -> DataFrame:
-    """(g, j, v) to (g, j, median): the lower median of integers, from counts of equal ones."""
+    """(g, j, v) to (g, j, median): the lower median of integers, from counts of equal ones. A window holds the values a number can have (below 20,000 for texts of a million words), however many rows there are."""
     counts = values.groupBy("g", "j", "v").agg(F.count("*").alias("c"))
     upto, whole = Window.partitionBy("g", "j").orderBy("v"), Window.partitionBy("g", "j")
     placed = counts.select("g", "j", "v", F.sum("c").over(upto).alias("upto"), F.sum("c").over(whole).alias("all"))

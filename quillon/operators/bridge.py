@@ -17,8 +17,10 @@ from pyspark.sql import Column, functions as F
 LIKELIHOODS = {"low": "low", "medium": "medium", "high": "high", "低": "low", "中": "medium", "中等": "medium", "高": "high"}
 RISKS = {**LIKELIHOODS, "emergency": "emergency", "紧急": "emergency", "急诊": "emergency", "危急": "emergency"}
 SOURCES = {"dialogue": "dialogue", "tool": "tool", "kb": "kb", "对话": "dialogue", "问诊": "dialogue", "工具": "tool", "知识库": "kb", "检索": "kb", "资料": "kb"}
-PLACEHOLDERS = ("未提供", "未知", "")
-DEFAULT_STEPS = ("建议到医院就诊评估。",)
+PLACEHOLDERS = ("", "未提供", "无", "未知", "none", "null", "n/a", "不适用")
+DEFAULT_STEPS = ("如症状加重或出现新的不适，请及时就医",)
+DEFAULT_REF = "本轮对话"
+DEFAULT_REPLY = "抱歉，本轮我没能整理出可靠的分析。请您再描述一次最主要的症状和持续时间；如果情况较急，请直接就医。"
 
 _SCALAR = re.compile(r'-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null')
 _BLANK = re.compile(r"\s*")
@@ -142,28 +144,41 @@ def tool_call(text: str | None, allowed: Sequence[str] = ()) -> dict | None:
     return None
 
 
+def _text(value) -> str:
+    return "" if value is None else str(value).strip()
+
+
 def _texts(value) -> list[str]:
-    items = value if isinstance(value, list) else [value]
-    return [x.strip() for x in items if isinstance(x, str) and x.strip() not in PLACEHOLDERS]
+    items = [_text(x) for x in (value if isinstance(value, list) else [value])]
+    return [x for x in items if x.lower() not in PLACEHOLDERS]
+
+
+def _named(value, names: dict[str, str], default: str) -> str:
+    raw = _text(value)
+    return names.get(raw.lower(), default)
 
 
 def normalize_output(value: dict | None, draft: str = "") -> dict:
-    """An output in full: defaults for what lacks, levels in English, placeholders dropped, hypotheses as objects with a name."""
+    """An output in full: defaults for what lacks, levels in English, placeholders dropped, hypotheses as objects with a name, evidence with a detail."""
     value = value if isinstance(value, dict) else {}
-    told = value.get("assessment") if isinstance(value.get("assessment"), dict) else {}
+    told, card = (value.get(k) if isinstance(value.get(k), dict) else {} for k in ("assessment", "case_card"))
+    listed = lambda k: told.get(k) if isinstance(told.get(k), list) else []
     guesses = []
-    for h in told.get("hypotheses") or []:
-        h = {"name": h} if isinstance(h, str) else h
-        if isinstance(h, dict) and isinstance(h.get("name"), str) and h["name"].strip():
-            guesses.append({"name": h["name"].strip(), "likelihood": LIKELIHOODS.get(str(h.get("likelihood")), "low")})
-    reply = value.get("reply")
+    for h in listed("hypotheses"):
+        if isinstance(h, str) and h.strip().lower() not in PLACEHOLDERS:
+            guesses.append({"name": h.strip(), "likelihood": "low"})
+        elif isinstance(h, dict) and _text(h.get("name")):
+            guesses.append({"name": _text(h["name"]), "likelihood": _named(h.get("likelihood"), LIKELIHOODS, "low")})
+    evidence = [{"source": _named(e.get("source"), SOURCES, "dialogue"), "ref": _text(e.get("ref")) or DEFAULT_REF, "detail": _text(e.get("detail"))} for e in listed("evidence") if isinstance(e, dict) and _text(e.get("detail"))]
     return {
-        "reply": reply if isinstance(reply, str) and reply.strip() else draft,
-        "risk_level": RISKS.get(str(value.get("risk_level")), "low"),
-        "confidence": LIKELIHOODS.get(str(told.get("confidence")), "low"),
+        "reply": _text(value.get("reply")) or draft.strip() or DEFAULT_REPLY,
+        "risk_level": _named(value.get("risk_level"), RISKS, "medium"),
+        "confidence": _named(told.get("confidence"), LIKELIHOODS, "medium" if guesses else "low"),
         "hypotheses": guesses,
-        "missing_info": _texts(told.get("missing_info") or []),
-        "next_steps": _texts(told.get("next_steps") or []) or list(DEFAULT_STEPS),
+        "evidence": evidence,
+        "missing_info": _texts(told.get("missing_info")),
+        "next_steps": _texts(told.get("next_steps")) or list(DEFAULT_STEPS),
+        "red_flags": _texts(card.get("red_flags_found")),
     }
 
 
@@ -180,15 +195,17 @@ def objects_column(text: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda x: [_dumped(o) for o in json_objects(x)]), "array<string>")(text)
 
 
-def tool_column(text: Column, allowed: Sequence[str] = ()) -> Column:
-    """struct(name, arguments), the arguments as canonical JSON; null without a call."""
-    names = tuple(allowed)
+def tool_column(text: Column, allowed: Sequence[str] | Column = ()) -> Column:
+    """struct(name, arguments), the arguments as canonical JSON; null without a call. ``allowed``: names, or a column of arrays of them."""
+    shape = "name string, arguments string"
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        found = [tool_call(x, names) or {} for x in s]
-        return pd.DataFrame({"name": [f.get("name") for f in found], "arguments": [_dumped(f.get("arguments")) for f in found]})
+    def told(found: list[dict | None]) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f and f["name"] for f in found], "arguments": [f and _dumped(f["arguments"]) for f in found]}, dtype=object)
 
-    return F.pandas_udf(run, "name string, arguments string")(text)
+    if isinstance(allowed, Column):
+        return F.pandas_udf(lambda s, a: told([tool_call(x, tuple(y)) for x, y in zip(s, a, strict=True)]), shape)(text, allowed)
+    names = tuple(allowed)
+    return F.pandas_udf(lambda s: told([tool_call(x, names) for x in s]), shape)(text)
 
 
 def output_column(text: Column, draft: Column) -> Column:

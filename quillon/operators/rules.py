@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillon.staging import stage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -202,12 +204,13 @@ def review(rows: DataFrame, templates: Mapping[str, str], fix: Callable[[DataFra
     gives more findings, (id, more array<string>), which are only reported.
     """
     fixable = F.array(*map(F.lit, FIXED_BY_MODEL))
-    state = _findings(rows).withColumn("found", F.col("codes")).withColumn("fixed", F.lit(False))
+    state = stage(_findings(rows).withColumn("found", F.col("codes")).withColumn("fixed", F.lit(False)), "found")
     if fix is not None:
         mended = fix(state.where(F.arrays_overlap("codes", fixable))).select("id", F.struct(*_REVIEWED).alias("m"))
         state = state.join(mended, "id", "left").withColumn("fixed", F.col("m").isNotNull())
         state = state.withColumns({c: F.when(F.col("fixed"), F.col(f"m.{c}")).otherwise(F.col(c)) for c in _REVIEWED}).drop("m")
-    state = _findings(state.drop("codes", "bad_refs"))
+    if fix is not None:  # each check is compiled once: nested in each other the patterns would be too much code
+        state = stage(_findings(state.drop("codes", "bad_refs")), "found")
     has = lambda code: F.array_contains("codes", code)
     advised = lambda when: F.when(when & ~has_care_word(F.array_join("next_steps", "；")), F.concat(F.array(F.lit(ADVICE)), "next_steps")).otherwise(F.col("next_steps"))
     kept = F.filter("evidence", lambda e: (e["source"] != "kb") | ~F.array_contains("bad_refs", e["ref"]))
@@ -223,7 +226,7 @@ def review(rows: DataFrame, templates: Mapping[str, str], fix: Callable[[DataFra
             "reply": F.when(has("self_harm_echo") & F.lit(suffix != "") & ~F.contains("reply", F.lit(suffix)), with_suffix).otherwise(F.col("reply")),
         }
     )
-    state = _findings(state.drop("codes", "bad_refs"))
+    state = stage(_findings(state.drop("codes", "bad_refs")), "mended")
     refused = has("diagnosis_language") | has("medication_recommendation")
     refuse = templates.get("refuse", "")
     # In the order of the checks: a refusal takes the place of the reply, then promises are softened and references reworded.

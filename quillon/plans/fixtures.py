@@ -574,7 +574,7 @@ def parse_tool_call(spark, table):
 
 DRAFTS = [
     (1, '{"reply": "好", "risk_level": "急诊", "assessment": {"hypotheses": ["上呼吸道感染", {"likelihood": "high"}, 123, null], "confidence": "中等", "missing_info": ["未提供", "体温"], "next_steps": ["就医"]}}', "", "好", "emergency", "medium", 1, 1, 1),
-    (2, "{}", "草稿", "草稿", "low", "low", 0, 0, 1),
+    (2, "{}", "草稿", "草稿", "medium", "low", 0, 0, 1),
 ]
 
 
@@ -697,25 +697,3 @@ def jsonl_strict(spark, table):
 
     rows = _frame(spark, "value string, line long", [('{"id": 1}', 1), ("", 2), ("# note", 3), ('{"id": 2}', 4)])
     return strict(rows, "id long").select("record.id", "line")
-
-
-REPLAY = [
-    (1, 0, 'TOOL: check_red_flags\nARGS: {"symptoms": ["胸痛"]}'),
-    (1, 1, "请立即就医"),
-    (2, 0, "多休息"),
-    (3, 0, 'TOOL: retrieve_evidence\nARGS: {"query": "a"}'),
-    (3, 1, 'TOOL: retrieve_evidence\nARGS: {"query": "b"}'),
-    (3, 2, 'TOOL: retrieve_evidence\nARGS: {"query": "c"}'),
-    (3, 3, "够了"),
-]
-
-
-@example(rows_sql("id, rounds, answer", [(1, 1, "请立即就医"), (2, 0, "多休息"), (3, 3, "够了")]))
-def agent_rounds(spark, table):
-    """A scripted model in place of a real one."""
-    from quillon.operators.agent import run_rounds
-
-    script = _frame(spark, "id long, turn int, reply string", REPLAY)
-    requests = _frame(spark, "id long, question string", [(1, "胸痛"), (2, "感冒"), (3, "查一下")])
-    done = run_rounds(requests, lambda open_, turn: open_.join(script.where(F.col("turn") == turn), "id"), ("check_red_flags", "retrieve_evidence"))
-    return done.select("id", "rounds", "answer")

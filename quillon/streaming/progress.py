@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Mapping
@@ -9,8 +10,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.operators.maintenance import latest
-
 #: The file that names the current version of a table.
 POINTER = "_CURRENT"
 
@@ -32,37 +31,36 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def replay(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Folds a log into a table of the last record of each key.
-
-    Every batch writes a new version next to the old one and then names it in
-    the pointer file, so a batch that is repeated gives the same table.
-    """
-    spark = stream.sparkSession
-
-    def fold(batch: DataFrame, number: int) -> None:
-        old = current(spark, path)
-        whole = batch if old is None else old.unionByName(batch)
-        publish(latest(whole, [key], [order]), path, f"v{number}")
-
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def publish(df: DataFrame, path: str, version: str) -> None:
+def publish(df: DataFrame, path: str, version: str, keep: int = 2) -> None:
     """Writes a version of a table and makes it the current one in one rename."""
-    publish_all({"": df}, path, version)
+    publish_all({"": df}, path, version, keep)
 
 
-def publish_all(tables: Mapping[str, DataFrame], path: str, version: str) -> None:
+def publish_all(tables: Mapping[str, DataFrame], path: str, version: str, keep: int = 2) -> None:
     """Writes a version of several tables (by name below the version) and makes them current together, in one rename.
 
     The pointer file is replaced, not deleted, so a reader finds the old
-    version or the new one, and a crash before the rename changes nothing.
+    version or the new one, and a crash before the rename changes nothing.  Each
+    attempt has a folder of its own, so one that is repeated does not touch what
+    the pointer names.  Versions before the ``keep`` last ones are deleted.
     """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}".rstrip("/"))
     spark = next(iter(tables.values())).sparkSession
-    put_text(spark, f"{path}/{POINTER}", version)
+    attempt = f"{version}-{time.time_ns():020d}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{attempt}/{name}".rstrip("/"))
+    put_text(spark, f"{path}/{POINTER}", attempt)
+    _remove_old(spark, path, attempt, keep)
+
+
+def _remove_old(spark: SparkSession, path: str, newest: str, keep: int) -> None:
+    """Deletes the folders of published versions but the newest and the ``keep`` before it, by the time in their names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [x.getPath().getName() for x in fs.listStatus(root) if x.isDirectory()]
+    versions = sorted((n for n in folders if re.fullmatch(r".*-\d{20}", n) and n[-20:] < newest[-20:]), key=lambda n: n[-20:])
+    for name in versions[: max(0, len(versions) - keep)]:
+        fs.delete(hadoop.Path(f"{path}/{name}"), True)
 
 
 def current(spark: SparkSession, path: str, name: str = "") -> DataFrame | None:
@@ -128,16 +126,20 @@ def throttled(call: Callable[..., None], every: float = 2.0, clock: Callable[[],
     return run
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    """Adds the rows as JSON lines; each call is a batch of files of its own, complete or absent."""
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, number: int | None = None) -> None:
+    """Adds the rows as JSON lines; each call is a batch of files of its own, complete or absent. A numbered batch that is written again takes its own place."""
+    if number is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(f"{path}/batch={number}")
 
 
-def overwrite_json(df: DataFrame, path: str) -> None:
-    """Replaces the JSON lines at ``path`` by a version that is whole before it is named."""
-    version = f"v{uuid.uuid4().hex}"
+def overwrite_json(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Replaces the JSON lines at ``path`` by a version that is whole before it is named; older ones than the ``keep`` before it are deleted."""
+    version = f"v-{time.time_ns():020d}"
     df.write.json(f"{path}/{version}")
     put_text(df.sparkSession, f"{path}/{POINTER}", version)
+    _remove_old(df.sparkSession, path, version, keep)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

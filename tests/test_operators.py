@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import bridge, chunking, evaluation, maintenance as M
 from quillon.sources import files
-from quillon.streaming import progress as P
+from quillon.streaming import buckets as B, progress as P
 
 
 def test_longest_common_substring_is_that_of_difflib(spark):
@@ -115,8 +115,8 @@ def test_stream_of_events_is_replayed_and_watched(spark, tmp_path):
     assert {(r.dimension, r.done, r.scored, r.correct) for r in spark.table("watched").collect()} == {("view", 2, 2, 1), ("error", 1, 0, 0)}
     target = str(tmp_path / "table")
     for _ in range(2):  # the second run finds nothing new
-        P.replay(stream, target, "user_id", "event_id", str(tmp_path / "c2")).awaitTermination()
-    assert {(r.user_id, r.event_id) for r in P.current(spark, target).collect()} == {(7, 2), (8, 3)}
+        B.replay(stream, target, "user_id", "event_id", str(tmp_path / "c2")).awaitTermination()
+    assert {(r.user_id, r.event_id) for r in B.read_table(spark, target).collect()} == {(7, 2), (8, 3)}
     assert P.current(spark, str(tmp_path / "none")) is None
 
 
@@ -268,36 +268,12 @@ def test_a_version_is_replaced_without_a_gap(spark, tmp_path):
     P.publish_all({"a": spark.range(1), "b": spark.range(2)}, path, "v1")
     P.publish_all({"a": spark.range(3), "b": spark.range(4)}, path, "v2")
     assert (P.current(spark, path, "a").count(), P.current(spark, path, "b").count()) == (3, 4)
-    assert sorted(x.name for x in (tmp_path / "t").iterdir() if not x.name.endswith(".crc")) == ["_CURRENT", "v1", "v2"]
-
-
-def test_turns_are_scanned_answered_and_reviewed(spark):
-    """A first turn in danger never reaches the model; a later one calls a tool; one has no object; one is rewritten."""
-    from quillon.operators import agent, rules as R
-
-    asked = spark.createDataFrame(
-        [(1, "我想自杀", None, 0), (2, "有点感冒", None, 0), (3, "还是头疼", "用户：头疼\n助手：多久了", 1), (4, "有点困", None, 0), (5, " ", None, 0), (6, "怎么办", "用户：累", 7)],
-        "id long, question string, history string, answered int",
-    )
-    good = '{"reply": "多休息", "risk_level": "low", "assessment": {"hypotheses": [{"name": "感冒", "likelihood": "low"}], "confidence": "low", "next_steps": ["休息"]}}'
-    bad = good.replace("多休息", "您肯定没事")
-    sure = good.replace('"confidence": "low"', '"confidence": "high"').replace('["休息"]', '["就医"]')
-    script = {(2, 0): '{"name": "retrieve_evidence", "arguments": {"query": "x"}}', (2, 1): good, (3, 0): bad, (4, 0): "说不好", (6, 0): sure}
-    seen = []
-
-    def model(open_, turn):
-        rows = open_.collect()
-        seen.extend((r.id, r.transcript) for r in rows)
-        return spark.createDataFrame([(r.id, script.get((r.id, turn), good)) for r in rows], "id long, reply string")
-
-    found = {r.id: r for r in agent.answer_turns(asked, model, ("retrieve_evidence",), {"self_harm": "求助热线"}).collect()}
-    assert set(found) == {1, 2, 3, 4, 6} and 1 not in dict(seen) and dict(seen)[3].startswith("用户：头疼")
-    assert (found[1].reply, found[1].risk_level, found[1].handled_as, found[1].rounds) == ("求助热线", "emergency", "emergency", 0)
-    assert (found[2].reply, found[2].handled_as, found[2].rounds) == ("多休息", "normal", 1)
-    assert found[3].handled_as == "review_modified" and "absolutist_claim" in found[3].codes and "肯定" not in found[3].reply
-    assert (found[4].reply, found[4].risk_level, found[4].next_steps) == (agent.NO_ANSWER, "medium", [agent.NO_ANSWER_STEP])
-    assert found[6].confidence == "medium" and "closing_confidence_cap" in found[6].codes
-    assert agent.answer_turns(asked.where("id = 0"), model, (), {}).collect() == [] and R.ADVICE
+    assert sorted(x.name[:2] for x in (tmp_path / "t").iterdir() if not x.name.endswith(".crc")) == ["_C", "v1", "v2"]
+    held = P.current(spark, path, "a")
+    P.publish_all({"a": spark.range(9), "b": spark.range(9)}, path, "v2")  # a version that is written again
+    assert held.count() == 3 and P.current(spark, path, "a").count() == 9
+    P.publish_all({"a": spark.range(1), "b": spark.range(1)}, path, "v3")
+    assert sorted(x.name[:2] for x in (tmp_path / "t").iterdir() if x.is_dir()) == ["v2", "v2", "v3"]
 
 
 def test_budget_passes_over_what_does_not_fit(spark):
