@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillon.functions.text import let
 from quillon.staging import stage
 
 
@@ -108,33 +109,35 @@ def first_match(text: Column, patterns: Sequence[str]) -> Column:
 
 def rule_hits(text: Column, rules: Sequence[Rule] = RED_FLAGS) -> Column:
     """Array of struct(rule_id, level, matched), one for each rule that fits, in the rules' order."""
-    plain = flat(text)
-    hits = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), first_match(plain, r.patterns).alias("matched")) for r in rules]
-    return F.filter(F.array(*hits), lambda h: h["matched"].isNotNull())
+    hits = lambda plain: [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), first_match(plain, r.patterns).alias("matched")) for r in rules]
+    return F.filter(let(flat(text), lambda plain: F.array(*hits(plain))), lambda h: h["matched"].isNotNull())
 
 
 def _stands(plain: Column, pattern: str) -> Column:
     """The first match, or null if a negation touches it or the four characters before it."""
-    found = F.regexp_extract(plain, pattern, 0)
-    at = F.instr(plain, found)
-    near = F.substring(plain, F.greatest(F.lit(1), at - 4), F.length(found) + F.least(F.lit(4), at - 1))
-    negated = near.rlike("|".join(NEGATIONS))
-    return F.when((found != "") & ~negated, found)
+
+    def told(found: Column) -> Column:
+        at = F.instr(plain, found)
+        near = F.substring(plain, F.greatest(F.lit(1), at - 4), F.length(found) + F.least(F.lit(4), at - 1))
+        return F.when((found != "") & ~near.rlike("|".join(NEGATIONS)), found)
+
+    return let(F.regexp_extract(plain, pattern, 0), told)
 
 
 def prescan(text: Column, first_turn: Column) -> Column:
     """struct(kind, rule_id, matched) of the first hit: self-harm, then urgent rules, then (first turn only) what is out of scope."""
-    plain = flat(text)
+    shape = "struct<kind:string,rule_id:string,matched:string>"
+
+    def options(plain: Column) -> list[Column]:
+        def hit(kind: str, rule_id: str, pattern: str, also: Column | None = None) -> Column:
+            found = _stands(plain, pattern) if also is None else F.when(also, _stands(plain, pattern))
+            return let(found, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(rule_id).alias("rule_id"), x.alias("matched")).cast(shape)))
 
-    def hit(kind: str, rule_id: str, pattern: str, also: Column | None = None) -> Column:
-        found = _stands(plain, pattern)
-        fits = found.isNotNull() if also is None else found.isNotNull() & also
-        return F.when(fits, F.struct(F.lit(kind).alias("kind"), F.lit(rule_id).alias("rule_id"), found.alias("matched")))
+        found = [hit("self_harm", f"self_harm:{label}", p) for p, label in SELF_HARM]
+        found += [hit("emergency", r.rule_id, p) for r in RED_FLAGS if r.level == "emergency" for p in r.patterns]
+        return found + [hit(kind, f"{kind}:{label}", p, first_turn) for kind, label, p in FIRST_TURN]
 
-    options = [hit("self_harm", f"self_harm:{label}", p) for p, label in SELF_HARM]
-    options += [hit("emergency", r.rule_id, p) for r in RED_FLAGS if r.level == "emergency" for p in r.patterns]
-    options += [hit(kind, f"{kind}:{label}", p, first_turn) for kind, label, p in FIRST_TURN]
-    return F.coalesce(*options)
+    return let(flat(text), lambda plain: F.coalesce(*options(plain)))
 
 
 def route(kind: Column) -> Column:
@@ -190,7 +193,7 @@ def _findings(rows: DataFrame) -> DataFrame:
     refs = F.transform(F.filter("evidence", lambda e: e["source"] == "kb"), lambda e: e["ref"])
     rows = rows.withColumn("bad_refs", F.array_except(refs, F.col("retrieved")))
     given = ("reply", "hypotheses", "confidence", "bad_refs", "retrieved", "red_flags", "risk_level", "next_steps", "closing")
-    return rows.withColumn("codes", violations(*(F.col(c) for c in given)))
+    return rows.withColumn("codes", let(F.struct(*given), lambda x: violations(*(x[c] for c in given))))  # so that the patterns are no generated code
 
 
 def review(rows: DataFrame, templates: Mapping[str, str], fix: Callable[[DataFrame], DataFrame] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

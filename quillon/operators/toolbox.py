@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillon.functions.text import let
 from quillon.operators import rules, tools
 from quillon.operators.search import Embed, SearchConfig, hashed_vectors, search
 
@@ -57,11 +58,6 @@ FLAG_TEXTS = {
 }
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once for each row, and its expression once in the plan."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def general(x: Column) -> Column:
     """A number as ``%g`` writes it: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6 on."""
 

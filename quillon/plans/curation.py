@@ -244,16 +244,6 @@ def turn_closing_flag(spark, table):
     return table("conversations").select("conv_id", "turn", (F.count(F.when(F.col("role") == "assistant", 1)).over(before) >= 6).alias("closing"))
 
 
-@query(
-    """SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id"""
-)
-def used_tools_ordered(spark, table):
-    """Distinct names in the order of first use (roles stand in for tools)."""
-    first = table("conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x.role)
-    return first.groupBy("conv_id").agg(F.array_join(names, ",").alias("roles"))
-
-
 LINE = "CASE role WHEN 'user' THEN '用户：' || text WHEN 'assistant' THEN '助手：' || text END"
 
 
@@ -267,13 +257,3 @@ def render_transcript(spark, table):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x.line), "\n")
     text = rows.groupBy("conv_id").agg(whole.alias("t"))
     return text.select("conv_id", F.when(F.length("t") > 6000, F.concat(F.lit("……（前文略）\n"), F.right("t", F.lit(6000)))).otherwise(F.col("t")).alias("transcript"))
-
-
-@query(
-    """SELECT a.conv_id, a.turn, coalesce(b.role || ':' || CAST(b.turn AS VARCHAR), '工具') AS answers FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND b.role = 'user' WHERE a.role = 'assistant'"""
-)
-def toolname_join(spark, table):
-    """Each reply with what it answers; a name that is not found has a default."""
-    c = table("conversations")
-    calls = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat("role", F.lit(":"), F.col("turn").cast("string")).alias("name"))
-    return c.where("role = 'assistant'").join(calls, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("name", F.lit("工具")).alias("answers"))

@@ -461,12 +461,6 @@ def split_thinking(spark, table):
     return told.select("doc_id", "s.thinking", F.md5(T.strip(F.col("s.content"))).alias("digest"))
 
 
-@query("SELECT conv_id, CAST(sum(turn % 3) AS BIGINT) AS rounds FROM conversations GROUP BY conv_id")
-def tool_rounds(spark, table):
-    calls = F.when(F.col("turn") % 3 > 0, F.array_repeat("role", (F.col("turn") % 3).cast("int")))
-    return table("conversations").groupBy("conv_id").agg(F.sum(F.size(F.coalesce(calls, F.array().cast("array<string>")))).alias("rounds"))
-
-
 @query("SELECT conv_id, string_agg(role, '|' ORDER BY first) AS names FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def ordered_distinct(spark, table):
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x.role)

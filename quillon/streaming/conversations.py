@@ -78,9 +78,12 @@ def answer_stream(turns: DataFrame, answer: Callable[[DataFrame], DataFrame], pa
     """Answers every user turn of the stream and appends the rows of ``answer`` to the log at ``path``, once for each micro-batch, also if one is run again.
 
     ``answer`` takes requests and returns rows, as ``operators.agent.answer_turns`` does.
+    Without ``idle_ms`` the query ends when all there is has been read; with it
+    it waits for timers, and runs until it is stopped.
     """
 
     def write(requests: DataFrame, number: int) -> None:
         append_json(answer(requests.where("not closed").drop("closed")), path, number)
 
-    return stream_requests(turns, most, idle_ms).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = stream_requests(turns, most, idle_ms).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if idle_ms is None else out.trigger(processingTime="1 second")).start()
