@@ -9,12 +9,15 @@ whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
 #: Bytes hashed at once; the working set is about 40 times this.
 SEGMENT = 1 << 18
 
@@ -66,6 +69,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Hands freed memory back to the system: a worker lives on after its task, and its allocators keep what they once held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that ``column``, of texts or bytes, has about four segments in each (a longer value alone).
 
@@ -81,7 +91,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(lo, hi - lo)
             lo = hi
         del batch, values
-        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+        release()
 
 
 def _segments(space: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
