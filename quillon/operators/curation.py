@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.functions.text import strip
+from quillon.functions.text import let, strip
 from quillon.operators.maintenance import fingerprint
 
 # The entities that occur in the pages, in the order they are replaced.
@@ -51,10 +52,43 @@ def clean_title(raw: Column, suffixes: Sequence[str], times: int = 3) -> Column:
     return F.regexp_replace(title, "^[ _|｜]+|[ _|｜]+$", "")
 
 
-def html_body(html: Column, container: str = "article", least: int = 200) -> Column:
-    """Text of the first container that is not nested, if it is long enough; else empty."""
-    text = strip_tags(F.regexp_extract(html, rf"(?is)<{container}[^>]*>(.*?)</{container}>", 1))
-    return F.when(F.length(text) >= least, text).otherwise("")
+# Opening tags of what holds a page's text, in the order they are looked for, and the name of each tag.
+CONTAINERS = (
+    ('<div[^>]+id="UCAP-CONTENT"[^>]*>', "div"),
+    ('<div[^>]+class="[^"]*Article_content[^"]*"[^>]*>', "div"),
+    ('<div[^>]+class="[^"]*trout-region-content[^"]*"[^>]*>', "div"),
+    ('<div[^>]+class="[^"]*TRS_Editor[^"]*"[^>]*>', "div"),
+    ('<div[^>]+id="zoom"[^>]*>', "div"),
+    ("<article[^>]*>", "article"),
+)
+
+
+def balanced(html: Column, opening: str, tag: str) -> Column:
+    """From the first match of ``opening`` to before the closing tag that pairs with it, or to the end if none does; null without a match.
+
+    The rest of the page is cut at every opening and closing tag of that name,
+    and a fold over the pieces counts the depth; so containers may be nested.
+    """
+    start = F.regexp_instr(html, F.lit(f"(?i){opening}"))
+
+    def paired(rest: Column) -> Column:
+        pieces = F.split(rest, rf"(?i)(?=</?{tag}\b)")
+        step = lambda piece: F.when(F.substring(piece, 1, 2) == "</", -1).otherwise(1)
+
+        def fold(done: Column, piece: Column) -> Column:
+            depth = F.when(done["depth"] == 0, 0).otherwise(F.greatest(done["depth"], F.lit(0)) + step(piece))
+            return F.struct(depth.alias("depth"), (done["size"] + F.when(depth == 0, 0).otherwise(F.length(piece))).alias("size"))
+
+        # depth -1 is that before the first piece, which is the opening tag; 0 ends the count
+        return F.substr(rest, F.lit(1), F.aggregate(pieces, F.struct(F.lit(-1).alias("depth"), F.lit(0).alias("size")), fold)["size"])
+
+    return F.when(start > 0, let(F.substr(html, start), paired))
+
+
+def html_body(html: Column, containers: Sequence[tuple[str, str]] = CONTAINERS, least: int = 200, require_container: bool = True) -> Column:
+    """Text of the first container, in their order, that has ``least`` characters of it; else empty, or the text of the whole page."""
+    text = lambda opening, tag: let(strip_tags(balanced(html, opening, tag)), lambda t: F.when(F.length(t) >= least, t))
+    return F.coalesce(*(text(*c) for c in containers), F.lit("") if require_container else strip_tags(html))
 
 
 def slug(text: Column, most: int = 40) -> Column:
@@ -71,7 +105,7 @@ def count_keywords(text: Column, words: Sequence[str], weight: int = 1) -> Colum
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return text.rlike("|".join(words))
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def relevance(title: Column, body: Column, strong: Sequence[str], extra: Sequence[str]) -> Column:
