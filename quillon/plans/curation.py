@@ -77,12 +77,12 @@ def html_body_extract(spark, table):
     return table("pages").select("page_id", F.md5(body).alias("digest"), F.length(body).cast("long").alias("n_chars"))
 
 
-#: Pages in a container whose own blocks have its tag, between others that are not part of it; every third page has none.
-NESTED = """CASE page_id % 3 WHEN 0 THEN '<div class="ad">x</div><DIV class="a TRS_Editor b"><div>' || html || '</div><div><div>end</div></div>' ELSE '' END"""
-WRAPPED_SQL = f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN {NESTED} WHEN 1 THEN coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), ''), html) ELSE replace(replace(html, '<article', '<section'), '</article', '</section') END AS inner FROM pages"""
+#: Pages in a container whose own blocks have its tag, pages with their own, and pages without one, which are taken whole.
+NESTED = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<DIV class="a TRS_Editor b"><div>' || html || '</div><div><div>end</div></div>'
+  WHEN 1 THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE replace(replace(html, '<article', '<section'), '</article', '</section') END AS part FROM pages"""
 
 
-@query(f"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, {_tags_sql("CASE page_id % 3 WHEN 0 THEN substr(inner, length('<div class=\"ad\">x</div>') + 1) ELSE inner END")} AS t FROM ({WRAPPED_SQL}))")
+@query(f"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, {_tags_sql('part')} AS t FROM ({NESTED}))")
 def html_nested(spark, table):
     """Containers with nested blocks of their own tag; pages without one are taken whole."""
     html, third = F.col("html"), F.col("page_id") % 3
