@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIMENSIONS = 16
 #: Questions scored at once, and rows of a batch scored at once.
 QUESTIONS, ROWS = 256, 4096
+#: Rows whose weights of all asked terms are held at once.
+LEXICAL_ROWS = 256
+#: Bytes of question vectors that a pass over all vectors takes along.
+QUESTION_BYTES = 64 << 20
 #: Rows of questions (terms, vectors, candidates) up to which they are sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -88,7 +93,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k: int | None = None) ->
     weights = _idf(found, sizes.select("n"))
     asked = queries.select("query_id", F.explode(tokenize("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = stage(asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
-    if k is None or asked.count() > BROADCAST_ROWS:
+    if k is None:
         return _bm25_joined(held, sizes, asked)
     one = sizes.first()
     rows = asked.orderBy("query_id", "term").toArrow()  # BROADCAST_ROWS at most
@@ -138,10 +143,16 @@ def _bm25_batches(asked: pa.Table, average: float, k: int):
                     table[where, at[mine] - first] = weight[mine]
                     place = np.searchsorted(used, term)
                     real = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == term)
-                    held = np.zeros((len(sizes), len(used)))
-                    held[row[real], place[real]] = gain[real]
-                    r, q = _best(held @ table, k, (held > 0).astype(np.float32) @ (table != 0).astype(np.float32) > 0)
-                    score = (held @ table)[r, q]
+                    scores, shared = np.zeros((len(sizes), table.shape[1])), np.zeros((len(sizes), table.shape[1]), dtype=bool)
+                    asked_in = (table != 0).astype(np.float32)
+                    for top in range(0, len(sizes), LEXICAL_ROWS):  # the chunks' weights of all asked terms, for a few chunks at once
+                        some = real & (row >= top) & (row < top + LEXICAL_ROWS)
+                        held = np.zeros((min(LEXICAL_ROWS, len(sizes) - top), len(used)))
+                        held[row[some] - top, place[some]] = gain[some]
+                        scores[top : top + LEXICAL_ROWS] = held @ table
+                        shared[top : top + LEXICAL_ROWS] = (held > 0).astype(np.float32) @ asked_in > 0
+                    r, q = _best(scores, k, shared)
+                    score = scores[r, q]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[q + first], id_type), batch.column("chunk_id").take(pa.array(r)), batch.column("ord").take(pa.array(r)), pa.array(score)],
                         names=["query_id", "chunk_id", "ord", "bm25"],
@@ -196,17 +207,21 @@ def cosine(a: Column, b: Column) -> Column:
 def cosines(vectors: DataFrame, query_vectors: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, chunk_id, doc_id, ord, cosine) of a stated query set against all vectors (chunk_id, doc_id, ord, v).
 
-    With ``k`` each task keeps only what may be among the k best of a query:
-    a matrix product for each block of questions, which every task is given if
-    there are BROADCAST_ROWS at most.
+    With ``k`` each task keeps only what may be among the k best of a query, by
+    a matrix product for each block of questions.  A pass over the vectors takes
+    ``QUESTION_BYTES`` of question vectors along; more take more passes.
     """
     asked = stage(query_vectors.select("query_id", F.col("v").cast("array<double>").alias("q")), "asked")
     vectors = vectors.select("chunk_id", "doc_id", "ord", F.col("v").cast("array<double>").alias("v"))
-    if k is None or asked.count() > BROADCAST_ROWS:
+    if k is None:
         return vectors.crossJoin(asked).select("query_id", "chunk_id", "doc_id", "ord", F.round(cosine(F.col("v"), F.col("q")), 9).alias("cosine"))
     kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *asked.schema)}
     ddl = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "chunk_id", "doc_id", "ord")) + ", cosine double"
-    return vectors.mapInArrow(_cosine_batches(asked.toArrow(), k), ddl).withColumn("cosine", F.round("cosine", 9))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width")).first()
+    passes = max(1, -(-size["n"] * (size["width"] or 1) * 8 // QUESTION_BYTES))
+    blocks = [asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) for i in range(passes)]
+    found = [vectors.mapInArrow(_cosine_batches(block.toArrow(), k), ddl) for block in blocks]
+    return reduce(DataFrame.unionByName, found).withColumn("cosine", F.round("cosine", 9))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions.text import strip, tokenize
-from quillon.operators import search as S
+from quillon.operators import search as S, vectors as V
 from quillon.plans.registry import query
-from quillon.staging import stage
+from quillon.staging import shared_dir, stage
 
 CONFIG = S.SearchConfig()
 GRID = (-1.0, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 0.95)
@@ -118,6 +120,16 @@ def vector_topk(spark, table):
     return S.vector_top(*_centres(table), 10).select("query_id", F.col("vector_rank").alias("rank"), F.col("chunk_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
+@query(f"WITH {CENTRES} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, round(cosine, 6) AS cosine FROM pairs) WHERE rank <= 10")
+def vector_cells(spark, table):
+    """The same from an index written by cells, with every cell looked at."""
+    vectors, centres = _centres(table)
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    V.write_cells(vectors, path, cells=8)
+    hits = V.CellIndex(spark, path, probes=8).search(centres, 10)
+    return hits.select("query_id", F.col("vector_rank").alias("rank"), F.col("chunk_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 @query(
     f"""WITH {CENTRES}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM pairs),
 q AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY place) AS rd FROM placed WHERE place <= 50)

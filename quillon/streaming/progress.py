@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,7 +38,7 @@ def publish(df: DataFrame, path: str, version: str, keep: int = 2) -> None:
     publish_all({"": df}, path, version, keep)
 
 
-def publish_all(tables: Mapping[str, DataFrame], path: str, version: str, keep: int = 2) -> None:
+def publish_all(tables: Mapping[str, DataFrame], path: str, version: str, keep: int = 2, by: Sequence[str] = ()) -> None:
     """Writes a version of several tables (by name below the version) and makes them current together, in one rename.
 
     The pointer file is replaced, not deleted, so a reader finds the old
@@ -47,7 +49,7 @@ def publish_all(tables: Mapping[str, DataFrame], path: str, version: str, keep:
     spark = next(iter(tables.values())).sparkSession
     attempt = f"{version}-{time.time_ns():020d}"
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{attempt}/{name}".rstrip("/"))
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{path}/{attempt}/{name}".rstrip("/"))
     put_text(spark, f"{path}/{POINTER}", attempt)
     _remove_old(spark, path, attempt, keep)
 
@@ -83,6 +85,37 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(new, target, options)
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, whole, unless there is one of that name already; only one of several writers gets True.
+
+    A temporary file is renamed without overwriting, which HDFS does in one
+    step; on a local disk, where a rename would overwrite, it is linked.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(new.toUri().getPath(), target.toUri().getPath())
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(new, target, options)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception.getClass().getName()):
+            raise
+        return False
+    finally:
+        fs.delete(new, False)
+    return True
+
+
 def get_text(spark: SparkSession, path: str) -> str | None:
     """A small file, or None if it is not there."""
     jvm = spark.sparkContext._jvm

@@ -80,3 +80,128 @@ def test_a_batch_that_stops_midway_changes_nothing(spark, tmp_path, monkeypatch)
     monkeypatch.undo()
     assert B.read_table(spark, path).first().v == "a"
     assert B.merge(rows("b"), path, "k", "at", 1) == 1 and B.read_table(spark, path).first().v == "b"
+
+
+def unit_vectors(n, seed=0, dims=12):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims)) + 3 * rng.normal(size=(16, dims))[rng.integers(0, 16, n)]
+    return [(i, i % 7, i, v.tolist()) for i, v in enumerate(x)]
+
+
+def test_cells_give_the_hits_of_all_vectors_and_read_only_theirs(spark, tmp_path):
+    from quillon.operators import vectors as V
+
+    rows = unit_vectors(3000) + [(9000, 0, 9000, [0.0] * 12), (9001, 0, 9001, unit_vectors(1)[0][3])]
+    table = spark.createDataFrame(rows, "chunk_id long, doc_id long, ord long, v array<double>")
+    asked = spark.createDataFrame([(i, v) for i, _, _, v in unit_vectors(40, seed=0)] + [(99, [0.0] * 12)], "query_id long, v array<double>")
+    path = f"{tmp_path}/cells"
+    V.write_cells(table, path, cells=16)
+    hits = lambda index: {(r.query_id, r.vector_rank): (r.chunk_id, round(r.cosine, 8)) for r in index.search(asked, 5).collect()}
+    exact = hits(V.ExactIndex(table))
+    assert hits(V.CellIndex(spark, path, 16)) == exact and len(exact) == 41 * 5
+    few = V.CellIndex(spark, path, 4)
+    found = hits(few)
+    pairs = {(q, c) for (q, _), (c, _) in exact.items() if q != 99}
+    assert len(pairs & {(q, c) for (q, _), (c, _) in found.items()}) / len(pairs) >= 0.9
+    one = V.CellIndex(spark, path, 1).search(asked.where("query_id = 3"), 5)
+    cells = {f.split("cell=")[1].split("/")[0] for f in one.inputFiles()}
+    whole = {f.split("cell=")[1].split("/")[0] for f in V.CellIndex(spark, path, 16).search(asked, 5).inputFiles()}
+    assert len(whole) == 16 and one.count() == 5 and few.cosines(asked).count() < 41 * len(rows) / 2 and len(cells) >= 1
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().toString().replace("PartitionFilters: [isnotnull(cell", "PartitionFilters: [cell")
+    V.write_cells(table.where("chunk_id < 5"), path, cells=16)  # fewer vectors than cells, in place of the old ones
+    assert {c for c, _ in hits(V.CellIndex(spark, path, 16)).values()} == {0, 1, 2, 3, 4}
+    empty = f"{tmp_path}/empty"
+    V.write_cells(table.limit(0), empty)
+    assert V.CellIndex(spark, empty, 3).search(asked, 5).collect() == []
+
+
+def test_questions_in_several_passes_have_the_same_hits(spark, monkeypatch):
+    from quillon.operators import search as S
+
+    table = spark.createDataFrame(unit_vectors(300), "chunk_id long, doc_id long, ord long, v array<double>")
+    asked = spark.createDataFrame([(i, v) for i, _, _, v in unit_vectors(50, seed=3)], "query_id long, v array<double>")
+    want = sorted(map(tuple, S.vector_top(table, asked, 4).collect()))
+    monkeypatch.setattr(S, "QUESTION_BYTES", 1000)
+    assert sorted(map(tuple, S.vector_top(table, asked, 4).collect())) == want
+
+
+def test_writers_of_a_registry_lose_nothing(spark, tmp_path):
+    from quillon.sources import registry as R
+
+    path = f"{tmp_path}/registry"
+    assert R.read_registry(spark, path) is None
+    with pytest.raises(LookupError):
+        R.update_sources(spark.createDataFrame([("x", "y")], "local_path string, status string"), path)
+    schema = "local_path string, category string, status string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+
+    def write(k):
+        return R.add_sources(make([(f"p{k}", f"c{9 - k}", None), ("shared", "c5", f"w{k}")]), path)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = sorted(pool.map(write, range(6)))
+    assert versions == [1, 2, 3, 4, 5, 6]
+    rows = R.read_registry(spark, path).collect()
+    assert [r.local_path for r in rows] == [r.local_path for r in sorted(rows, key=lambda r: (r.category, r.local_path))] and {r.local_path for r in rows} == {"shared", *(f"p{k}" for k in range(6))}
+    kept = next(r.status for r in rows if r.local_path == "shared")
+    R.add_sources(make([("shared", "other", "late"), ("p0", None, "filled")]), path)
+    R.update_sources(make([("p1", None, "done"), ("unknown", "c", "x")]), path)
+    got = {r.local_path: (r.category, r.status) for r in R.read_registry(spark, path).collect()}
+    assert got["shared"] == ("c5", kept) and got["p0"] == ("c9", "filled") and got["p1"][1] == "done" and "unknown" not in got
+
+
+def test_lines_of_files_have_one_order(spark, tmp_path):
+    from quillon.sources import ordered as O
+
+    texts = {"b.jsonl": "b0\n\nb2", "a.jsonl": "".join(f"line {i} {'x' * (i % 90)}\n" for i in range(3000)), "c.jsonl": "", "d.jsonl": "d0\r\nd1\n", "other.txt": "no"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        paths = O.matching_files(spark, f"{tmp_path}/*.jsonl")
+        got = [tuple(r) for r in O.ordered_lines(spark, paths).orderBy("ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(f, i, line) for f, n in enumerate(sorted(n for n in texts if n.endswith("jsonl"))) for i, line in enumerate(texts[n].splitlines())]
+    assert [(f, i, v) for f, i, _, v in got] == want and [o for _, _, o, _ in got] == list(range(len(want)))
+    with pytest.raises(FileNotFoundError):
+        O.matching_files(spark, f"{tmp_path}/*.none")
+
+
+def test_a_cached_table_goes_when_its_version_does(spark, tmp_path):
+    from quillon.sources.ordered import VersionedCache
+    from quillon.streaming import progress as P
+
+    path, made, cache = f"{tmp_path}/t", [], VersionedCache()
+
+    def make():
+        made.append(1)
+        return P.current(spark, path).withColumn("twice", F.col("id") * 2)
+
+    P.publish(spark.range(3), path, "v")
+    first = cache.get(spark, path, "twice", make)
+    assert cache.get(spark, path, "twice", make) is first and len(made) == 1 and first.storageLevel.useMemory and first.count() == 3
+    P.publish(spark.range(5), path, "v")
+    assert cache.get(spark, path, "twice", make).count() == 5 and len(made) == 2 and not first.storageLevel.useMemory
+    cache.clear()
+    assert cache.get(spark, path, "twice", make).count() == 5 and len(made) == 3
+    cache.clear()
+
+
+def test_documents_are_named_by_their_path_below_the_folder(spark, tmp_path):
+    from quillon import index as X
+
+    for name, text in {"a/x.md": "one", "b/x.md": "two", "x.md": "three", "b/c/x.txt": " "}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for root in (str(tmp_path), f"{tmp_path}/"):
+        texts, errors = X.read_corpus(spark, root)
+        assert {r.doc_id: r.text for r in texts.collect()} == {"a/x.md": "one", "b/x.md": "two", "x.md": "three"}
+        assert [tuple(r) for r in errors.collect()] == [("b/c/x.txt", "empty file")]
+
+
+def test_words_are_looked_for_as_they_are(spark):
+    rows = spark.createDataFrame([("a.b",), ("axb",), ("c|d",)], "t string")
+    assert [r[0] for r in rows.select(C.contains_any(F.col("t"), ["a.b", "|"])).collect()] == [True, False, True]
