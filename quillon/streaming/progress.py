@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import threading
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 #: The file that names the current version of a table.
 POINTER = "_CURRENT"
@@ -179,3 +181,51 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What ``append_json`` or ``overwrite_json`` wrote."""
     version = get_text(spark, f"{path}/{POINTER}")
     return spark.read.schema(schema).json(f"{path}/{version}" if version else path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(named)
+
+
+class RunState:
+    """A run's state in one small file, merged and replaced as a whole; a terminal status stays, whatever is told later."""
+
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], str] = lambda: time.strftime("%Y-%m-%dT%H:%M:%S")) -> None:
+        self.spark, self.path, self.clock, self._lock = spark, path, clock, threading.Lock()
+
+    def read(self) -> dict[str, object]:
+        return json.loads(get_text(self.spark, self.path) or "{}")
+
+    def update(self, **values: object) -> dict[str, object]:
+        with self._lock:
+            merged = merge_state(self.read(), values, self.clock())
+            put_text(self.spark, self.path, json.dumps(merged, sort_keys=True))
+        return merged
+
+
+class StateListener(StreamingQueryListener):
+    """Keeps the state of a streaming query by its name: rows done, rate, batches, and how it ended."""
+
+    def __init__(self, state: RunState, name: str, total: int | None = None) -> None:
+        self.state, self.name, self.total, self._ids = state, name, total, set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        if event.name == self.name:
+            self._ids.add(str(event.runId))
+            self.state.update(status="running", done=0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        told = event.progress
+        if told.name == self.name:
+            done = int(self.state.read().get("done") or 0) + told.numInputRows
+            rate = told.processedRowsPerSecond
+            eta = max(0, self.total - done) / rate if self.total is not None and rate and rate == rate else None
+            self.state.update(done=done, batch=told.batchId, rate=round(rate, 3) if rate == rate else None, eta=eta)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.runId) in self._ids:
+            self.state.update(status="failed" if event.exception else "done", error=event.exception and event.exception[:500])
