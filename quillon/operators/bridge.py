@@ -212,6 +212,13 @@ def output_column(text: Column, draft: Column) -> Column:
     return F.pandas_udf(lambda s, d: pd.Series([_dumped(normalize_output(next(json_objects(x), None), y or "")) for x, y in zip(s, d, strict=True)]), "string")(text, draft)
 
 
+def output_errors(reply: Column, risk: Column, confidence: Column, steps: Column) -> Column:
+    """Names of the fields that an output may not have as they are."""
+    known = lambda c, names: F.coalesce(c.isin(*names), F.lit(False))
+    wrong = [("reply", reply.isNull()), ("risk_level", ~known(risk, set(RISKS.values()))), ("confidence", ~known(confidence, set(LIKELIHOODS.values()))), ("next_steps", F.coalesce(F.size(steps) < 1, F.lit(True)))]
+    return F.array_compact(F.array(*(F.when(w, n) for n, w in wrong)))
+
+
 def enum(value: Column, names: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), value), F.lit(default))
 

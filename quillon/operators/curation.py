@@ -129,18 +129,39 @@ def gate(title: Column, body: Column, noise: str, topics: Sequence[str], score:
     )
 
 
+# Short labels of licences, each with the wordings that it stands for, in the order they are looked for; the label of an empty text.
+LICENSE_LABELS = (
+    (("by-nc",), "CC BY-NC（不可商用）"),
+    (("by-sa",), "CC BY-SA"),
+    (("by/4.0", "attribution 4.0", "cc by 4"), "CC BY 4.0"),
+    (("cc by", "cc-by", "creative commons attribution"), "CC BY"),
+)
+NO_LICENSE = "CC BY（Europe PMC 仅取开放获取）"
+# Marks of clauses and the level of heading that each stands for.
+NUMERALS = "[一二三四五六七八九十百零]+"
+CLAUSES = ((f"^第{NUMERALS}章", 2), (f"^{NUMERALS}、", 2), (f"^第{NUMERALS}[节条]", 3), (f"^（{NUMERALS}）", 4))
+# What a line of a title is, what it is not, and the title of a text without one.
+ATTACHMENT, NO_TITLE_END, CONTENTS, NO_TITLE = r"^附件\s*[0-9]*\s*[：:、.]?\s*(.+)$", "[：:。]$", "^(目录|目次)", "默认"
+
+
 def normalize_license(text: Column) -> Column:
-    """One short label for the many wordings of a licence."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda *words: contains_any(low, [w.replace(".", "\\.") for w in words])
-    return (
-        F.when(low == "", "CC BY（Europe PMC 仅取开放获取）")
-        .when(has("by-nc"), "CC BY-NC（不可商用）")
-        .when(has("by-sa"), "CC BY-SA")
-        .when(has("by/4.0", "attribution 4.0", "cc by 4"), "CC BY 4.0")
-        .when(has("cc by", "cc-by", "creative commons attribution"), "CC BY")
-        .otherwise(F.substring(norm_text(text), 1, 60))
-    )
+    """One short label for the many wordings of a licence; others as they are, cut to 60 characters."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.coalesce(F.when(low == "", NO_LICENSE), *(F.when(contains_any(low, words), label) for words, label in LICENSE_LABELS), F.substring(norm_text(text), 1, 60)))
+
+
+def clause_heading(line: Column) -> Column:
+    """struct(marker, level) of a line that begins a clause; nulls for others."""
+    found = F.array(*(F.struct(F.nullif(F.regexp_extract(line, p, 0), F.lit("")).alias("marker"), F.lit(n).cast("long").alias("level")) for p, n in CLAUSES))
+    first = F.get(F.filter(found, lambda x: x["marker"].isNotNull()), F.lit(0))
+    return F.struct(first["marker"].alias("marker"), first["level"].alias("level"))
+
+
+def derive_title(text: Column, most: int = 80, looked_at: int = 30) -> Column:
+    """What follows an attachment's mark, else the first line that reads like a title, among the first lines."""
+    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), 1, looked_at)
+    named = lambda rows: F.filter(F.transform(rows, lambda x: F.regexp_extract(x, ATTACHMENT, 1)), lambda x: F.length(x) >= 5)
+    plain = lambda rows: F.filter(rows, lambda x: (F.length(x) >= 6) & (F.regexp_count(x, F.lit("[一-鿿]")) >= 5) & ~x.rlike(NO_TITLE_END) & ~x.rlike(CONTENTS))
+    return F.substring(let(lines, lambda rows: F.coalesce(F.get(named(rows), F.lit(0)), F.get(plain(rows), F.lit(0)), F.lit(NO_TITLE))), 1, most)
 
 
 def content_class(content: Column) -> Column:

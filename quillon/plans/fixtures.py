@@ -442,13 +442,7 @@ OUTPUTS = [(1, "ok", "low", "medium", ["就医"], ""), (2, None, "critical", "ve
 @example(rows_sql("id, errors", [(x[0], x[5]) for x in OUTPUTS]))
 def schema_validate(spark, table):
     rows = _frame(spark, "id long, reply string, risk string, confidence string, steps array<string>", [x[:5] for x in OUTPUTS])
-    wrong = [
-        ("reply", F.col("reply").isNull()),
-        ("risk_level", ~F.col("risk").isin("low", "medium", "high", "emergency")),
-        ("confidence", ~F.col("confidence").isin("low", "medium", "high")),
-        ("next_steps", F.size("steps") < 1),
-    ]
-    return rows.select("id", F.array_join(F.array_compact(F.array(*(F.when(w, n) for n, w in wrong))), "|").alias("errors"))
+    return rows.select("id", F.array_join(J.output_errors(F.col("reply"), F.col("risk"), F.col("confidence"), F.col("steps")), "|").alias("errors"))
 
 
 # ------------------------------------------------------------------ chunking
@@ -509,10 +503,7 @@ HEADS = [(1, "第一章 总则", "第一章"), (2, "一、目的", "一、"), (3
 
 @example(rows_sql("id, marker, level", [(1, "第一章", 2), (2, "一、", 2), (3, "（二）", 4), (4, None, None), (5, "第三条", 3)]))
 def clause_heading(spark, table):
-    n = "[一二三四五六七八九十百零]+"
-    marker = F.nullif(F.regexp_extract("line", f"^(第{n}[章节条]|{n}、|（{n}）)", 1), F.lit(""))
-    level = F.when(marker.endswith("章") | marker.endswith("、"), 2).when(marker.endswith("节") | marker.endswith("条"), 3).when(marker.isNotNull(), 4)
-    return _frame(spark, "id long, line string", [x[:2] for x in HEADS]).select("id", marker.alias("marker"), level.cast("long").alias("level"))
+    return _frame(spark, "id long, line string", [x[:2] for x in HEADS]).select("id", C.clause_heading(F.col("line")).alias("h")).select("id", "h.marker", "h.level")
 
 
 TITLED = [(1, "附件1：关于加强管理的通知\n正文", "关于加强管理的通知"), (2, "12\n目录\n全国高血压防治管理办法\n正文", "全国高血压防治管理办法"), (3, "abc", "默认")]
@@ -520,11 +511,7 @@ TITLED = [(1, "附件1：关于加强管理的通知\n正文", "关于加强管
 
 @example(rows_sql("id, title", [(i, t) for i, _, t in TITLED]))
 def derive_title(spark, table):
-    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != ""), 1, 30)
-    named = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^附件\s*[0-9]*\s*[：:、.]?\s*(.+)$", 1)), lambda x: F.length(x) >= 5)
-    plain = F.filter(lines, lambda x: (F.length(x) >= 6) & (F.regexp_count(x, F.lit("[一-鿿]")) >= 5) & ~x.rlike("[：:。]$") & ~x.rlike("^(目录|目次)"))
-    title = F.coalesce(F.get(named, F.lit(0)), F.get(plain, F.lit(0)), F.lit("默认"))
-    return _frame(spark, "id long, text string", [x[:2] for x in TITLED]).select("id", F.substring(title, 1, 80).alias("title"))
+    return _frame(spark, "id long, text string", [x[:2] for x in TITLED]).select("id", C.derive_title(F.col("text")).alias("title"))
 
 
 LICENCES = [

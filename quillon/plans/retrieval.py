@@ -219,18 +219,19 @@ def gold_of(table) -> DataFrame:
     has: within a text that holds the item that token is a whole one. Items of
     fewer than three tokens are looked for in every document.
     """
-    chunks = chunks_of(table).select("chunk_id", "text", tokenize("text").alias("tokens"))
+    chunks = chunks_of(table).select("chunk_id", "text")
     inner = F.slice("tokens", 2, F.greatest(F.lit(0), F.size("tokens") - 2))
-    items = queries_of(table).select("query_id", "question", tokenize("question").alias("tokens")).select("query_id", "question", F.explode_outer(F.array_distinct(inner)).alias("term"))
-    asked = F.broadcast(items.agg(F.collect_set("term").alias("asked")))  # one row
-    df = chunks.crossJoin(asked).select(F.explode(F.array_intersect("tokens", "asked")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    items = stage(queries_of(table).select("query_id", "question", tokenize("question").alias("tokens")).select("query_id", "question", F.explode_outer(F.array_distinct(inner)).alias("term")), "items")
+    asked = items.where("term is not null").select("term").distinct()
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    held = stage(held.join(asked, "term", "left_semi"), "asked_terms")  # each text is tokenised once; only asked terms are written
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     rarest = items.join(df, "term", "left").groupBy("query_id", "question").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term")).alias("r"))
     rarest = stage(rarest.select("query_id", "question", "r.term"), "rarest")
-    seeds = F.broadcast(rarest.agg(F.collect_set("term").alias("asked")))  # one row
-    named = rarest.where("term is not null").withColumnRenamed("term", "seed")
-    found = chunks.crossJoin(seeds).select("chunk_id", "text", F.explode(F.array_intersect("tokens", "asked")).alias("term"))
-    found = found.join(named, F.col("term") == F.col("seed")).where(F.contains("text", "question")).select("query_id", "chunk_id")
-    short = rarest.where("term is null").join(chunks, F.contains("text", "question")).select("query_id", "chunk_id")
+    near = held.join(rarest.where("term is not null"), "term").select("query_id", "question", "chunk_id")
+    found = near.join(chunks, "chunk_id").where(F.contains("text", "question")).select("query_id", "chunk_id")
+    few = rarest.where("term is null")
+    short = few.join(chunks, F.contains("text", "question")).select("query_id", "chunk_id") if few.limit(1).count() else found.limit(0)
     return stage(found.unionByName(short), "gold")
 
 
