@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import bridge as J, chunking as K, curation as C
+from quillon.operators import bridge as J, chunking as K, curation as C, rules as R
 from quillon.operators.chat import STRUCTURED
 from quillon.plans.registry import query
 
@@ -252,3 +252,62 @@ def schema_validate(spark, table):
         F.when(n % 5 == 0, "very_high").otherwise("high").alias("confidence"), F.slice(_words(F.col("text")), F.lit(1), n % 3).alias("next_steps"),
     )
     return rows.select("conv_id", "turn", F.array_join(J.output_errors(F.col("reply"), F.col("risk_level"), F.col("confidence"), F.col("next_steps")), "|").alias("errors"))
+
+
+# ------------------------------------------------------------------ review
+
+
+PHRASES = ("您得了感冒", "建议吃点布洛芬", "肯定没事", "根据相关研究", "自杀的念头", "请就医", "多休息")
+_any = "|".join
+REVIEW_SQL = f"""SELECT *, concat_ws('|', CASE WHEN regexp_replace(reply, '\\s+', '', 'g') = '' THEN 'empty_reply' END,
+  CASE WHEN n % 5 = 0 AND confidence <> 'low' THEN 'empty_hypotheses' END, CASE WHEN regexp_matches(reply, '{_any(R.DIAGNOSIS)}') THEN 'diagnosis_language' END,
+  CASE WHEN regexp_matches(reply, '{_any(R.MEDICATION)}') THEN 'medication_recommendation' END, CASE WHEN regexp_matches(reply, '{_any(R.ABSOLUTES)}') THEN 'absolutist_claim' END,
+  CASE WHEN n % 6 = 0 THEN 'fabricated_citation' END, CASE WHEN n % 6 <> 0 AND n % 2 = 1 AND regexp_matches(reply, '{R.UNSUPPORTED}') THEN 'unsupported_reference' END,
+  CASE WHEN n % 3 = 0 AND NOT (n % 4 < 2 AND regexp_matches(reply || '；' || step, '{_any(R.CARE_WORDS + R.URGENT_WORDS)}')) THEN 'red_flag_escalation' END,
+  CASE WHEN n % 13 > 6 AND confidence = 'high' THEN 'closing_confidence_cap' END, CASE WHEN confidence <> 'low' AND NOT regexp_matches(step, '{_any(R.CARE_WORDS)}') THEN 'closing_advice_missing' END,
+  CASE WHEN regexp_matches(reply, '{_any(R.SELF_HARM_ECHO)}') THEN 'self_harm_echo' END) AS codes
+FROM (SELECT conv_id, turn, n, CASE WHEN n % 11 = 0 THEN ' ' ELSE text || list_value({", ".join(f"'{p}'" for p in PHRASES)})[n % 7 + 1] END AS reply,
+  list_value('low', 'medium', 'high')[n % 3 + 1] AS confidence, CASE WHEN n % 4 = 1 THEN '到医院复查' ELSE '休息' END AS step FROM (SELECT *, length(text) AS n FROM conversations))"""
+
+
+def _reviewed(table):
+    """Turns as replies, with what a model adds to them by their lengths, and the codes of what is found in them."""
+    n = F.length("text")
+    reply = F.when(n % 11 == 0, " ").otherwise(F.concat("text", F.element_at(F.array(*map(F.lit, PHRASES)), n % 7 + 1)))
+    none = F.array().cast("array<string>")
+    codes = R.violations(
+        reply, F.when(n % 5 == 0, none).otherwise(F.array(F.lit("感冒"))), F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), n % 3 + 1), F.when(n % 6 == 0, F.array(F.lit("c9"))).otherwise(none),
+        F.when(n % 2 == 0, F.array(F.lit("c1"))).otherwise(none), F.when(n % 3 == 0, F.array(F.lit("胸痛"))).otherwise(none), F.when(n % 4 < 2, "high").otherwise("low"),
+        F.array(F.when(n % 4 == 1, "到医院复查").otherwise("休息")), n % 13 > 6,
+    )
+    return table("conversations").select("conv_id", "turn", codes.alias("codes"))
+
+
+@query(f"SELECT conv_id, turn, codes FROM ({REVIEW_SQL})")
+def review_violations(spark, table):
+    return _reviewed(table).select("conv_id", "turn", F.array_join("codes", "|").alias("codes"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(codes, 'empty_reply|diagnosis_language|medication_recommendation') THEN 'replace' WHEN codes <> '' THEN 'degrade' ELSE 'pass' END AS action FROM ({REVIEW_SQL})")
+def review_actions(spark, table):
+    return _reviewed(table).select("conv_id", "turn", R.action(F.col("codes")).alias("action"))
+
+
+# ------------------------------------------------------------------ chunks
+
+
+BARE = "regexp_replace(regexp_replace(coalesce(text, ''), '[#【】]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    f"""SELECT doc_id, coalesce(source, 'none') || CASE s WHEN 1 THEN '' ELSE ' / ' || coalesce(lang, 'none') END AS path, CASE b WHEN 0 THEN '' ELSE 'e' || b END AS entry,
+  md5(CASE b WHEN 0 THEN 'before' WHEN 1 THEN '【e1】x' ELSE regexp_replace('【e2】' || {BARE}, '\\s+$', '') END) AS digest FROM documents, (VALUES (1, 0), (2, 1), (2, 2)) v(s, b)"""
+)
+def chunk_structured(spark, table):
+    """Headings first, then entries within each section."""
+    named = lambda c: F.coalesce(c, F.lit("none"))
+    text = T.strip(F.regexp_replace(_text(), "[#【】]", ""))
+    docs = table("documents").select("doc_id", F.concat(F.lit("# "), named("source"), F.lit("\nbefore\n## "), named("lang"), F.lit("\n【e1】x\n【e2】"), text).alias("t"))
+    sections = K.heading_sections(K.lines_of(docs, "doc_id", "t"), "doc_id").withColumn("key", F.concat_ws(":", "doc_id", "section"))
+    within = K.entry_blocks(K.lines_of(sections, "key", "body"), "key")
+    return sections.select("key", "doc_id", "path").join(within, "key").select("doc_id", "path", "entry", F.md5("body").alias("digest"))
