@@ -311,3 +311,27 @@ def chunk_structured(spark, table):
     sections = K.heading_sections(K.lines_of(docs, "doc_id", "t"), "doc_id").withColumn("key", F.concat_ws(":", "doc_id", "section"))
     within = K.entry_blocks(K.lines_of(sections, "key", "body"), "key")
     return sections.select("key", "doc_id", "path").join(within, "key").select("doc_id", "path", "entry", F.md5("body").alias("digest"))
+
+
+CITED_SQL = f"""SELECT doc_id, coalesce(text, '') || '。见 [chunk_id: kb::a-' || n || '::' || (n % 7) || ']，' || CASE WHEN n % 2 = 0 THEN 'kb::b::' || (n % 5) || '。' ELSE '来源：c_' || n || '；' END || '[' || (n % 4) || '][' || (n % 4) || ']' AS t,
+  [substr(coalesce(text, 'none') || 'xxxx', 1, 4), 'kb::b::' || (n % 5)] AS e FROM (SELECT *, length(coalesce(text, '')) AS n FROM documents)"""
+_patterns = ", ".join(f"regexp_extract_all(t, '{p}', 1)" for p in T.CITATION_PATTERNS)
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, e, t, list_filter(list_transform(flatten([{_patterns}]), lambda x: regexp_replace(x, '[。，,.;；:：）)\\]】]+$', '')), lambda x: x <> '') AS bare,
+  list_filter(list_transform(regexp_extract_all(t, '{T.CITATION_NUMBER}', 1), lambda x: CASE WHEN CAST(x AS INTEGER) > 0 THEN e[CAST(x AS INTEGER)] END), lambda x: x IS NOT NULL) AS numbered FROM ({CITED_SQL})),
+x AS (SELECT doc_id, unnest(list_concat(bare, numbered)) AS c, unnest(range(0, len(bare) + len(numbered))) AS i FROM c)
+SELECT doc_id, string_agg(c, '|' ORDER BY i) AS citations FROM (SELECT doc_id, c, min(i) AS i FROM x GROUP BY doc_id, c) GROUP BY doc_id"""
+)
+def extract_citations(spark, table):
+    """Chunks cited after the texts, by id and by number, each named once."""
+    t = _text()
+    n = F.length(t)
+    number = lambda k: (n % k).cast("string")
+    said = F.concat(
+        t, F.lit("。见 [chunk_id: kb::a-"), n.cast("string"), F.lit("::"), number(7), F.lit("]，"),
+        F.when(n % 2 == 0, F.concat(F.lit("kb::b::"), number(5), F.lit("。"))).otherwise(F.concat(F.lit("来源：c_"), n.cast("string"), F.lit("；"))), F.lit("["), number(4), F.lit("]["), number(4), F.lit("]"),
+    )
+    evidence = F.array(F.substring(F.concat(F.coalesce("text", F.lit("none")), F.lit("xxxx")), 1, 4), F.concat(F.lit("kb::b::"), number(5)))
+    return table("documents").select("doc_id", F.array_join(T.extract_citations(said, evidence), "|").alias("citations"))
