@@ -39,10 +39,9 @@ def build_chunks(texts: DataFrame, doc: str = "doc_id", text: str = "text", size
     A chunk of a section begins with its title, so that it is found by it.
     """
     named = texts.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    sections = chunking.heading_sections(chunking.lines_of(named, "doc_id", "text"), "doc_id")
-    sections = sections.withColumn("key", F.concat_ws("\u0001", "doc_id", "section"))
-    entries = chunking.entry_blocks(chunking.lines_of(sections, "key", "body"), "key").withColumnRenamed("body", "part")
-    blocks = sections.select("key", "doc_id", "section", "path").join(entries, "key")
+    sections = chunking.sections_of(named, "doc_id", "text")
+    entries = chunking.entries_of(sections.select(F.struct("doc_id", "section", "path").alias("of"), "body"), "of", "body")
+    blocks = entries.select("of.*", "block", "entry", F.col("body").alias("part"))
     path = F.when((F.col("entry") == "") | F.col("path").endswith(F.col("entry")), F.col("path")).otherwise(F.concat_ws(" / ", F.nullif("path", F.lit("")), "entry"))
     blocks = blocks.select("doc_id", F.concat_ws("\u0001", F.lpad("section", 8, "0"), F.lpad("block", 8, "0")).alias("at"), path.alias("title"), "part")
     pieces = chunking.split_blocks(blocks.select(F.struct("doc_id", "at", "title").alias("b"), "part").select(F.to_json("b").alias("b"), "part"), "b", "part", size, overlap)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.functions.text import strip
+from quillon.functions.text import let, strip
 
 LEVELS = 4
 
@@ -52,6 +52,46 @@ def entry_blocks(lines: DataFrame, doc: str) -> DataFrame:
     return body.where("body <> ''").withColumn("block", F.col("block").cast("long"))
 
 
+def _between(lines: Column, marks: Column, make) -> Column:
+    """Array of ``make(mark, number, text)`` of marks with a ``pos``, the text being the lines from one mark's ``first`` to the next one's ``pos``, stripped; blank ones are left out."""
+    def text(m: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(marks, i + 1)["pos"], F.size(lines))
+        return strip(F.array_join(F.slice(lines, m["first"] + 1, F.greatest(F.lit(0), end - m["first"])), "\n"))
+
+    return F.filter(F.transform(marks, lambda m, i: make(m, i, text(m, i))), lambda x: x["body"] != "")
+
+
+def sections_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, section, path, body): what ``heading_sections`` gives, folded within each row, so that no line is shuffled."""
+    titles, mark = "array<string>", "struct<pos:int,first:int,path:string>"
+
+    def headings(lines: Column) -> Column:
+        told = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(F.regexp_extract(x, r"^(#{1,4})\s+\S", 1)).alias("level"), strip(F.regexp_replace(x, r"^#{1,4}\s+", "")).alias("title")))
+        return F.filter(told, lambda h: h["level"] > 0)
+
+    def step(done: Column, h: Column) -> Column:
+        held = F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda n: F.when(n < h["level"], F.get(done["held"], n - 1)).when(n == h["level"], h["title"]))
+        return let(held, lambda t: F.struct(t.cast(titles).alias("held"), F.concat(done["marks"], F.array(F.struct(h["pos"].alias("pos"), (h["pos"] + 1).alias("first"), F.array_join(t, " / ").alias("path")).cast(mark))).alias("marks")))
+
+    def sections(lines: Column) -> Column:
+        start = F.struct(F.array_repeat(F.lit(None).cast("string"), LEVELS).alias("held"), F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("first"), F.lit("").alias("path")).cast(mark)).alias("marks"))
+        make = lambda m, i, body: F.struct(i.cast("long").alias("section"), m["path"].alias("path"), body.alias("body"))
+        return let(F.aggregate(headings(lines), start, step)["marks"], lambda marks: _between(lines, marks, make))
+
+    return docs.select(F.col(doc), F.explode(let(F.split(text, "\n"), sections)).alias("_s")).select(doc, "_s.section", "_s.path", "_s.body")
+
+
+def entries_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, block, entry, body): what ``entry_blocks`` gives, within each row."""
+    def blocks(lines: Column) -> Column:
+        named = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), i.alias("first"), F.regexp_extract(x, "^【([^】]+)】", 1).alias("entry"))), lambda m: m["entry"] != "")
+        start = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("first"), F.lit("").alias("entry")))
+        make = lambda m, i, body: F.struct(i.cast("long").alias("block"), m["entry"].alias("entry"), body.alias("body"))
+        return let(F.concat(start, named), lambda marks: _between(lines, marks, make))
+
+    return docs.select(F.col(doc), F.explode(let(F.split(text, "\n"), blocks)).alias("_s")).select(doc, "_s.block", "_s.entry", "_s.body")
+
+
 def template_sections(lines: DataFrame, doc: str) -> DataFrame:
     """(doc, name, body) of a file whose sections begin with ``## name``."""
     w = Window.partitionBy(doc).orderBy("pos")

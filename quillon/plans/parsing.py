@@ -406,7 +406,7 @@ def heading_path(spark, table):
     """Every document under a title by source and one by language, after a title that a higher one ends."""
     named = lambda c: F.coalesce(c, F.lit("none"))
     docs = _marked(table, F.concat(F.lit("## old\n# "), named("source"), F.lit("\n### "), named("lang")))
-    return K.heading_sections(K.lines_of(docs, "doc_id", "t"), "doc_id").select("doc_id", "section", "path", F.md5("body").alias("digest"))
+    return K.sections_of(docs, "doc_id", "t").select("doc_id", "section", "path", F.md5("body").alias("digest"))
 
 
 @query(f"SELECT doc_id, CAST(b AS BIGINT) AS block, coalesce(source, 'none') AS entry, md5('【' || coalesce(source, 'none') || '】' || CASE b WHEN 1 THEN 'x' ELSE regexp_replace('y' || chr(10) || {BARE}, '\\s+$', '') END) AS digest FROM documents, (VALUES (1), (2)) v(b)")
@@ -415,7 +415,7 @@ def entry_blocks(spark, table):
     mark = F.concat(F.lit("【"), F.coalesce("source", F.lit("none")), F.lit("】"))
     text = T.strip(F.regexp_replace(F.coalesce("text", F.lit("")), "[#【】]", ""))
     docs = table("documents").select("doc_id", F.concat(mark, F.lit("x\n"), mark, F.lit("y\n"), text).alias("t"))
-    return K.entry_blocks(K.lines_of(docs, "doc_id", "t"), "doc_id").select("doc_id", "block", "entry", F.md5("body").alias("digest"))
+    return K.entries_of(docs, "doc_id", "t").select("doc_id", "block", "entry", F.md5("body").alias("digest"))
 
 
 # ------------------------------------------------------------------ model outputs

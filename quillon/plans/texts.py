@@ -308,9 +308,8 @@ def chunk_structured(spark, table):
     named = lambda c: F.coalesce(c, F.lit("none"))
     text = T.strip(F.regexp_replace(_text(), "[#【】]", ""))
     docs = table("documents").select("doc_id", F.concat(F.lit("# "), named("source"), F.lit("\nbefore\n## "), named("lang"), F.lit("\n【e1】x\n【e2】"), text).alias("t"))
-    sections = K.heading_sections(K.lines_of(docs, "doc_id", "t"), "doc_id").withColumn("key", F.concat_ws(":", "doc_id", "section"))
-    within = K.entry_blocks(K.lines_of(sections, "key", "body"), "key")
-    return sections.select("key", "doc_id", "path").join(within, "key").select("doc_id", "path", "entry", F.md5("body").alias("digest"))
+    within = K.entries_of(K.sections_of(docs, "doc_id", "t").select(F.struct("doc_id", "path").alias("of"), "body"), "of", "body")
+    return within.select("of.doc_id", "of.path", "entry", F.md5("body").alias("digest"))
 
 
 CITED_SQL = f"""SELECT doc_id, coalesce(text, '') || '。见 [chunk_id: kb::a-' || n || '::' || (n % 7) || ']，' || CASE WHEN n % 2 = 0 THEN 'kb::b::' || (n % 5) || '。' ELSE '来源：c_' || n || '；' END || '[' || (n % 4) || '][' || (n % 4) || ']' AS t,

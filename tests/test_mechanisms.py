@@ -205,3 +205,20 @@ def test_documents_are_named_by_their_path_below_the_folder(spark, tmp_path):
 def test_words_are_looked_for_as_they_are(spark):
     rows = spark.createDataFrame([("a.b",), ("axb",), ("c|d",)], "t string")
     assert [r[0] for r in rows.select(C.contains_any(F.col("t"), ["a.b", "|"])).collect()] == [True, False, True]
+
+
+def test_sections_and_entries_are_the_same_without_a_shuffle(spark):
+    import random
+
+    from quillon.operators import chunking as K
+
+    rng = random.Random(2)
+    lines = ["# A", "## B b", "### C", "#### D", "##### no", "#no", "# ", "text", "  more ", "", "【e】x", "【】no", "【f】", "## B b", "tail【g】"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 30))) for _ in range(150)] + ["", "only", None, "\n".join(lines * 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    new = K.sections_of(docs, "d", "t")
+    assert rows(new) == rows(K.heading_sections(K.lines_of(docs, "d", "t"), "d").select(*new.columns)) != []
+    entries = K.entries_of(docs, "d", "t")
+    old = K.entry_blocks(K.lines_of(docs, "d", "t"), "d").select(*entries.columns)
+    assert rows(entries) == rows(old) != [] and "Exchange" not in new._jdf.queryExecution().toString() + entries._jdf.queryExecution().toString()
