@@ -118,3 +118,45 @@ def test_the_state_of_a_stream_survives_late_updates(spark, tmp_path):
     state.path = f"{tmp_path}/other.json"
     run("bad", True)
     assert state.read()["status"] == "failed" and state.read()["error"]
+
+
+def test_stages_that_are_done_are_not_run_again(spark, tmp_path):
+    from quillon.operators.harness import run_stages
+
+    ran, broken = [], [True]
+
+    def items(before):
+        ran.append("items")
+        return spark.range(5)
+
+    def scores(before):
+        ran.append("scores")
+        if broken[0]:
+            raise RuntimeError("no model")
+        return before["items"].withColumn("score", F.col("id") * 2)
+
+    stages, state = [("items", items), ("scores", scores)], P.RunState(spark, f"{tmp_path}/state")
+    with pytest.raises(RuntimeError):
+        run_stages(spark, f"{tmp_path}/run", stages, state)
+    assert state.read()["status"] == "failed" and state.read()["stage"] == "scores" and "no model" in state.read()["error"]
+    broken[0], again = False, P.RunState(spark, f"{tmp_path}/again")
+    done = run_stages(spark, f"{tmp_path}/run", stages, again)
+    assert ran == ["items", "scores", "scores"] and sorted(r.score for r in done["scores"].collect()) == [0, 2, 4, 6, 8]
+    assert again.read()["status"] == "done" and again.read()["stages_done"] == 2
+    with pytest.raises(ValueError):
+        run_stages(spark, f"{tmp_path}/run", [stages[0], stages[0]])
+
+
+def test_reports_are_written_in_three_forms(spark, tmp_path, monkeypatch):
+    from quillon.sources import report
+
+    table = spark.createDataFrame([("中文|x", 0.5, None), ("<b>", 2.0, 3)], "name string, rate double, n int").orderBy("rate")
+    text = report.write_report(spark, f"{tmp_path}/r", "Run <1>", {"By name": table}, ["A note & more"])
+    assert text.split("\n") == ["Run <1>", "", "A note & more", "", "By name", "name    rate    n", "中文|x  0.5000  —", "<b>     2.0000  3"]
+    assert (tmp_path / "r.md").read_text() == "# Run <1>\n\nA note & more\n\n## By name\n\n| name | rate | n |\n| --- | --- | --- |\n| 中文\\|x | 0.5000 | — |\n| <b> | 2.0000 | 3 |\n"
+    page = (tmp_path / "r.html").read_text()
+    assert "<title>Run &lt;1&gt;</title>" in page and "<td>&lt;b&gt;</td><td>2.0000</td>" in page and "<p>A note &amp; more</p>" in page
+    monkeypatch.setattr(report, "MOST_ROWS", 1)
+    with pytest.raises(ValueError):
+        report.write_report(spark, f"{tmp_path}/big", "x", {"t": table})
+    assert not (tmp_path / "big.md").exists()
