@@ -389,9 +389,10 @@ def chunk_long_split(spark, table):
 
 @query()
 def chunk_recursive_split(spark, table):
-    """Recursive splitting of all documents; tests compare it with the plain recursion."""
+    """Recursive splitting of all documents; a test compares the pieces with a plain restatement by offsets."""
     pieces = K.split_blocks(table("documents").select("doc_id", "text"), "doc_id", "text")
-    return pieces.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.max(F.length("piece")).cast("long").alias("longest"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"])
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.max(F.length("piece")).cast("long").alias("longest"), F.md5(F.array_join(in_order, "\u0001")).alias("digest"))
 
 
 BARE = "regexp_replace(regexp_replace(coalesce(text, ''), '[#【】]', '', 'g'), '^\\s+|\\s+$', '', 'g')"

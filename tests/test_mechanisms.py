@@ -222,3 +222,50 @@ def test_sections_and_entries_are_the_same_without_a_shuffle(spark):
     entries = K.entries_of(docs, "d", "t")
     old = K.entry_blocks(K.lines_of(docs, "d", "t"), "d").select(*entries.columns)
     assert rows(entries) == rows(old) != [] and "Exchange" not in new._jdf.queryExecution().toString() + entries._jdf.queryExecution().toString()
+
+
+def pieces_by_offsets(text, size=600, overlap=80, marks=("\n\n", "\n", "。", "；", "，", ",", " ", "")):
+    """The recursive splitting as ranges of one text: a window is a range of whole parts."""
+    out = []
+
+    def emit(lo, hi):
+        if lo is not None and text[lo:hi].strip():
+            out.append(text[lo:hi].strip())
+
+    def go(lo, hi, k):
+        while marks[k] and marks[k] not in text[lo:hi]:
+            k += 1
+        cuts = range(lo, hi + 1) if not marks[k] else sorted({lo, hi, *(lo + m.start() for m in re.finditer(re.escape(marks[k]), text[lo:hi]))})
+        cuts, first = list(cuts), None  # the window goes from part ``first``
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if b - a > size and k + 1 < len(marks):
+                emit(None if first is None else cuts[first], a)
+                first = None
+                go(a, b, k + 1)
+                continue
+            if first is not None and b - cuts[first] > size:
+                emit(cuts[first], a)
+                while first < i and (a - cuts[first] > overlap or b - cuts[first] > size):
+                    first += 1
+            first = i if first is None or first == i else first
+        emit(None if first is None else cuts[first], hi)
+
+    go(0, len(text), 0)
+    return out
+
+
+def test_recursive_pieces_are_those_of_the_restatement_by_offsets(spark, small):
+    import hashlib
+    import random
+
+    from quillon import catalog
+    from quillon.operators.chunking import recursive_split
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text}
+    want = {i: pieces_by_offsets(t) for i, t in texts.items()}
+    got = {r.doc_id: (r.n_pieces, r.longest, r.digest) for r in catalog.QUERIES["chunk_recursive_split"](spark, small).collect()}
+    assert got == {i: (len(p), max(map(len, p)), hashlib.md5("\x01".join(p).encode()).hexdigest()) for i, p in want.items() if p} and len(got) > 100
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["\n\n", "\n", "。", "，", ",", " ", "词", "ab", "word", "x" * 30]) for _ in range(rng.randrange(0, 120)))
+        assert recursive_split(text, 25, 6) == pieces_by_offsets(text, 25, 6)
