@@ -294,45 +294,70 @@ TURNS = (
     ("我有抑郁症", "psych", "psych:精神心理专项"),
     ("最近有点鼻塞", None, None),
 )
-_FIRST_ONLY = "(conv_id % 7 IN (4, 5) AND turn > 0)"
-KIND = f"CASE WHEN {_FIRST_ONLY} THEN NULL ELSE {sql_case('conv_id % 7', *quoted(*(k for _, k, _ in TURNS)))} END"
-RULE = f"CASE WHEN {_FIRST_ONLY} THEN NULL ELSE {sql_case('conv_id % 7', *quoted(*(r for *_, r in TURNS)))} END"
+_NEGATED = "|".join(R.NEGATIONS)
+
+
+def _stands(pattern: str) -> str:
+    """In SQL: the pattern fits the text ``t``, and no negation touches its first match or the four characters before."""
+    found = f"regexp_extract(t, '{pattern}', 0)"
+    at = f"instr(t, {found})"
+    return f"{found} <> '' AND NOT regexp_matches(substr(t, greatest(1, {at} - 4), length({found}) + least(4, {at} - 1)), '{_NEGATED}')"
+
+
+def _flat(text: str, options: tuple[str, ...], gap: str) -> str:
+    """In SQL: a text with an option by its length, without white space."""
+    return f"regexp_replace(coalesce({text}, '') || '{gap}' || {sql_case(f'length(coalesce({text}, chr(0)))  % {len(options)}', *quoted(*options))}, '\\s+', '', 'g')"
+
+
+def _said(options: tuple[str, ...], gap: str) -> Column:
+    return F.concat(F.coalesce("text", F.lit("")), F.lit(gap), by_case(F.length(F.coalesce("text", F.lit("\0"))) % len(options), *options))
+
+
+_WHENS = [(_stands(p), "self_harm", f"self_harm:{label}") for p, label in R.SELF_HARM]
+_WHENS += [(_stands(p), "emergency", r.rule_id) for r in R.RED_FLAGS if r.level == "emergency" for p in r.patterns]
+_WHENS += [(f"turn = 0 AND {_stands(p)}", kind, f"{kind}:{label}") for kind, label, p in R.FIRST_TURN]
+HITS = f"""SELECT conv_id, turn, string_split(CASE {" ".join(f"WHEN {w} THEN '{kind}|{rule}'" for w, kind, rule in _WHENS)} END, '|') AS hit
+  FROM (SELECT conv_id, turn, {_flat("text", tuple(t for t, *_ in TURNS), "。")} AS t FROM conversations)"""
 
 
 def _turns(table) -> DataFrame:
-    said = F.concat(F.coalesce("text", F.lit("")), F.lit("。"), by_case(F.col("conv_id") % 7, *(t for t, *_ in TURNS)))
+    said = _said(tuple(t for t, *_ in TURNS), "。")
     return table("conversations").select("conv_id", "turn", R.prescan(said, F.col("turn") == 0).alias("hit")).select("conv_id", "turn", "hit.kind", "hit.rule_id")
 
 
-@query(f"SELECT conv_id, turn, {KIND} AS kind, {RULE} AS rule_id FROM conversations")
+@query(f"SELECT conv_id, turn, hit[1] AS kind, hit[2] AS rule_id FROM ({HITS})")
 def prescan_first_hit(spark, table):
-    """A sentence by conversation after the text of every turn; some rules hold for the first turn alone."""
+    """A sentence by its length after the text of every turn; some rules hold for the first turn alone."""
     return _turns(table)
 
 
 @query(
     f"""SELECT conv_id, turn, CASE WHEN kind IN ('emergency', 'self_harm') THEN 'emergency' WHEN kind IS NOT NULL THEN 'medium' END AS risk_level,
 CASE WHEN kind IN ('emergency', 'self_harm') THEN 'emergency' WHEN kind IS NOT NULL THEN 'out_of_scope' END AS handled_as,
-CASE WHEN kind IN ('emergency', 'self_harm') THEN kind WHEN kind IS NOT NULL THEN 'out_of_scope' END AS template FROM (SELECT conv_id, turn, {KIND} AS kind FROM conversations)"""
+CASE WHEN kind IN ('emergency', 'self_harm') THEN kind WHEN kind IS NOT NULL THEN 'out_of_scope' END AS template FROM (SELECT conv_id, turn, hit[1] AS kind FROM ({HITS}))"""
 )
 def prescan_route(spark, table):
     return _turns(table).select("conv_id", "turn", R.route(F.col("kind")).alias("r")).select("conv_id", "turn", "r.risk_level", "r.handled_as", "r.template")
 
 
-SYMPTOMS = (("胸口压榨性疼；大汗", "chest_pain"), ("小腿肿胀疼痛", "leg_swelling"), ("打喷嚏；鼻塞", ""), ("高烧三天，咳嗽一个月", "fever_duration|cough_long"))
+SYMPTOMS = ("胸口压榨性疼；大汗", "小腿肿胀疼痛", "打喷嚏；鼻塞", "高烧三天，咳嗽一个月", "头疼 欲裂，嘴角 歪斜", "体重明显下降，便血")
+RULES_SQL = f"""SELECT doc_id, list_filter([{", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in r.patterns) + f" THEN '{r.level}:{r.rule_id}' END" for r in R.RED_FLAGS)}], lambda x: x IS NOT NULL) AS hits
+  FROM (SELECT doc_id, {_flat("text", SYMPTOMS, " ")} AS t FROM documents)"""
 
 
 def _symptoms(table) -> DataFrame:
-    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), by_case(F.col("doc_id") % 4, *(t for t, _ in SYMPTOMS)))
-    return table("documents").select("doc_id", R.rule_hits(said).alias("hits"))
+    return table("documents").select("doc_id", R.rule_hits(_said(SYMPTOMS, " ")).alias("hits"))
 
 
-@query(f"SELECT doc_id, {sql_case('doc_id % 4', *quoted(*(r for _, r in SYMPTOMS)))} AS rules FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform(hits, lambda x: string_split(x, ':')[2]), '|') AS rules FROM ({RULES_SQL})")
 def rule_scan(spark, table):
     return _symptoms(table).select("doc_id", F.array_join(F.transform("hits", lambda h: h["rule_id"]), "|").alias("rules"))
 
 
-@query("SELECT CASE WHEN doc_id % 4 = 0 THEN 'emergency' ELSE 'high' END AS level, count(*) AS n_texts, CASE WHEN min(doc_id % 4) = 0 THEN 'chest_pain' ELSE 'cough_long|fever_duration|leg_swelling' END AS rules FROM documents WHERE doc_id % 4 <> 2 GROUP BY 1")
+@query(
+    f"""WITH h AS (SELECT doc_id, string_split(unnest(hits), ':') AS h FROM ({RULES_SQL}))
+SELECT h[1] AS level, count(DISTINCT doc_id) AS n_texts, string_agg(DISTINCT h[2], '|' ORDER BY h[2]) AS rules FROM h GROUP BY h[1]"""
+)
 def red_flag_report(spark, table):
     hits = _symptoms(table).select("doc_id", F.explode("hits").alias("h"))
     return hits.groupBy("h.level").agg(F.count_distinct("doc_id").alias("n_texts"), F.array_join(F.array_sort(F.collect_set("h.rule_id")), "|").alias("rules"))
