@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.text import let, strip
@@ -117,18 +119,63 @@ def relevance(title: Column, body: Column, strong: Sequence[str], extra: Sequenc
     return score
 
 
-def gate(title: Column, body: Column, noise: str, topics: Sequence[str], score: Column, least_body: int = 400, threshold: int = 4) -> Column:
-    """The first reason against a page, or null if it passes."""
+def gate(title: Column, body: Column, noise: str, topics: Sequence[str], score: Column, least_body: int = 400, threshold: int = 4, subjects: Sequence[str] | None = None, body_head: int = 0) -> Column:
+    """The first reason against a page, or null if it passes.
+
+    ``noise`` may not be in the title, nor in the first ``body_head``
+    characters of the text; one of ``topics`` must be in the title, and one of
+    ``subjects`` if they are given.
+    """
     found = F.regexp_extract(title, f"({noise})", 1)
+    told = F.when(F.coalesce(title, F.lit("")) == "", "empty title").when(found != "", F.concat(F.lit("noise: "), found))
+    if body_head:
+        head = F.regexp_extract(F.substring(body, 1, body_head), f"({noise})", 1)
+        told = told.when(head != "", F.concat(F.lit("noise in text: "), head))
+    told = told.when(~contains_any(title, topics), "off topic")
+    if subjects is not None:
+        told = told.when(~contains_any(title, subjects), "off subject")
+    return told.when(F.length(body) < least_body, "short body").when(score < threshold, F.concat(F.lit("score "), score.cast("string")))
+
+
+# Suffixes of files of text, those that may be pages, and what the beginning of an error page has.
+TEXT_SUFFIXES, PAGE_SUFFIXES = ("json", "jsonl", "xml", "csv", "txt", "md", "html", "htm"), ("html", "htm")
+ERROR_MARKS = ("<html", "<!doctype html", "access denied", "403 forbidden", "404 not found", "<error>", "no such file")
+
+
+def _well_formed(texts: pd.Series) -> pd.Series:
+    def parses(text: str | None) -> bool:
+        try:
+            return text is None or ElementTree.fromstring(text.lstrip("\ufeff \t\r\n").encode()) is not None
+        except ElementTree.ParseError:
+            return False
+
+    return texts.map(parses)
+
+
+def file_problem(path: Column, content: Column) -> Column:
+    """What is wrong with a fetched file, or null: missing, empty, an error page, or broken XML. Only files of text are looked into."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    head = F.lower(F.substring(F.regexp_replace(content, r"^\s+", ""), 1, 200))
+    mark = F.coalesce(*(F.when(F.contains(head, F.lit(m)), m) for m in ERROR_MARKS))
+    xml = suffix == "xml"
+    broken = ~F.pandas_udf(_well_formed, "boolean")(F.when(xml, content))
     return (
-        F.when(F.coalesce(title, F.lit("")) == "", "empty title")
-        .when(found != "", F.concat(F.lit("noise: "), found))
-        .when(~contains_any(title, topics), "off topic")
-        .when(F.length(body) < least_body, "short body")
-        .when(score < threshold, F.concat(F.lit("score "), score.cast("string")))
+        F.when(content.isNull(), "missing").when(F.length(content) == 0, "empty").when(~suffix.isin(*TEXT_SUFFIXES), None)
+        .when(mark.isNotNull() & ~suffix.isin(*PAGE_SUFFIXES), F.concat(F.lit("error page: "), mark)).when(xml & broken, "broken XML")
     )
 
 
+def audit(registry: DataFrame, files: DataFrame) -> DataFrame:
+    """(local_path, size, problem) of the registered files: registry (local_path, status), files (local_path, content).
+
+    A file that is not there is a problem only if its row says that it was
+    fetched (status ``ok``); other absent ones are left out.
+    """
+    found = files.select(F.col("local_path").alias("of"), "content", F.lit(True).alias("there"))
+    rows = registry.join(found, F.col("local_path") == F.col("of"), "left").where("there or status = 'ok'")
+    return rows.select("local_path", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("size"), file_problem(F.col("local_path"), F.col("content")).alias("problem"))
+
+
 # Short labels of licences, each with the wordings that it stands for, in the order they are looked for; the label of an empty text.
 LICENSE_LABELS = (
     (("by-nc",), "CC BY-NC（不可商用）"),

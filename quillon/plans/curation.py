@@ -189,6 +189,33 @@ CLASS = """CASE WHEN text IS NULL THEN 'missing' WHEN length(text) = 0 THEN 'emp
 AND NOT regexp_matches(lower(substr(text, 1, 200)), '<!doctype html|<html') THEN 'bad' ELSE 'ok' END"""
 
 
+_SUFFIX = "list_value('html', 'txt', 'xml', 'pdf')[length({0}) % 4 + 1]"
+_MARKS = " ".join(f"WHEN contains(head, '{m}') THEN 'error page: {m}'" for m in C.ERROR_MARKS)
+
+
+@query(
+    f"""WITH f AS (SELECT 'p' || page_id || '.' || {_SUFFIX.format('url')} AS local_path, html AS content, length(url) % 9 = 0 AS gone FROM pages
+  UNION ALL SELECT 'd' || doc_id || '.' || {_SUFFIX.format("coalesce(text, '')")}, CASE WHEN length(text) % 11 = 0 THEN '' ELSE text END, length(coalesce(text, '')) % 9 = 0 FROM documents),
+h AS (SELECT local_path, CASE WHEN gone THEN NULL ELSE content END AS content, split_part(local_path, '.', 2) AS suffix, lower(substr(regexp_replace(content, '^\s+', ''), 1, 200)) AS head FROM f),
+p AS (SELECT local_path, coalesce(length(content), 0) AS size, CASE WHEN content IS NULL THEN 'missing' WHEN content = '' THEN 'empty' WHEN suffix = 'pdf' THEN NULL
+  WHEN suffix = 'html' THEN NULL {_MARKS} WHEN suffix = 'xml' THEN 'broken XML' END AS problem FROM h)
+SELECT coalesce(problem, 'ok') AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_chars, coalesce(array_to_string(list(local_path ORDER BY local_path) FILTER (problem IS NOT NULL)[1:5], ','), '') AS examples FROM p GROUP BY 1"""
+)
+def acq_problems(spark, table):
+    """Pages and texts as fetched files of several kinds: tallies by problem, with the first five of each."""
+    suffix = lambda c: F.element_at(F.array(*map(F.lit, ("html", "txt", "xml", "pdf"))), F.length(c) % 4 + 1)
+    text = F.coalesce("text", F.lit(""))
+    pages = table("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("."), suffix("url")).alias("local_path"), F.col("html").alias("content"), (F.length("url") % 9 == 0).alias("gone"))
+    docs = table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), suffix(text)).alias("local_path"), F.when(F.length("text") % 11 == 0, "").otherwise(F.col("text")).alias("content"), (F.length(text) % 9 == 0).alias("gone"))
+    files = pages.unionByName(docs)
+    registry = files.select("local_path", F.lit("ok").alias("status"))
+    told = C.audit(registry, files.where("not gone")).withColumn("class", F.coalesce("problem", F.lit("ok")))
+    first = F.row_number().over(Window.partitionBy("class").orderBy("local_path")) <= 5
+    few = told.where("problem is not null").withColumn("first", first).where("first").groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("local_path")), ",").alias("examples"))
+    sums = told.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("n_chars"))
+    return sums.join(few, "class", "left").select("class", "n", "n_chars", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 @query(f"SELECT class, count(*) AS n, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM (SELECT text, {CLASS} AS class FROM documents UNION ALL SELECT html, {CLASS.replace('text', 'html')} FROM pages) GROUP BY class")
 def acq_validate(spark, table):
     """Documents and pages by what their contents look like."""

@@ -269,3 +269,20 @@ def test_recursive_pieces_are_those_of_the_restatement_by_offsets(spark, small):
     for _ in range(400):
         text = "".join(rng.choice(["\n\n", "\n", "。", "，", ",", " ", "词", "ab", "word", "x" * 30]) for _ in range(rng.randrange(0, 120)))
         assert recursive_split(text, 25, 6) == pieces_by_offsets(text, 25, 6)
+
+
+def test_fetched_files_are_audited(spark):
+    files = [
+        ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
+        ("i.csv", "Access Denied"), ("j.TXT", "no such file"), ("noext", "403 Forbidden"),
+    ]
+    registry = spark.createDataFrame([(n, "ok") for n, _ in files] + [("gone.txt", "ok"), ("todo.txt", "pending")], "local_path string, status string")
+    got = {r.local_path: (r.size, r.problem) for r in C.audit(registry, spark.createDataFrame(files, "local_path string, content string")).collect()}
+    want = {"a.html": None, "b.txt": "error page: <!doctype html", "c.xml": None, "d.xml": "broken XML", "e.xml": "broken XML", "f.pdf": None, "g.json": "empty", "h.md": None, "i.csv": "error page: access denied", "j.TXT": "error page: no such file", "noext": None}
+    assert got == {n: (len(t), want[n]) for n, t in files} | {"gone.txt": (0, "missing")}
+
+
+def test_gate_looks_into_the_head_of_the_text_and_for_a_subject(spark):
+    rows = spark.createDataFrame([("guide care", "x" * 500), ("guide", "x" * 500), ("guide care", "tender " + "x" * 500), ("guide care", "x" * 290 + "tender" + "x" * 300)], "t string, b string")
+    gate = C.gate(F.col("t"), F.col("b"), "tender", ["guide"], F.lit(9), subjects=["care"], body_head=200)
+    assert [r[0] for r in rows.select(gate).collect()] == [None, "off subject", "noise in text: tender", None]
