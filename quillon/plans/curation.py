@@ -196,7 +196,7 @@ _MARKS = " ".join(f"WHEN contains(head, '{m}') THEN 'error page: {m}'" for m in
 @query(
     f"""WITH f AS (SELECT 'p' || page_id || '.' || {_SUFFIX.format('url')} AS local_path, html AS content, length(url) % 9 = 0 AS gone FROM pages
   UNION ALL SELECT 'd' || doc_id || '.' || {_SUFFIX.format("coalesce(text, '')")}, CASE WHEN length(text) % 11 = 0 THEN '' ELSE text END, length(coalesce(text, '')) % 9 = 0 FROM documents),
-h AS (SELECT local_path, CASE WHEN gone THEN NULL ELSE content END AS content, split_part(local_path, '.', 2) AS suffix, lower(substr(regexp_replace(content, '^\s+', ''), 1, 200)) AS head FROM f),
+h AS (SELECT local_path, CASE WHEN gone THEN NULL ELSE content END AS content, split_part(local_path, '.', 2) AS suffix, lower(substr(regexp_replace(content, '^\\s+', ''), 1, 200)) AS head FROM f),
 p AS (SELECT local_path, coalesce(length(content), 0) AS size, CASE WHEN content IS NULL THEN 'missing' WHEN content = '' THEN 'empty' WHEN suffix = 'pdf' THEN NULL
   WHEN suffix = 'html' THEN NULL {_MARKS} WHEN suffix = 'xml' THEN 'broken XML' END AS problem FROM h)
 SELECT coalesce(problem, 'ok') AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_chars, coalesce(array_to_string(list(local_path ORDER BY local_path) FILTER (problem IS NOT NULL)[1:5], ','), '') AS examples FROM p GROUP BY 1"""
