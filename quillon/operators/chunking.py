@@ -160,17 +160,21 @@ def recursive_split(text: str, size: int = 600, overlap: int = 80, separators: t
 
 
 def split_blocks(docs: DataFrame, doc: str, text: str, size: int = 600, overlap: int = 80) -> DataFrame:
-    """(doc, seq, piece) by ``recursive_split``, batch by batch."""
+    """(doc, seq, piece) by ``recursive_split``, a bounded part of a batch at once: a worker holds the pieces of about half a megabyte of text, or of one longer text."""
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
+
+    from quillon.functions.batches import parts
 
     kind = docs.schema[doc].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, i, p) for d, t in zip(batch["doc"], batch["text"], strict=True) for i, p in enumerate(recursive_split(t or "", size, overlap), 1)]
-            yield pd.DataFrame(rows, columns=["doc", "seq", "piece"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text"):
+            found = [(row, i, p) for row, t in enumerate(part.column("text")) for i, p in enumerate(recursive_split(t.as_py() or "", size, overlap), 1)]
+            rows, seqs, pieces = zip(*found, strict=True) if found else ((), (), ())
+            doc_of = part.column("doc").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc_of, pa.array(seqs, pa.int64()), pa.array(pieces, part.schema.field("text").type)], ["doc", "seq", "piece"])
 
-    found = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(run, f"doc {kind}, seq long, piece string")
+    found = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, seq long, piece string")
     return found.withColumnRenamed("doc", doc)

@@ -271,6 +271,32 @@ def test_recursive_pieces_are_those_of_the_restatement_by_offsets(spark, small):
         assert recursive_split(text, 25, 6) == pieces_by_offsets(text, 25, 6)
 
 
+def test_splitting_holds_the_pieces_of_a_part_of_a_batch(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillon.operators.chunking import recursive_split, split_blocks
+
+    docs = spark.createDataFrame([("a", None), ("b", ""), ("c", "词。" * 500)], "d string, t string")
+    got = {(r.d, r.seq): r.piece for r in split_blocks(docs, "d", "t").collect()}
+    assert got == {("c", i): p for i, p in enumerate(recursive_split("词。" * 500), 1)} and len(got) == 2
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, ddl, held=type(docs).mapInArrow: runs.append(f) or held(self, f, ddl))
+    split_blocks(docs, "d", "t")
+
+    def peak(n: int) -> tuple[int, int]:
+        batch = pa.record_batch({"doc": [f"{i}" for i in range(n)], "text": ["one two, " * 300] * n})
+        tracemalloc.start()
+        pieces = sum(out.num_rows for out in runs[0](iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return pieces, most
+
+    (few, low), (many, high) = peak(400), peak(2400)
+    assert many == 6 * few and high < 1.5 * low
+
+
 def test_fetched_files_are_audited(spark):
     files = [
         ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
