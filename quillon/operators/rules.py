@@ -6,6 +6,7 @@ is compiled once for a task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -102,6 +103,35 @@ def flat(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
 
 
+def leads(pattern: str) -> str | None:
+    """The characters that a match may begin with, where all of the pattern's options begin with plain ones; else null."""
+    tokens = re.findall(r"\\.|\[\^?.[^\]]*\]|.", pattern, re.DOTALL)
+    if "(?" in pattern or r"\Q" in pattern or "&&" in pattern:
+        return None
+    depth, options = 0, [[]]
+    for t in tokens:
+        depth += (t == "(") - (t == ")")
+        if t == "|" and depth == 0:
+            options.append([])
+        else:
+            options[-1].append(t)
+    found: set[str] = set()
+    for option in options:
+        first, after = option[:1], option[1:2]
+        if first == ["("]:
+            depth, end = 1, 1
+            while depth and end < len(option):
+                depth += (option[end] == "(") - (option[end] == ")")
+                end += 1
+            within, after = leads("".join(option[1 : end - 1])), option[end : end + 1]
+        else:
+            within = first[0] if first and first[0].isalnum() else None
+        if not within or after and after[0] in "?*{":
+            return None
+        found |= set(within)
+    return "".join(sorted(found))
+
+
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """What the first pattern that matches has matched, or null."""
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns))
@@ -154,9 +184,18 @@ def route(kind: Column) -> Column:
     )
 
 
+def behind_guard(pattern: str) -> str:
+    """The pattern where neither a negation nor reported speech precedes it; what precedes is looked at only where the pattern fits."""
+    if re.search(r"\\[1-9k]|\(\?P?<[A-Za-z]", pattern):  # groups that are referred to cannot stand twice
+        return GUARD + pattern
+    found = leads(pattern)
+    flags, before = GUARD[:4], GUARD[4:]
+    return f"{flags}(?=[{found}]){before}{pattern}" if found else f"{flags}(?={pattern}){before}{pattern}"
+
+
 def guarded(text: Column, patterns: Sequence[str]) -> Column:
     """The first match that neither a negation nor reported speech precedes, or null."""
-    return first_match(text, [GUARD + p for p in patterns])
+    return first_match(text, [behind_guard(p) for p in patterns])
 
 
 def has_care_word(text: Column, words: Sequence[str] = CARE_WORDS) -> Column:

@@ -297,6 +297,32 @@ def test_splitting_holds_the_pieces_of_a_part_of_a_batch(spark, monkeypatch):
     assert many == 6 * few and high < 1.5 * low
 
 
+def test_guarded_patterns_fit_as_with_the_guard_in_front_and_are_not_much_slower_than_without(spark):
+    import random
+    import time
+
+    from quillon.operators import rules as R
+
+    options = {"(a(c|d)|b)+e": "ab", "a|b": "ab", "a?b": None, "(a|)b": None, "(a|b)?c": None, "[ab]c": None, r"\d": None, "(?i)ab": None, "^a": None, "": None}
+    assert {p: R.leads(p) for p in options} == options
+    groups = (R.DIAGNOSIS, R.MEDICATION, R.ABSOLUTES, R.SELF_HARM_ECHO, ("得|您", "(您)\\1", "(?<x>您)得", "a?您", "[您得]为"))
+    rng = random.Random(4)
+    bits = ["不", "没", "说", "认为", "提到", "您得了", "你就是", "确诊为", "诊断为", "建议吃", "布洛芬", "2", "3.5 mg", "每天吃", "停药", "一定能", "治好", "肯定没事", "包治", "自杀", "不想活", "您您", "您得为", "a", "\n", "。", " ", "x", "\U00020000", "中文字"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(14))),) for _ in range(1500)]
+    texts = spark.createDataFrame(rows, "t string")
+    both = [c for i, g in enumerate(groups) for c in (R.guarded(F.col("t"), g).alias(f"a{i}"), R.first_match(F.col("t"), [R.GUARD + p for p in g]).alias(f"b{i}"))]
+    found = texts.select("t", *both).collect()
+    assert all(r[f"a{i}"] == r[f"b{i}"] for r in found for i in range(len(groups))) and all(sum(r[f"a{i}"] is not None for r in found) > 50 for i in range(len(groups)))
+
+    def seconds(column) -> float:
+        began = time.time()
+        spark.range(1).select(F.concat(F.repeat(F.lit("plain words "), 200_000), F.col("id").cast("string")).alias("t")).select(column).collect()
+        return time.time() - began
+
+    plain = min(seconds(R.first_match(F.col("t"), R.DIAGNOSIS)) for _ in range(2))
+    assert min(seconds(R.guarded(F.col("t"), R.DIAGNOSIS)) for _ in range(2)) < 2 + 5 * plain
+
+
 def test_fetched_files_are_audited(spark):
     files = [
         ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
