@@ -132,15 +132,31 @@ def leads(pattern: str) -> str | None:
     return "".join(sorted(found))
 
 
+def sought(pattern: str) -> str:
+    """The pattern behind a look at the one character that it may begin with, so that its options are not tried at all others."""
+    found = leads(pattern)
+    return f"(?=[{found}])(?:{pattern})" if found else pattern
+
+
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """What the first pattern that matches has matched, or null."""
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns))
 
 
+def _from_first(plain: Column, patterns: Sequence[str]) -> Column:
+    """The text from the first character that lies between those that the patterns may begin with: no match begins before it."""
+    found = [leads(p) for p in patterns]
+    if not found or None in found:
+        return plain
+    letters = "".join(found)
+    return F.regexp_extract(plain, f"(?s)[{min(letters)}-{max(letters)}].*", 0)
+
+
 def rule_hits(text: Column, rules: Sequence[Rule] = RED_FLAGS) -> Column:
     """Array of struct(rule_id, level, matched), one for each rule that fits, in the rules' order."""
-    hits = lambda plain: [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), first_match(plain, r.patterns).alias("matched")) for r in rules]
-    return F.filter(let(flat(text), lambda plain: F.array(*hits(plain))), lambda h: h["matched"].isNotNull())
+    hits = lambda plain: [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), first_match(plain, [sought(p) for p in r.patterns]).alias("matched")) for r in rules]
+    plain = _from_first(flat(text), [p for r in rules for p in r.patterns])
+    return F.filter(let(plain, lambda x: F.array(*hits(x))), lambda h: h["matched"].isNotNull())
 
 
 def _stands(plain: Column, pattern: str) -> Column:
@@ -151,7 +167,7 @@ def _stands(plain: Column, pattern: str) -> Column:
         near = F.substring(plain, F.greatest(F.lit(1), at - 4), F.length(found) + F.least(F.lit(4), at - 1))
         return F.when((found != "") & ~near.rlike("|".join(NEGATIONS)), found)
 
-    return let(F.regexp_extract(plain, pattern, 0), told)
+    return let(F.regexp_extract(plain, sought(pattern), 0), told)
 
 
 def prescan(text: Column, first_turn: Column) -> Column:

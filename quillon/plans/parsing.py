@@ -359,7 +359,7 @@ def rule_scan(spark, table):
 SELECT h[1] AS level, count(DISTINCT doc_id) AS n_texts, string_agg(DISTINCT h[2], '|' ORDER BY h[2]) AS rules FROM h GROUP BY h[1]"""
 )
 def red_flag_report(spark, table):
-    hits = _symptoms(table).select("doc_id", F.explode("hits").alias("h"))
+    hits = table("documents").select("doc_id", F.explode(R.rule_hits(_said(SYMPTOMS, " "))).alias("h"))  # of a column, Spark would ask for its size first and scan each text twice
     return hits.groupBy("h.level").agg(F.count_distinct("doc_id").alias("n_texts"), F.array_join(F.array_sort(F.collect_set("h.rule_id")), "|").alias("rules"))
 
 

@@ -323,6 +323,25 @@ def test_guarded_patterns_fit_as_with_the_guard_in_front_and_are_not_much_slower
     assert min(seconds(R.guarded(F.col("t"), R.DIAGNOSIS)) for _ in range(2)) < 2 + 5 * plain
 
 
+def test_red_flags_are_those_of_the_plain_patterns_and_each_text_is_scanned_once(spark, small):
+    import random
+
+    from quillon import catalog
+    from quillon.operators import rules as R
+
+    rng = random.Random(5)
+    bits = [o for r in R.RED_FLAGS for p in r.patterns for o in re.findall("[一-鿿0-9]+", p)] + ["x", "plain words ", " ", "\u3000", "\n", "\U00020000", "。", "一", "龥"] * 6
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(16))),) for _ in range(1500)] + [(None,), ("",), ("plain " * 50,)]
+    own = (R.Rule("any", "high", (".痛", "x")), R.Rule("late", "high", ("(痛|疼)(?=x)",)))
+    for rules, least in ((R.RED_FLAGS, 500), (own, 100), (own[1:], 1)):
+        plain = lambda t: F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), R.first_match(R.flat(t), r.patterns).alias("matched")) for r in rules))  # noqa: B023, E731
+        wanted = F.filter(plain(F.col("t")), lambda h: h["matched"].isNotNull())
+        found = spark.createDataFrame(rows, "t string").select(R.rule_hits(F.col("t"), rules).alias("a"), wanted.alias("b")).collect()
+        assert all(r.a == r.b for r in found) and sum(len(r.a) for r in found) >= least
+    plan = catalog.QUERIES["red_flag_report"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
 def test_fetched_files_are_audited(spark):
     files = [
         ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
