@@ -198,9 +198,10 @@ def normalize_license(text: Column) -> Column:
 
 def clause_heading(line: Column) -> Column:
     """struct(marker, level) of a line that begins a clause; nulls for others."""
-    found = F.array(*(F.struct(F.nullif(F.regexp_extract(line, p, 0), F.lit("")).alias("marker"), F.lit(n).cast("long").alias("level")) for p, n in CLAUSES))
-    first = F.get(F.filter(found, lambda x: x["marker"].isNotNull()), F.lit(0))
-    return F.struct(first["marker"].alias("marker"), first["level"].alias("level"))
+    # Optional, so that other lines fit emptily at their beginning and are not searched to their end.
+    found = lambda x: F.array(*(F.struct(F.regexp_extract(x, f"(?:{p})?", 0).alias("marker"), F.lit(n).cast("long").alias("level")) for p, n in CLAUSES))
+    first = F.get(F.filter(let(line, found), lambda h: h["marker"] != ""), F.lit(0))
+    return let(first, lambda h: F.struct(h["marker"].alias("marker"), h["level"].alias("level")))
 
 
 def derive_title(text: Column, most: int = 80, looked_at: int = 30) -> Column:

@@ -96,11 +96,19 @@ SELECT doc_id, CAST(pos AS BIGINT) AS pos, marker, CAST(CASE WHEN regexp_matches
 )
 def clause_heading(spark, table):
     """Lines that begin clauses, by their first letters read as numerals."""
-    docs = table("documents").select("doc_id", F.replace(_text(), F.lit("."), F.lit("。")).alias("t"))
-    lines = K.lines_of(docs, "doc_id", "t").withColumn("line", T.strip(F.col("line"))).where("line <> ''")
-    m, n = F.translate(F.lower(F.substring("line", 1, 2)), *NUMERALS), F.length("line") % 5
-    named = F.when(n == 0, F.concat(F.lit("第"), m, F.lit("章 "))).when(n == 1, F.concat(m, F.lit("、"))).when(n == 2, F.concat(F.lit("（"), m, F.lit("）"))).when(n == 3, F.concat(F.lit("第"), m, F.lit("条"))).otherwise(m)
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), C.clause_heading(F.concat(named, "line")).alias("h")).where("h.marker is not null").select("doc_id", "pos", "h.marker", "h.level")
+    def named(line):
+        m, n = F.translate(F.lower(F.substring(line, 1, 2)), *NUMERALS), F.length(line) % 5
+        mark = F.when(n == 0, F.concat(F.lit("第"), m, F.lit("章 "))).when(n == 1, F.concat(m, F.lit("、"))).when(n == 2, F.concat(F.lit("（"), m, F.lit("）"))).when(n == 3, F.concat(F.lit("第"), m, F.lit("条"))).otherwise(m)
+        return F.concat(mark, line)
+
+    def headings(text):
+        """Within each row, where every line is looked at once: a condition on what is found would be pushed below it and find it again."""
+        lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("long").alias("pos"), T.strip(x).alias("line")))
+        found = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(x["pos"].alias("pos"), C.clause_heading(named(x["line"])).alias("h")))
+        return F.filter(found, lambda x: x["h"]["marker"].isNotNull())
+
+    docs = table("documents").select("doc_id", F.explode(headings(F.replace(_text(), F.lit("."), F.lit("。")))).alias("x"))
+    return docs.select("doc_id", "x.pos", "x.h.marker", "x.h.level")
 
 
 @query(

@@ -342,6 +342,22 @@ def test_red_flags_are_those_of_the_plain_patterns_and_each_text_is_scanned_once
     assert plan.count("regexp_replace(") == 1
 
 
+def test_lines_are_stripped_of_all_white_space_and_looked_at_once_for_clauses(spark, small):
+    from quillon import catalog
+    from quillon.functions import text as T
+
+    signs = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.decode(F.to_binary(F.lpad(F.hex("id"), 8, "0"), F.lit("hex")), "UTF-32").alias("c"))
+    padded = signs.select("c", F.concat("c", F.lit(" "), "c", F.lit("x\n "), "c", F.lit("y"), "c", F.lit(" \r\n"), "c").alias("t"))
+    by_pattern = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    seen = padded.agg(F.count_if(T.strip(F.col("t")) != by_pattern("t")), F.count_if(T.strip(F.col("c")) != by_pattern("c")), F.count_if((F.col("c") != "") & (T.strip(F.col("c")) == ""))).first()  # a byte order mark is decoded to nothing
+    assert tuple(seen) == (0, 0, 25)
+    rows = [("第一章 总则", "第一章", 2), ("二十、目的", "二十、", 2), ("第三节", "第三节", 3), ("第三条 x", "第三条", 3), ("（四）y", "（四）", 4), ("见第一章", None, None), ("x\n一、", None, None), ("", None, None), (None, None, None)]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").select("i", C.clause_heading(F.col("t")).alias("h")).orderBy("i").collect()
+    assert [(r.h.marker, r.h.level) for r in got] == [r[1:] for r in rows]
+    plan = catalog.QUERIES["clause_heading"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract(") == len(C.CLAUSES) and "regexp_replace(" not in plan
+
+
 def test_fetched_files_are_audited(spark):
     files = [
         ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
