@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.functions.text import let
+from quillon.functions.text import let, strip
 from quillon.staging import stage
 
 
@@ -223,7 +223,7 @@ def violations(reply: Column, hypotheses: Column, confidence: Column, bad_refs:
     advice = F.array_join(steps, "；")
     weak = (F.size(red_flags) > 0) & ~(risk.isin("high", "emergency") & has_care_word(F.concat(reply, F.lit("；"), advice), CARE_WORDS + URGENT_WORDS))
     checks = [
-        ("empty_reply", flat(reply) == ""),
+        ("empty_reply", strip(F.coalesce(reply, F.lit(""))) == ""),
         ("empty_hypotheses", (F.size(hypotheses) == 0) & (confidence != "low")),
         ("diagnosis_language", guarded(reply, DIAGNOSIS).isNotNull()),
         ("medication_recommendation", guarded(reply, MEDICATION).isNotNull()),

@@ -283,12 +283,12 @@ def _reviewed(table):
     n = F.length("text")
     reply = F.when(n % 11 == 0, " ").otherwise(F.concat("text", F.element_at(F.array(*map(F.lit, PHRASES)), n % 7 + 1)))
     none = F.array().cast("array<string>")
-    codes = R.violations(
+    codes = lambda reply: R.violations(
         reply, F.when(n % 5 == 0, none).otherwise(F.array(F.lit("感冒"))), F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), n % 3 + 1), F.when(n % 6 == 0, F.array(F.lit("c9"))).otherwise(none),
         F.when(n % 2 == 0, F.array(F.lit("c1"))).otherwise(none), F.when(n % 3 == 0, F.array(F.lit("胸痛"))).otherwise(none), F.when(n % 4 < 2, "high").otherwise("low"),
         F.array(F.when(n % 4 == 1, "到医院复查").otherwise("休息")), n % 13 > 6,
     )
-    return table("conversations").select("conv_id", "turn", codes.alias("codes"))
+    return table("conversations").select("conv_id", "turn", T.let(reply, codes).alias("codes"))
 
 
 @query(f"SELECT conv_id, turn, codes FROM ({REVIEW_SQL})")

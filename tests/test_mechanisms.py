@@ -358,6 +358,29 @@ def test_lines_are_stripped_of_all_white_space_and_looked_at_once_for_clauses(sp
     assert plan.count("regexp_extract(") == len(C.CLAUSES) and "regexp_replace(" not in plan
 
 
+def test_replies_are_reviewed_at_about_the_cost_of_the_plain_patterns(spark, small):
+    import time
+
+    from quillon import catalog
+    from quillon.operators import rules as R
+
+    none = F.array().cast("array<string>")
+    codes = lambda reply: R.violations(reply, F.array(F.lit("感冒")), F.lit("low"), none, none, none, F.lit("low"), none, F.lit(False))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", " \u3000\n", "\u2003", " x", "说您得了感冒", "您得了感冒，肯定没事"])], "i int, t string")
+    got = [r.c for r in rows.select("i", codes(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == [["empty_reply"]] * 4 + [[], [], ["diagnosis_language", "absolutist_claim"]]
+
+    def seconds(column) -> float:
+        began = time.time()
+        spark.range(1).select(F.concat(F.repeat(F.lit("plain words "), 50_000), F.col("id").cast("string")).alias("t")).select(column).collect()
+        return time.time() - began
+
+    plain = min(seconds(R.first_match(F.col("t"), R.DIAGNOSIS + R.MEDICATION + R.ABSOLUTES + R.SELF_HARM_ECHO)) for _ in range(2))
+    assert min(seconds(codes(F.col("t"))) for _ in range(2)) < 2 + 5 * plain
+    plan = catalog.QUERIES["review_actions"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("concat(text") == 1  # the reply is made once, for all checks
+
+
 def test_fetched_files_are_audited(spark):
     files = [
         ("a.html", "<html><body>404 Not Found"), ("b.txt", "\n <!DOCTYPE HTML> x"), ("c.xml", "\ufeff<?xml version='1.0'?><a><b/></a>"), ("d.xml", "<a><b></a>"), ("e.xml", "plain"), ("f.pdf", "<html>"), ("g.json", ""), ("h.md", "fine " * 100 + "<html>"),
